@@ -6,29 +6,37 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from math import isqrt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import euclid
+from ..functions.numbers import euclid, round_half_even
 from ..functions.timefeatures import TIME_FEATURES
-from ..session import cut
+from ..session import cut, spread
 
 DIGITS = 6
 # Distances are rounded before ranking; bounds are widened by more than the rounding error.
 SLACK = 1e-5
 MAX_PIVOTS = 8192
 RINGS = 16
+# A ring with more classes than this is searched in parts, so that a unit of work compares at most this many by this many.
+UNIT = 4096
 
 Row = Callable[[str], Column]
 
 
 @dataclass(frozen=True)
 class Metric:
-    """A metric on payload columns: the distance and a cheap lower bound of it, both built-in expressions."""
+    """A metric on payload columns: the distance and cheap bounds of it, all built-in expressions."""
 
     columns: tuple[str, ...]
     distance: Callable[[Row, Row], Column]
     lower_bound: Callable[[Row, Row], Column]
+    # Upper bound for metrics whose distance is dear.
+    upper_bound: Callable[[Row, Row], Column] | None = None
+    # Vector column whose distances inside one unit of work are computed by numpy instead.
+    vector: str | None = None
 
 
 def mixed_metric(w_act: float = 1.0, w_tra: float = 1.0, w_time: float = 1.0) -> Metric:
@@ -39,7 +47,7 @@ def mixed_metric(w_act: float = 1.0, w_tra: float = 1.0, w_time: float = 1.0) ->
     def distance(a: Row, b: Row) -> Column:
         act = F.lit(float(w_act)) * F.levenshtein(a("act_text"), b("act_text"))
         tra = F.lit(float(w_tra)) * F.levenshtein(a("tra_text"), b("tra_text"))
-        return F.round(act + tra + time_part(a, b), DIGITS)
+        return round_half_even(act + tra + time_part(a, b), DIGITS)
 
     def lower_bound(a: Row, b: Row) -> Column:
         # An edit changes the length, and the number of any one character, by at most one.
@@ -48,18 +56,24 @@ def mixed_metric(w_act: float = 1.0, w_tra: float = 1.0, w_time: float = 1.0) ->
         ones = F.abs(a("act_ones") - b("act_ones"))
         return time_part(a, b) + F.lit(float(w_tra)) * F.greatest(lengths, zeros) + F.lit(float(w_act)) * ones
 
-    return Metric(("act_text", "tra_text", "time", "act_ones", "tra_zeros"), distance, lower_bound)
+    def upper_bound(a: Row, b: Row) -> Column:
+        # No more edits than characters of the longer string.
+        act = F.greatest(F.length(a("act_text")), F.length(b("act_text")))
+        tra = F.greatest(F.length(a("tra_text")), F.length(b("tra_text")))
+        return time_part(a, b) + F.lit(float(w_tra)) * tra + F.lit(float(w_act)) * act
+
+    return Metric(("act_text", "tra_text", "time", "act_ones", "tra_zeros"), distance, lower_bound, upper_bound)
 
 
 def euclidean_metric(column: str = "vec") -> Metric:
     def distance(a: Row, b: Row) -> Column:
-        return F.round(euclid(a(column), b(column)), DIGITS)
+        return round_half_even(euclid(a(column), b(column)), DIGITS)
 
     def lower_bound(a: Row, b: Row) -> Column:
         # Difference of the norms; the norm is carried along.
         return F.abs(a("norm") - b("norm"))
 
-    return Metric((column, "norm"), distance, lower_bound)
+    return Metric((column, "norm"), distance, lower_bound, vector=column)
 
 
 def mixed_points(profiles: DataFrame) -> DataFrame:
@@ -158,14 +172,21 @@ def knn(points: DataFrame, metric: Metric, k: int, include_self: bool = False, p
 def _class_neighbors(classes: DataFrame, metric: Metric, k: int, pivots: int) -> DataFrame:
     """(src, dst_class, dist) for the pairs of distinct classes within each class's k-th distance bound."""
     here: Row = F.col
-    payload = F.struct("class", *metric.columns)
-    chosen = classes.orderBy(F.xxhash64("class"), "class").limit(pivots)
-    centers = chosen.agg(F.array_sort(F.collect_list(payload)).alias("pivots")).scalar()
-    to_pivots = F.transform("pivots", lambda p: metric.distance(here, lambda c: p[c]))
+    columns = ["class", *metric.columns]
+    chosen = classes.orderBy(F.xxhash64("class"), "class").limit(pivots).select(F.struct(*columns).alias("p"))
+    centers = chosen.agg(F.array_sort(F.collect_list("p"))).scalar()
+
+    def with_pivot_distances(df: DataFrame) -> DataFrame:
+        """Add ``d``: the distances to all pivots. Rows are partitioned by class, so the regrouping does not shuffle."""
+        rows = df.withColumn("pivots", centers).select(*df.columns, F.posexplode("pivots").alias("at", "p"))
+        reached = rows.select(*df.columns, "at", metric.distance(here, lambda c: F.col("p")[c]).alias("to"))
+        listed = F.array_sort(F.collect_list(F.struct("at", "to")))
+        rest = [F.first(c).alias(c) for c in df.columns if c != "class"]
+        return reached.groupBy("class").agg(*rest, listed.alias("d")).withColumn("d", F.col("d")["to"])
 
     located = cut(
-        classes.withColumn("pivots", centers).select("class", *metric.columns, to_pivots.alias("d")).select(
-            "class", *metric.columns, F.array_min("d").alias("near"),
+        with_pivot_distances(spread(classes.select(*columns), "class")).select(
+            *columns, F.array_min("d").alias("near"),
             (F.array_position("d", F.array_min("d")) - 1).cast("int").alias("home"), F.col("d")[0].alias("anchor"),
         )
     )
@@ -182,10 +203,16 @@ def _class_neighbors(classes: DataFrame, metric: Metric, k: int, pivots: int) ->
     radius = F.element_at("disks", F.col("home") + 1)["radius"]
     ring = F.when(radius > 0, F.least(F.lit(RINGS - 1), F.floor(F.col("near") * RINGS / radius))).otherwise(0)
     ringed = located.withColumn("disks", disks).withColumn("ring", ring.cast("int")).drop("disks")
+    # One row per pivot and ring: at most MAX_PIVOTS * RINGS rows.
+    units = F.broadcast(
+        ringed.groupBy("home", "ring").agg(F.ceil(F.count("*") / F.lit(UNIT)).cast("int").alias("parts"))
+    )
+    part = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
 
-    # Two upper bounds of the k-th distance: through the pivots, and from real distances to ring mates.
-    mates = F.collect_list(payload).over(
-        Window.partitionBy("home", "ring").orderBy("anchor", "class").rowsBetween(-k, k)
+    # Upper bounds of the k-th distance: real distances to ring mates, cheap bounds to cell mates, and through pivots.
+    parted = ringed.join(units, ["home", "ring"]).withColumn("part", part)
+    mates = F.collect_list(F.struct(*columns)).over(
+        Window.partitionBy("home", "ring", "part").orderBy("anchor", "class").rowsBetween(-k, k)
     )
     to_mates = F.array_sort(
         F.transform(
@@ -193,17 +220,23 @@ def _class_neighbors(classes: DataFrame, metric: Metric, k: int, pivots: int) ->
         )
     )
     searching = (
-        ringed.withColumn("to_mates", to_mates).withColumn("pivots", centers).withColumn("disks", disks)
-        .withColumn("d", to_pivots)
+        spread(parted, "home", "ring", "part")
+        .select(*columns, "home", F.get(to_mates, F.lit(k - 1)).alias("by_mates"))
     )
+    if metric.upper_bound:
+        searching = _cell_bound(searching, metric, k)
+    else:
+        searching = searching.withColumn("by_cell", F.lit(None).cast("double"))
     through = F.array_min(
         F.transform(
             F.filter("disks", lambda c: c["holds"].isNotNull()), lambda c: F.get("d", c["home"]) + c["holds"]
         )
     )
-    by_mates = F.get("to_mates", F.lit(k - 1))
-    tau = F.coalesce(F.least(through, by_mates), F.lit(float("inf")))
-    searching = searching.select("class", *metric.columns, "d", "disks", (tau + SLACK).alias("tau"))
+    tau = F.coalesce(F.least(through, "by_mates", "by_cell"), F.lit(float("inf")))
+    searching = (
+        with_pivot_distances(spread(searching.drop("home"), "class")).withColumn("disks", disks)
+        .select(*columns, "d", "disks", (tau + SLACK).alias("tau"))
+    )
 
     def ring_range(cell: Column) -> Column:
         d, tau = F.get(F.col("d"), cell["home"]), F.col("tau")
@@ -215,23 +248,87 @@ def _class_neighbors(classes: DataFrame, metric: Metric, k: int, pivots: int) ->
     reachable = F.filter(
         "disks", lambda c: c["radius"].isNotNull() & (F.get(F.col("d"), c["home"]) - c["radius"] <= F.col("tau"))
     )
+    cell = F.transform(reachable, ring_range)
+    a, b = F.struct(*metric.columns).alias("a"), F.struct(*metric.columns).alias("b")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    keys = ["home", "ring", "mine", "other"]
     probes = (
-        searching.select("class", *metric.columns, "tau", F.explode(F.transform(reachable, ring_range)).alias("cell"))
+        searching.select("class", *metric.columns, "tau", F.explode(cell).alias("cell"))
         .select(
-            F.col("class").alias("src"), F.struct(*metric.columns).alias("a"), "tau", F.col("cell.home").alias("home"),
+            "class", a, "tau", F.col("cell.home").alias("home"),
             F.explode(F.sequence("cell.low", "cell.high")).alias("ring"),
         )
+        .join(units, ["home", "ring"])
+        .select(
+            "home", "ring", part.alias("mine"), F.explode(every).alias("other"), F.col("class").alias("src"), "a", "tau"
+        )
     )
-    targets = ringed.select("home", "ring", F.col("class").alias("dst_class"), F.struct(*metric.columns).alias("b"))
-    a: Row = lambda c: F.col("a")[c]
-    b: Row = lambda c: F.col("b")[c]
+    targets = ringed.join(units, ["home", "ring"]).select(
+        "home", "ring", F.explode(every).alias("mine"), part.alias("other"), F.col("class").alias("dst_class"), b
+    )
+    if metric.vector:
+        return _compare_vectors(probes, targets, keys, metric.vector)
+    left: Row = lambda c: F.col("a")[c]
+    right: Row = lambda c: F.col("b")[c]
+    exact = metric.distance(left, right)
     return (
-        probes.join(targets, ["home", "ring"])
+        spread(probes, *keys).join(spread(targets, *keys), keys)
         .filter(F.col("src") != F.col("dst_class"))
-        .filter(metric.lower_bound(a, b) <= F.col("tau"))
-        .select("src", "dst_class", "tau", metric.distance(a, b).alias("dist"))
-        .filter(F.col("dist") <= F.col("tau"))
-        .select("src", "dst_class", "dist")
+        .filter(metric.lower_bound(left, right) <= F.col("tau"))
+        # Filtering a one-element list evaluates the distance once; filtering rows would evaluate it twice.
+        .select("src", "dst_class", F.explode(F.filter(F.array(exact), lambda d: d <= F.col("tau"))).alias("dist"))
+    )
+
+
+def _cell_bound(searching: DataFrame, metric: Metric, k: int) -> DataFrame:
+    """Add ``by_cell``: the k-th smallest upper bound among mates of the same cell, at most about UNIT of them."""
+    groups = F.broadcast(
+        searching.groupBy("home").agg(F.ceil(F.count("*") / F.lit(UNIT)).cast("int").alias("groups"))
+    )
+    grouped = searching.join(groups, "home").withColumn("group", F.pmod(F.xxhash64("class"), F.col("groups")))
+    a = grouped.select("home", "group", F.col("class").alias("src"), F.struct(*metric.columns).alias("a"))
+    b = grouped.select("home", "group", F.col("class").alias("dst"), F.struct(*metric.columns).alias("b"))
+    bound = metric.upper_bound(lambda c: F.col("a")[c], lambda c: F.col("b")[c])
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("bound"))
+    kth = (
+        spread(a, "home", "group").join(spread(b, "home", "group"), ["home", "group"])
+        .filter(F.col("src") != F.col("dst"))
+        .select("src", bound.alias("bound"))
+        .withColumn("rank", rank).filter(F.col("rank") <= k).filter(F.col("rank") == k)
+        .select(F.col("src").alias("class"), F.col("bound").alias("by_cell"))
+    )
+    return searching.join(kth, "class", "left")
+
+
+def _compare_vectors(probes: DataFrame, targets: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """Distances within the bound, unit by unit in numpy; a unit has at most about UNIT rows on each side."""
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            x, y = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
+            tau = left["tau"].to_numpy()
+            squares = (y * y).sum(axis=1)
+            for at in range(0, len(x), 256):
+                rows = x[at: at + 256]
+                rough = (rows * rows).sum(axis=1)[:, None] + squares[None, :] - 2.0 * rows @ y.T
+                limit = tau[at: at + 256] + SLACK
+                i, j = np.nonzero(rough <= (limit * limit)[:, None] * (1 + 1e-9) + 1e-9)
+                dist = np.round(np.sqrt(((rows[i] - y[j]) ** 2).sum(axis=1)), DIGITS)
+                found.append(
+                    pd.DataFrame(
+                        {"src": left["src"].to_numpy()[at + i], "dst_class": right["dst_class"].to_numpy()[j], "dist": dist}
+                    )
+                )
+        if not found:
+            return pd.DataFrame({"src": [], "dst_class": [], "dist": []})
+        near = pd.concat(found)
+        return near[near["src"] != near["dst_class"]]
+
+    left = probes.select(*keys, "src", F.col("a")[vector].alias("vec"), "tau")
+    right = targets.select(*keys, "dst_class", F.col("b")[vector].alias("vec"))
+    return (
+        left.groupBy(*keys).cogroup(right.groupBy(*keys))
+        .applyInPandas(compare, "src string, dst_class string, dist double")
     )
 
 

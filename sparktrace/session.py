@@ -52,6 +52,14 @@ def lookup(df: DataFrame, table: DataFrame, on, rows: int, how: str = "inner") -
     return df.join(F.broadcast(table) if rows <= BROADCAST_ROWS else table, on, how)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition into the session's shuffle partition count, which adaptive execution then leaves alone.
+
+    For steps whose work per byte is high: by size alone their partitions would be merged into a few slow tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def dense_index(df: DataFrame, order: list, name: str, start: int = 0) -> DataFrame:
     """Number rows ``start, start+1, ...`` in a global order without a single-task window.
 
