@@ -11,9 +11,9 @@ UNROLL = 16
 
 
 def round_half_even(value: Column, digits: int) -> Column:
-    """Round like numpy: scale, round half to even, scale back."""
+    """Round like numpy: scale, round half to even, scale back. Adding zero turns -0.0 into 0.0."""
     scale = F.lit(float(10**digits))
-    return F.rint(value * scale) / scale
+    return F.rint(value * scale) / scale + F.lit(0.0)
 
 
 def to_number(value: Column) -> Column:

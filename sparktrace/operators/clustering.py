@@ -47,9 +47,14 @@ def hash_order(seed: int, draw: int = 0) -> list[Column]:
     return [F.md5(F.concat(F.lit(f"{seed}|{draw}|"), F.col("case_id"))), F.col("case_id")]
 
 
+def sample_cases(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """``k`` random cases; the same seed draws the same ones."""
+    return points.orderBy(*hash_order(seed)).limit(k)
+
+
 def sample_centroids(points: DataFrame, k: int, seed: int = 0) -> list[Centroid]:
-    """``k`` random cases as first centroids; the same seed draws the same cases."""
-    rows = points.orderBy(*hash_order(seed)).limit(k).collect()
+    """Random cases as first centroids, numbered in drawing order."""
+    rows = sample_cases(points, k, seed).collect()
     return [Centroid(i, dict(row["cells"]), list(row["num"])) for i, row in enumerate(rows)]
 
 
