@@ -8,7 +8,7 @@ from sparktrace.functions.minhash import PERMUTATIONS, PRIME, coefficients
 from sparktrace.functions.timefeatures import CALENDAR, TIME_FEATURES
 from sparktrace.operators.explain import LOCAL_RANGE, MIN_RANGE, SEGMENT_TITLES
 
-LEVELS = 24
+LEVELS = 60
 
 PARTS = {
     "month_of_year": "month(ts)",

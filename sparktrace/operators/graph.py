@@ -67,21 +67,25 @@ def pagerank(edges: DataFrame, alpha: float = DAMPING, tol: float = 1e-6, max_ro
     adjacency = symmetric(edges)
     out = adjacency.groupBy("src").agg(F.sum("weight").alias("out"))
     links = spread(adjacency.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")), "src").persist()
-    ranks = graph_nodes(edges)
+    ranks = cut(graph_nodes(edges))
     n = ranks.count()
-    ranks = ranks.withColumn("rank", F.lit(1.0 / n)).withColumn("old", F.lit(1.0 / n))
+    ranks = ranks.withColumn("rank", F.lit(1.0 / n))
     done = 0
     while done < max_rounds:
         for _ in range(min(block, max_rounds - done)):
-            # Every node of an undirected edge list has a link, so no rank is lost at dead ends.
-            flow = links.join(ranks, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
-            ranks = ranks.join(flow, F.col("node") == F.col("dst"), "left").select(
-                "node", (F.coalesce("flow", F.lit(0.0)) * alpha + (1.0 - alpha) / n).alias("rank"), F.col("rank").alias("old")
+            old = ranks
+            # Every node of an undirected edge list has a link, so every node receives and no rank is lost.
+            ranks = (
+                links.join(old, F.col("src") == F.col("node"))
+                .groupBy(F.col("dst").alias("node"))
+                .agg((F.sum(F.col("rank") * F.col("share")) * alpha + (1.0 - alpha) / n).alias("rank"))
             )
-        ranks = cut(ranks)
         done += block
+        change = old.select("node", F.col("rank").alias("old"))
+        ranks = cut(ranks.join(change, "node"))
         if ranks.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tol:
             break
+        ranks = ranks.select("node", "rank")
     links.unpersist()
     return ranks.select("node", F.col("rank").alias("cent_pagerank"))
 
@@ -161,12 +165,14 @@ def _level_sums(level: DataFrame, depth: int) -> DataFrame:
     )
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, max_sweeps: int = 20, max_levels: int = 10, min_gain: float = 1e-7) -> DataFrame:
+def louvain(
+    edges: DataFrame, resolution: float = 1.0, max_sweeps: int = 20, max_levels: int = 10, min_gain: float = 1e-5
+) -> DataFrame:
     """Louvain communities: (node, community), communities numbered from 0 by size, then by smallest node.
 
     A sweep moves the nodes of one hash half to the neighbouring community with the largest gain, all at once; halves
-    alternate so that two neighbours rarely swap. When neither half moves, communities become the nodes of the next
-    level. A level is kept only if it raises the modularity.
+    alternate so that two neighbours rarely swap. When two sweeps, one per half, bring no gain, communities become the
+    nodes of the next level. A level is kept only if it raises the modularity.
     """
     adjacency = cut(symmetric(edges))
     mapping = graph_nodes(edges).withColumn("community", F.col("node"))
@@ -196,10 +202,10 @@ def _move_nodes(adjacency: DataFrame, resolution: float, max_sweeps: int, min_ga
     strength = cut(adjacency.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")))
     m2 = strength.agg(F.sum("k")).first()[0]
     partition = strength.select("node", "k", F.col("node").alias("community"), F.lit(False).alias("moved"))
-    best, best_quality, quiet = partition, None, 0
+    best, best_quality, quiet = partition, None, -1
     between = adjacency.filter(F.col("src") != F.col("dst"))
     loops = adjacency.filter(F.col("src") == F.col("dst")).select(F.col("src").alias("node"), F.col("weight").alias("loop"))
-    for sweep in range(max_sweeps * 2):
+    for sweep in range(max_sweeps):
         totals = partition.groupBy("community").agg(F.sum("k").alias("tot"))
         near = (
             between.join(partition.select(F.col("node").alias("dst"), "community"), "dst")
@@ -223,7 +229,7 @@ def _move_nodes(adjacency: DataFrame, resolution: float, max_sweeps: int, min_ga
             F.first(F.when(F.col("community") == F.col("own"), F.col("tot")), ignorenulls=True).alias("tot"),
         )
         mine = F.pmod(F.xxhash64("node", F.lit(sweep // 2)), F.lit(2)) == sweep % 2
-        moves = mine & (F.col("gain") > F.col("now") + min_gain * m2) & (F.col("top.community") != F.col("own"))
+        moves = mine & (F.col("gain") > F.col("now") + 1e-9 * m2) & (F.col("top.community") != F.col("own"))
         # The sums of the partition before the move ride along, so that one pass gives the moves and its quality.
         after = cut(
             ranked.select(
@@ -237,9 +243,10 @@ def _move_nodes(adjacency: DataFrame, resolution: float, max_sweeps: int, min_ga
             F.count_if("moved").alias("moves"), F.first(inside_loops.scalar()).alias("loops"),
         ).first()
         quality = (row["inside"] + row["loops"]) / m2 - resolution * row["t2"] / (m2 * m2)
+        # ``quality`` belongs to the partition before this sweep's moves.
+        quiet = 0 if best_quality is None or quality > best_quality + min_gain else quiet + 1
         if best_quality is None or quality > best_quality:
             best, best_quality = partition, quality
-        quiet = quiet + 1 if row["moves"] == 0 else 0
         if quiet >= 2:
             break
         partition = after.select("node", "k", "community", "moved")

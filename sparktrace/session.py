@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A lookup table with at most this many rows may be broadcast; larger ones are joined by shuffle.
@@ -21,7 +22,6 @@ def get_session(app: str = "sparktrace", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -29,22 +29,27 @@ def get_session(app: str = "sparktrace", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; in local mode without one, a temporary folder."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="sparktrace-checkpoint-")
-    context.setCheckpointDir(shared)
+        folder = tempfile.mkdtemp(prefix="sparktrace-")
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the written copy."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared checkpoint folder and go on from the written copy.
+
+    Lost executors re-read it, plans stay short, and the optimizer sees its real size.
+    """
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def lookup(df: DataFrame, table: DataFrame, on, rows: int, how: str = "inner") -> DataFrame:
@@ -63,16 +68,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def dense_index(df: DataFrame, order: list, name: str, start: int = 0) -> DataFrame:
     """Number rows ``start, start+1, ...`` in a global order without a single-task window.
 
-    Rows are range-partitioned on the order, written once so that the partitions stay fixed, numbered inside each
-    partition, and shifted by the row counts of the partitions before it (one row per partition).
+    Rows are range-partitioned on the order, numbered inside each partition and written once, so that the numbers stay
+    fixed; then they are shifted by the row counts of the partitions before (one row per partition).
     """
-    from pyspark.sql import Window
-
-    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
-    placed = ranged.withColumn("__at", F.monotonically_increasing_id()).select(
-        "*",
-        F.shiftright("__at", 33).alias("__part"),
-        F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)).alias("__pos"),
+    at = F.monotonically_increasing_id()
+    placed = cut(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at).select(
+            "*", F.shiftright("__at", 33).alias("__part"), F.col("__at").bitwiseAND((1 << 33) - 1).alias("__pos")
+        )
     )
     before = (
         placed.groupBy("__part")
