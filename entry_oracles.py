@@ -240,10 +240,10 @@ modes AS (
 
 FAMILY = ", ".join(f"({i}, {a}::BIGINT, {b}::BIGINT)" for i, (a, b) in enumerate(coefficients()))
 SIGNATURE_CTES = f"""
-family(at, a, b) AS (VALUES {FAMILY}),
+family(slot, a, b) AS (VALUES {FAMILY}),
 sigs AS (
-  SELECT c.case_id, f.at, min((f.a * ((CAST(c.pos + 1 AS BIGINT) * 1000003 + c.n) % {PRIME}) + f.b) % {PRIME}) AS value
-  FROM cells c CROSS JOIN family f GROUP BY c.case_id, f.at)"""
+  SELECT c.case_id, f.slot, min((f.a * ((CAST(c.pos + 1 AS BIGINT) * 1000003 + c.n) % {PRIME}) + f.b) % {PRIME}) AS value
+  FROM cells c CROSS JOIN family f GROUP BY c.case_id, f.slot)"""
 
 # --- vectors --------------------------------------------------------------------------------------------------------
 
@@ -453,13 +453,13 @@ WHERE p.community <> q.community""",
             for i, c in enumerate(TIME_FEATURES)
         ),
     ),
-    "minhash_signature": events_with(CELL_CTES, SIGNATURE_CTES, select="SELECT case_id, CAST(at AS INTEGER) AS at, value FROM sigs"),
+    "minhash_signature": events_with(CELL_CTES, SIGNATURE_CTES, select="SELECT case_id, CAST(slot AS INTEGER) AS slot, value FROM sigs"),
     "medoid_minhash": events_with(
         CELL_CTES, SIGNATURE_CTES,
         f"""
 alike AS (
   SELECT x.case_id AS src, y.case_id AS dst, count(*) FILTER (WHERE x.value = y.value) / {PERMUTATIONS}.0::DOUBLE AS sim
-  FROM sigs x JOIN sigs y ON x.at = y.at AND CAST(x.case_id AS BIGINT) % {GROUPS} = CAST(y.case_id AS BIGINT) % {GROUPS}
+  FROM sigs x JOIN sigs y ON x.slot = y.slot AND CAST(x.case_id AS BIGINT) % {GROUPS} = CAST(y.case_id AS BIGINT) % {GROUPS}
   GROUP BY ALL),
 totals AS (
   SELECT s.src, CAST(CAST(s.src AS BIGINT) % {GROUPS} AS INTEGER) AS cluster, sum(1 - s.sim + round({euclid('a', 'b')}, 6)) AS total

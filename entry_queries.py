@@ -372,7 +372,7 @@ def _fixed_clusters(spark, sf_dir):
 
 def minhash_signature(spark, sf_dir):
     points, size = _fixed_clusters(spark, sf_dir)
-    return clustering.signatures(points, size).select("case_id", F.posexplode("sig").alias("at", "value"))
+    return clustering.signatures(points, size).select("case_id", F.posexplode("sig").alias("slot", "value"))
 
 
 def medoid_minhash(spark, sf_dir):
