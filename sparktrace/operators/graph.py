@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, dense_index, spread
+from ..session import cut, dense_index
 
 DAMPING = 0.85
 # All-source searches keep one row per (source, node); sources are taken in batches of at most this many rows.
@@ -52,21 +52,29 @@ def _modularity_parts(adjacency: DataFrame, partition: DataFrame, resolution: fl
         .join(partition.select(F.col("node").alias("dst"), F.col("community").alias("c_dst")), "dst")
     )
     per = sides.groupBy("c_src").agg(
-        F.sum("weight").alias("total"), F.sum(F.when(F.col("c_src") == F.col("c_dst"), F.col("weight")).otherwise(0.0)).alias("inside")
+        F.sum("weight").alias("total"),
+        F.sum(F.when(F.col("c_src") == F.col("c_dst"), F.col("weight")).otherwise(0.0)).alias("inside"),
     )
     # sum over communities of inside/2m - resolution * (total/2m)^2, with 2m = sum of totals
-    sums = per.agg(F.sum("inside").alias("i"), F.sum(F.col("total") * F.col("total")).alias("t2"), F.sum("total").alias("m2"), F.count("*").alias("num_communities"))
-    return sums.select((F.col("i") / F.col("m2") - F.lit(float(resolution)) * F.col("t2") / (F.col("m2") * F.col("m2"))).alias("modularity"), "num_communities")
+    sums = per.agg(
+        F.sum("inside").alias("i"), F.sum(F.col("total") * F.col("total")).alias("t2"), F.sum("total").alias("m2"),
+        F.count("*").alias("num_communities"),
+    )
+    expected = F.lit(float(resolution)) * F.col("t2") / (F.col("m2") * F.col("m2"))
+    return sums.select((F.col("i") / F.col("m2") - expected).alias("modularity"), "num_communities")
 
 
-def pagerank(edges: DataFrame, alpha: float = DAMPING, tol: float = 1e-6, max_rounds: int = 100, block: int = 5) -> DataFrame:
+def pagerank(
+    edges: DataFrame, alpha: float = DAMPING, tol: float = 1e-6, max_rounds: int = 100, block: int = 5
+) -> DataFrame:
     """PageRank with uniform teleport, stopped when the summed change falls below ``n * tol``.
 
     ``block`` rounds run as one job; then the ranks are written and the change of the last round is checked.
     """
     adjacency = symmetric(edges)
     out = adjacency.groupBy("src").agg(F.sum("weight").alias("out"))
-    links = spread(adjacency.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")), "src").persist()
+    # A plain table, not partitioned by node: a hub's links may be split over tasks by the skew join.
+    links = cut(adjacency.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
     ranks = cut(graph_nodes(edges))
     n = ranks.count()
     ranks = ranks.withColumn("rank", F.lit(1.0 / n))
@@ -86,7 +94,6 @@ def pagerank(edges: DataFrame, alpha: float = DAMPING, tol: float = 1e-6, max_ro
         if ranks.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tol:
             break
         ranks = ranks.select("node", "rank")
-    links.unpersist()
     return ranks.select("node", F.col("rank").alias("cent_pagerank"))
 
 
@@ -96,7 +103,7 @@ def path_centralities(edges: DataFrame, batches: int | None = None) -> DataFrame
     Breadth-first levels of all sources of a batch advance together, one frontier join per level; dependencies flow
     back level by level. Frontier rows carry the number of shortest paths.
     """
-    adjacency = spread(symmetric(edges).filter(F.col("src") != F.col("dst")).select("src", "dst"), "src").persist()
+    adjacency = cut(symmetric(edges).filter(F.col("src") != F.col("dst")).select("src", "dst"))
     nodes = cut(graph_nodes(edges))
     n = nodes.count()
     batches = batches or max(1, -(-n * n // SEARCH_ROWS))
@@ -116,9 +123,7 @@ def path_centralities(edges: DataFrame, batches: int | None = None) -> DataFrame
         (F.coalesce("between", F.lit(0.0)) * between_scale).alias("cent_betweenness"),
         F.coalesce(closeness, F.lit(0.0)).alias("cent_closeness"),
     )
-    result = cut(result)
-    adjacency.unpersist()
-    return result
+    return cut(result)
 
 
 def _paths_from(adjacency: DataFrame, sources: DataFrame) -> DataFrame:
@@ -143,7 +148,9 @@ def _paths_from(adjacency: DataFrame, sources: DataFrame) -> DataFrame:
     measured = []
     for depth in range(len(levels) - 1, 0, -1):
         measured.append(_level_sums(back, depth))
-        share = back.select("source", F.col("node").alias("below"), ((F.col("depends") + 1.0) / F.col("paths")).alias("share"))
+        share = back.select(
+            "source", F.col("node").alias("below"), ((F.col("depends") + 1.0) / F.col("paths")).alias("share")
+        )
         flow = (
             share.join(adjacency, F.col("below") == F.col("src"))
             .select("source", F.col("dst").alias("node"), "share")
@@ -204,7 +211,7 @@ def _move_nodes(adjacency: DataFrame, resolution: float, max_sweeps: int, min_ga
     partition = strength.select("node", "k", F.col("node").alias("community"), F.lit(False).alias("moved"))
     best, best_quality, quiet = partition, None, -1
     between = adjacency.filter(F.col("src") != F.col("dst"))
-    loops = adjacency.filter(F.col("src") == F.col("dst")).select(F.col("src").alias("node"), F.col("weight").alias("loop"))
+    loops = adjacency.filter(F.col("src") == F.col("dst")).select(F.col("weight").alias("loop"))
     for sweep in range(max_sweeps):
         totals = partition.groupBy("community").agg(F.sum("k").alias("tot"))
         near = (

@@ -297,7 +297,7 @@ def _cell_bound(searching: DataFrame, metric: Metric, k: int) -> DataFrame:
         .withColumn("rank", rank).filter(F.col("rank") <= k).filter(F.col("rank") == k)
         .select(F.col("src").alias("class"), F.col("bound").alias("by_cell"))
     )
-    return searching.join(kth, "class", "left")
+    return spread(searching, "class").join(kth, "class", "left")
 
 
 def _compare_vectors(probes: DataFrame, targets: DataFrame, keys: list[str], vector: str) -> DataFrame:
