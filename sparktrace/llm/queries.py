@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from sparktrace.llm.bpe import op10_bpe
+from sparktrace.llm.langid import op5_langid
 from sparktrace.llm.packing import op3_packing
+from sparktrace.llm.simhash import op2_simhash
 
-QUERIES = {"op3_packing": op3_packing, "op10_bpe": op10_bpe}
+QUERIES = {"op2_simhash": op2_simhash, "op3_packing": op3_packing, "op5_langid": op5_langid, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {}
