@@ -25,11 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktrace.llm.common import pairs
+from sparktrace.llm.common import Remembered, pairs
 
 STATES = 30_000
 REMEMBERED = 150_000
-REMEMBERED_CHARS = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -197,25 +196,6 @@ class Transducer:
         return out
 
 
-class Remembered(dict):
-    """Results of a function of a string. Two generations: when the young one is full it becomes the old one, and what is asked
-    again moves back, so frequent strings stay and memory is bounded."""
-
-    def __init__(self, make, size: int):
-        self.make, self.size, self.old = make, size, {}
-
-    def __missing__(self, text: str) -> bytes:
-        made = self.old.get(text)
-        if made is None:
-            made = self.make(text)
-        if len(text) <= REMEMBERED_CHARS:
-            if len(self) >= self.size:
-                self.old = dict(self)
-                self.clear()
-            self[text] = made
-        return made
-
-
 class Encoder:
     """Texts to ids: the pattern cuts pieces, the transducer encodes each; ids are little-endian 32-bit integers.
 

@@ -56,3 +56,25 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             yield apply(batch)
 
     return df.mapInArrow(run, schema)
+
+
+class Remembered(dict):
+    """Results of a function of a string, for strings of up to 64 characters.
+
+    Two generations: when the young one is full it becomes the old one, and what is asked again moves back, so frequent strings
+    stay and memory is bounded.
+    """
+
+    def __init__(self, make, size: int):
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, text: str) -> bytes:
+        made = self.old.get(text)
+        if made is None:
+            made = self.make(text)
+        if len(text) <= 64:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[text] = made
+        return made

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from sparktrace.llm.bpe import op10_bpe
 from sparktrace.llm.langid import op5_langid
+from sparktrace.llm.lines import OP4_SQL, op4_lines
 from sparktrace.llm.packing import op3_packing
 from sparktrace.llm.simhash import op2_simhash
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_packing": op3_packing, "op5_langid": op5_langid, "op10_bpe": op10_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op2_simhash": op2_simhash, "op3_packing": op3_packing, "op4_lines": op4_lines, "op5_langid": op5_langid, "op10_bpe": op10_bpe}
+ORACLES: dict[str, str] = {"op4_lines": OP4_SQL}
