@@ -206,6 +206,8 @@ def drop_common_lines(
         + [T.StructField(n_lines, T.LongType(), False), T.StructField(n_dropped, T.LongType(), False)]
     )
 
+    names = docs.columns
+
     def keep(batches):
         shared = PerfectHash.from_row(*shipped.value)
         for batch in pairs(batches):
@@ -220,7 +222,7 @@ def drop_common_lines(
                 kept.append("\n".join(stay))
                 lines.append(len(hashes))
                 dropped.append(len(hashes) - len(stay))
-            columns = [pa.array(kept, pa.string()) if f.name == text else batch.column(f.name) for f in docs.schema.fields]
+            columns = [pa.array(kept, pa.string()) if c == text else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[f.name for f in schema.fields])
 
     return joined.mapInArrow(keep, schema)
