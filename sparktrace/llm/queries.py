@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from sparktrace.llm.bpe import op10_bpe
+from sparktrace.llm.html import op6_html
 from sparktrace.llm.langid import op5_langid
 from sparktrace.llm.lines import OP4_SQL, op4_lines
 from sparktrace.llm.outliers import op9_outliers
 from sparktrace.llm.packing import op3_packing
+from sparktrace.llm.quality import op1_quality
 from sparktrace.llm.repeats import op8_repeats
 from sparktrace.llm.simhash import op2_simhash
 from sparktrace.llm.topk import OP7_SQL, op7_topk
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_packing": op3_packing, "op4_lines": op4_lines, "op5_langid": op5_langid, "op7_topk": op7_topk, "op8_repeats": op8_repeats, "op9_outliers": op9_outliers, "op10_bpe": op10_bpe}
+QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_packing": op3_packing, "op4_lines": op4_lines, "op5_langid": op5_langid, "op6_html": op6_html, "op7_topk": op7_topk, "op8_repeats": op8_repeats, "op9_outliers": op9_outliers, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {"op4_lines": OP4_SQL, "op7_topk": OP7_SQL}

@@ -28,6 +28,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -340,6 +341,16 @@ def remove_repeats(
     return held.groupBy("_group").cogroup(lost.groupBy("_group")).applyInArrow(remove, out)
 
 
+def whole_characters(kept: str):
+    """Column: the text of remaining bytes, without what is left of characters that were cut."""
+
+    @F.pandas_udf("string")
+    def read(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    return read(kept)
+
+
 def op8_repeats(spark, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
