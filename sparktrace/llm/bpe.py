@@ -15,6 +15,7 @@ Repeated rows are encoded each for itself; extra columns are kept; new columns g
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +29,10 @@ from pyspark.sql import types as T
 from sparktrace.llm.common import Remembered, pairs
 
 STATES = 30_000
-REMEMBERED = 150_000
+REMEMBERED = 250_000
+FOLLOWS = 300_000
+NEVER = 1 << 60
+MARKS = {".", ",", ";", ":", "!", "?"}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -75,23 +79,24 @@ class Transducer:
         """The definition: merge the adjacent pair of lowest rank, leftmost first, until none is left."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
+            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+            if rank == NEVER:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def _spine(self, token: int) -> tuple[list[int], list[int]]:
-        """The ranks of the parts at the left and at the right edge of a token, from its first byte's up to its own."""
-        if token not in self.spines:
-            data = self.bytes_of[token]
-            parts, left, right = [data[i : i + 1] for i in range(len(data))], [data[:1]], [data[-1:]]
-            while len(parts) > 1:
-                _, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-                left += [parts[0]] * (at == 0)
-                right += [parts[-1]] * (at == len(parts) - 1)
-            self.spines[token] = left, right
+    def _spine(self, token: int) -> tuple[list, list]:
+        """(part, rank of the merge that ends it) at the left and at the right edge of a token, from its first byte up to itself."""
+        data = self.bytes_of[token]
+        parts, left, right = [data[i : i + 1] for i in range(len(data))], [data[:1]], [data[-1:]]
+        while len(parts) > 1:
+            _, at = min((self.ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            if at == 0:
+                left.append(parts[0])
+            if at == len(parts) - 1:
+                right.append(parts[-1])
+        self.spines[token] = tuple(list(zip(side, [*(self.ranks[p] for p in side[1:]), NEVER])) for side in (left, right))
         return self.spines[token]
 
     def _may_follow(self, before: int | None, token: int) -> bool:
@@ -102,22 +107,25 @@ class Transducer:
         """
         if before is None:
             return True
-        key = (before, token)
-        known = self.follows.get(key)
+        known = self.follows.get((before, token))
         if known is None:
-            ranks, never = self.ranks, 1 << 60
-            right, left, i, j, known = self._spine(before)[1], self._spine(token)[0], 0, 0, True
-            while known:
-                x_ends = ranks[right[i + 1]] if i + 1 < len(right) else never
-                y_ends = ranks[left[j + 1]] if j + 1 < len(left) else never
-                rank = ranks.get(right[i] + left[j], never)
-                known = not (rank < x_ends and rank <= y_ends and rank < never)
-                if x_ends == y_ends == never:
+            known, rank_of = True, self.ranks.get
+            xs, ys = iter((self.spines.get(before) or self._spine(before))[1]), iter((self.spines.get(token) or self._spine(token))[0])
+            (x, x_ends), (y, y_ends) = next(xs), next(ys)
+            while True:
+                rank = rank_of(x + y)
+                if rank is not None and rank < x_ends and rank <= y_ends:
+                    known = False
                     break
-                i, j = (i + 1, j) if x_ends <= y_ends else (i, j + 1)
-            if len(self.follows) > 1_000_000:
+                if x_ends <= y_ends:
+                    if x_ends == NEVER:
+                        break
+                    x, x_ends = next(xs)
+                else:
+                    y, y_ends = next(ys)
+            if len(self.follows) > FOLLOWS:
                 self.follows.clear()
-            self.follows[key] = known
+            self.follows[(before, token)] = known
         return known
 
     def _move(self, at: int, byte: int) -> tuple[int, tuple] | None:
@@ -196,29 +204,37 @@ class Transducer:
         return out
 
 
-class Encoder:
+class Encoder(Remembered):
     """Texts to ids: the pattern cuts pieces, the transducer encodes each; ids are little-endian 32-bit integers.
 
     No piece reaches over a blank that follows a character other than white space, so texts are cut there first, and the ids of
-    frequent parts are remembered.
+    frequent parts (a blank and what follows it) are remembered. A mark after a letter or number is a piece of its own at the
+    end of a part.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, size: int = REMEMBERED):
         self.find = regex.compile(pattern).findall
-        self.blank_after_space = regex.compile(r"\s ").search
+        self.blank_after_space = regex.compile(r"\s |\x00").search
         self.transducer = Transducer(ranks)
-        encode = self.transducer.encode
-        self.pieces = Remembered(lambda piece: np.array(encode(piece.encode()), dtype="<i4").tobytes(), size)
-        self.parts = Remembered(lambda part: self._pieces(" " + part), size)
+        super().__init__(self._part, size)
+
+    def __missing__(self, part: str) -> bytes:
+        if part[-1:] in MARKS and part[-2:-1].isalnum():
+            return self[part[:-1]] + self[part[-1]]
+        return super().__missing__(part)
 
-    def _pieces(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+    def _part(self, part: str) -> bytes:
+        if part[1:].isalpha():  # a blank and letters: one piece
+            return array("i", self.transducer.encode(part.encode())).tobytes()
+        out = array("i")
+        for piece in self.find(part):
+            out.extend(self.transducer.encode(piece.encode()))
+        return out.tobytes()
 
     def encode(self, text: str) -> bytes:
         if self.blank_after_space(text):
-            return self._pieces(text)
-        first, *rest = text.split(" ")
-        return self._pieces(first) + b"".join(map(self.parts.__getitem__, rest))
+            return b"".join(map(self.__getitem__, self.find(text)))
+        return b"".join(map(self.__getitem__, text.replace(" ", "\x00 ").split("\x00")))
 
 
 class Utf8Machine:
@@ -304,7 +320,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
 
     def run(batches):
         encoder = _encoder(SparkFiles.get(name), pattern)
-        for batch in pairs(batches):
+        for batch in pairs(batches, chars=2_000_000):
             found = [encoder.encode(t or "") for t in batch.column(text).to_pylist()]
             offsets = np.zeros(len(found) + 1, dtype=np.int32)
             np.cumsum([len(f) // 4 for f in found], out=offsets[1:])
@@ -322,7 +338,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", text: str = "d
 
     def run(batches):
         machine = _machine(SparkFiles.get(name))
-        for batch in pairs(batches):
+        for batch in pairs(batches, chars=2_000_000):
             made = [machine.decode(tokens or []) for tokens in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[f.name for f in schema.fields])
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktrace.llm.common import table, tasks_for
+from sparktrace.llm.common import fresh, table, tasks_for
 from sparktrace.session import cut
 
 LENGTH = 50
@@ -197,8 +197,9 @@ def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
     """The documents as a table bucketed by group, written without a shuffle: rows are grouped as they lie."""
     name = f"documents_{uuid.uuid4().hex}"
     at = F.monotonically_increasing_id()
-    rows = docs.withColumn("_row", at).withColumn("_group", F.expr(f"shiftright(_row, 33) * {1 << 23} + ((_row & {(1 << 33) - 1}) div {GROUP_ROWS})"))
-    rows.write.format("parquet").bucketBy(buckets, "_group").saveAsTable(name)
+    row, group = fresh(docs, "_row", "_group")
+    rows = docs.withColumn(row, at).withColumn(group, F.expr(f"shiftright({row}, 33) * {1 << 23} + (({row} & {(1 << 33) - 1}) div {GROUP_ROWS})"))
+    rows.write.format("parquet").bucketBy(buckets, group).saveAsTable(name)
     return docs.sparkSession.table(name)
 
 
@@ -213,6 +214,11 @@ def remove_repeats(
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = _bucketed(docs, max(parallel, min(10_000, -(-int(total) // 32_000_000))))
 
+    row_name, group_name = fresh(docs, "_row", "_group")
+    texts = held.select(
+        F.col(row_name).alias("_row"), F.col(group_name).alias("_group"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LAST)).alias("document"), F.col(text).cast("string").alias("text")
+    )
+
     def bytes_of(column) -> list[bytes]:
         return [(t or "").encode() for t in column.to_pylist()]
 
@@ -245,7 +251,7 @@ def remove_repeats(
         return answers.append_column("bits", pa.array([m.tobytes() for m, s in zip(mine, some, strict=True) if s], pa.binary()))
 
     packed = "bucket bigint, _group bigint, bits binary"
-    shared = held.select("_group", text).mapInArrow(send_anchors, packed).groupBy("bucket").applyInArrow(find_shared, packed)
+    shared = texts.select("_group", "text").mapInArrow(send_anchors, packed).groupBy("bucket").applyInArrow(find_shared, packed)
 
     def send_runs(rows: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["h", "s", "_row", "_group", "document", "start", "n", "string"]
@@ -255,7 +261,7 @@ def remove_repeats(
             known = np.sort(np.concatenate([np.frombuffer(b, dtype="<u4").astype(np.int64) * anchor_buckets + k for k, b in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True)]))
             ids, places = rows.column("_row").to_pylist(), rows.column("document").to_pylist()
             seen, digest, group = set(), xxhash.xxh3_64_intdigest, rows.column("_group")[0].as_py()
-            for number, h, start, n, joined, first in scanned(bytes_of(rows.column(text)), length):
+            for number, h, start, n, joined, first in scanned(bytes_of(rows.column("text")), length):
                 code = (h >> np.uint64(32)).astype(np.int64) * anchor_buckets + ((h & np.uint64(0xFFFFFFFF)) % np.uint64(anchor_buckets)).astype(np.int64)
                 at = np.minimum(np.searchsorted(known, code), len(known) - 1)
                 for i in np.flatnonzero(known[at] == code).tolist():
@@ -268,9 +274,8 @@ def remove_repeats(
                         column.append(value)
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
-    documents = held.select("_row", "_group", F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LAST)).alias("document"), text)
     runs = cut(
-        documents.groupBy("_group").cogroup(shared.groupBy("_group")).applyInArrow(
+        texts.groupBy("_group").cogroup(shared.groupBy("_group")).applyInArrow(
             send_runs, "h bigint, s bigint, _row bigint, _group bigint, document bigint, start bigint, n int, string binary"
         )
     )
@@ -324,7 +329,7 @@ def remove_repeats(
         order = np.lexsort((lost.column("low").to_numpy(), lost.column("_row").to_numpy()))
         owner, low, high = (lost.column(c).to_numpy()[order] for c in ("_row", "low", "high"))
         result = []
-        for row, data in zip(rows.column("_row").to_pylist(), bytes_of(rows.column(text)), strict=True):
+        for row, data in zip(rows.column(row_name).to_pylist(), bytes_of(rows.column(text)), strict=True):
             a, b = np.searchsorted(owner, [row, row + 1])
             if a == b:
                 result.append((len(data), 0, 0, data))
@@ -338,7 +343,7 @@ def remove_repeats(
         columns = [rows.column(c) for c in names] + [pa.array(m, k) for m, k in zip(made, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
         return pa.table(columns, names=[f.name for f in out.fields])
 
-    return held.groupBy("_group").cogroup(lost.groupBy("_group")).applyInArrow(remove, out)
+    return held.groupBy(group_name).cogroup(lost.groupBy("_group")).applyInArrow(remove, out)
 
 
 def whole_characters(kept: str):
