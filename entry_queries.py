@@ -15,7 +15,7 @@ from sparktrace.session import cut
 
 K = 3
 GROUPS = 5
-PAGERANK_ROUNDS = 20
+PAGERANK_TOLERANCE = 1e-13
 CLUSTERS = 3
 WEIGHTS = {"w_act": 1.0, "w_tra": 1.0, "w_time": 0.5}
 
@@ -261,8 +261,12 @@ def modularity(spark, sf_dir):
     )
 
 
+def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stage(spark, sf_dir, "ranks", lambda: graph.pagerank(_edges(spark, sf_dir), tol=PAGERANK_TOLERANCE))
+
+
 def pagerank(spark, sf_dir):
-    ranks = graph.pagerank(_edges(spark, sf_dir), tol=0.0, max_rounds=PAGERANK_ROUNDS, block=10)
+    ranks = _ranks(spark, sf_dir)
     return ranks.select("node", F.round("cent_pagerank", 8).alias("cent_pagerank"))
 
 
@@ -280,7 +284,7 @@ def louvain_communities(spark, sf_dir):
 
 def node_table(spark, sf_dir):
     edges = _edges(spark, sf_dir)
-    ranks = graph.pagerank(edges, tol=0.0, max_rounds=PAGERANK_ROUNDS, block=10)
+    ranks = _ranks(spark, sf_dir)
     table = communities.node_table(
         _fixed_partition(spark, sf_dir), graph.degree_centrality(edges), _paths(spark, sf_dir), ranks
     )
@@ -290,7 +294,7 @@ def node_table(spark, sf_dir):
 
 def representatives(spark, sf_dir):
     edges = _edges(spark, sf_dir)
-    ranks = graph.pagerank(edges, tol=0.0, max_rounds=PAGERANK_ROUNDS, block=10)
+    ranks = _ranks(spark, sf_dir)
     table = communities.node_table(
         _fixed_partition(spark, sf_dir), graph.degree_centrality(edges), _paths(spark, sf_dir), ranks
     )
@@ -417,7 +421,7 @@ def score_runs(spark, sf_dir):
 
 
 def sweep_clusters(spark, sf_dir):
-    return variants.sweep_clusters(_profiled(spark, sf_dir), [2, 3])
+    return variants.sweep_clusters(_profiled(spark, sf_dir), list(range(2, 12)))
 
 
 # --- explanations ---------------------------------------------------------------------------------------------------

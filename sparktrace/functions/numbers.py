@@ -35,19 +35,19 @@ def euclid_norm(vector: Column) -> Column:
 
 
 def dense_cells(entries: Column, width: Column) -> Column:
-    """Concatenate ``width`` cells without separator, given sorted ``(pos, n)`` structs of the non-zero ones."""
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("next"))
+    """Concatenate ``width`` cells without separator, given sorted ``(pos, n)`` structs of the non-zero ones. A string holds 2**31 cells."""
+    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("bigint").alias("next"))
 
     def add(state: Column, entry: Column) -> Column:
         return F.struct(
             F.concat(
-                state["text"], F.repeat(F.lit("0"), entry["pos"] - state["next"]), entry["n"].cast("string")
+                state["text"], F.repeat(F.lit("0"), (entry["pos"] - state["next"]).cast("int")), entry["n"].cast("string")
             ).alias("text"),
             (entry["pos"] + 1).alias("next"),
         )
 
     return F.aggregate(
-        entries, start, add, lambda s: F.concat(s["text"], F.repeat(F.lit("0"), width.cast("int") - s["next"]))
+        entries, start, add, lambda s: F.concat(s["text"], F.repeat(F.lit("0"), (width.cast("bigint") - s["next"]).cast("int")))
     )
 
 

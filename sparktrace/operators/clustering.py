@@ -34,7 +34,7 @@ class Centroid:
 def cluster_points(profiles: DataFrame, size: int, scaled: bool = True) -> DataFrame:
     """(case_id, cells, num): presence and transition cells in one sparse map, time features standardised or raw."""
     source = scale_time(profiles, "zscore") if scaled else profiles
-    acts = F.transform("acts", lambda pos: F.struct(pos.alias("key"), F.lit(1).alias("value")))
+    acts = F.transform("acts", lambda pos: F.struct(pos.cast("bigint").alias("key"), F.lit(1).alias("value")))
     trans = F.transform(
         F.map_entries("trans"), lambda e: F.struct((e["key"] + size).alias("key"), e["value"].alias("value"))
     )

@@ -73,7 +73,7 @@ def split_bridges(partition: DataFrame, stats: DataFrame) -> DataFrame:
     largest = partition.agg(F.max("community")).first()[0]
     fresh = dense_index(stats.select(F.col("Node").alias("node")), ["node"], "fresh", start=largest + 1)
     return partition.join(fresh, "node", "left").select(
-        "node", F.coalesce("fresh", F.col("community")).cast("int").alias("community")
+        "node", F.coalesce("fresh", F.col("community").cast("bigint")).alias("community")
     )
 
 

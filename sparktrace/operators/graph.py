@@ -65,36 +65,41 @@ def _modularity_parts(adjacency: DataFrame, partition: DataFrame, resolution: fl
 
 
 def pagerank(
-    edges: DataFrame, alpha: float = DAMPING, tol: float = 1e-6, max_rounds: int = 100, block: int = 5
+    edges: DataFrame, alpha: float = DAMPING, tol: float = 1e-6, max_rounds: int = 1000, block: int = 10, nodes: DataFrame | None = None
 ) -> DataFrame:
-    """PageRank with uniform teleport, stopped when the summed change falls below ``n * tol``.
+    """PageRank with uniform teleport, ended when the summed change falls below ``n * tol``; an error if ``max_rounds`` come first.
 
-    ``block`` rounds run as one job; then the ranks are written and the change of the last round is checked.
+    ``block`` rounds run as one job; then the ranks are written and the change of the last round is checked. ``nodes`` (node) may
+    name nodes without edges: their rank goes to all nodes alike. Ranks start from the degrees, near the result.
     """
     adjacency = symmetric(edges)
-    out = adjacency.groupBy("src").agg(F.sum("weight").alias("out"))
+    out = cut(adjacency.groupBy("src").agg(F.sum("weight").alias("out")))
     # A plain table, not partitioned by node: a hub's links may be split over tasks by the skew join.
     links = cut(adjacency.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
-    ranks = cut(graph_nodes(edges))
-    n = ranks.count()
-    ranks = ranks.withColumn("rank", F.lit(1.0 / n))
-    done = 0
-    while done < max_rounds:
+    every = cut(graph_nodes(edges) if nodes is None else graph_nodes(edges).union(nodes.select("node")).distinct())
+    n, linked = every.count(), out.count()
+    if not n:
+        return every.select("node", F.lit(0.0).alias("cent_pagerank"))
+    total = out.agg(F.sum("out")).first()[0] or 1.0
+    start = F.coalesce(F.col("out") / F.lit(total) * F.lit(linked / n), F.lit(1.0 / n))
+    ranks = cut(every.join(out, F.col("node") == F.col("src"), "left").select("node", start.alias("rank")))
+    loose = n > linked  # nodes without edges give their rank to all
+    for done in range(0, max_rounds, block):
         for _ in range(min(block, max_rounds - done)):
             old = ranks
-            # Every node of an undirected edge list has a link, so every node receives and no rank is lost.
-            ranks = (
-                links.join(old, F.col("src") == F.col("node"))
-                .groupBy(F.col("dst").alias("node"))
-                .agg((F.sum(F.col("rank") * F.col("share")) * alpha + (1.0 - alpha) / n).alias("rank"))
-            )
-        done += block
-        change = old.select("node", F.col("rank").alias("old"))
-        ranks = cut(ranks.join(change, "node"))
+            got = links.join(old, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+            if loose:
+                got = every.join(got, F.col("node") == F.col("dst"), "left").select("node", F.coalesce("got", F.lit(0.0)).alias("got"))
+                kept = old.join(out, F.col("node") == F.col("src"), "left_anti").agg(F.sum("rank").alias("kept"))
+                got = got.join(F.broadcast(kept)).withColumn("got", F.col("got") + F.col("kept") / n)
+            else:
+                got = got.withColumnRenamed("dst", "node")
+            ranks = got.select("node", (F.col("got") * alpha + (1.0 - alpha) / n).alias("rank"))
+        ranks = cut(ranks.join(old.select("node", F.col("rank").alias("old")), "node"))
         if ranks.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tol:
-            break
+            return ranks.select("node", F.col("rank").alias("cent_pagerank"))
         ranks = ranks.select("node", "rank")
-    return ranks.select("node", F.col("rank").alias("cent_pagerank"))
+    raise RuntimeError(f"PageRank did not converge in {max_rounds} rounds")
 
 
 def path_centralities(edges: DataFrame, batches: int | None = None) -> DataFrame:

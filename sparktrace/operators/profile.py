@@ -35,7 +35,7 @@ def activity_dict(log: DataFrame, order: str = "first_seen") -> Alphabet:
         position = F.row_number().over(Window.orderBy(*keys)) - 1
         numbered = firsts.select("activity", position.cast("int").alias("idx"))
     else:
-        numbered = dense_index(firsts, keys, "idx").select("activity", "idx")
+        numbered = dense_index(firsts, keys, "idx").select("activity", F.col("idx").cast("int").alias("idx"))
     return Alphabet(numbered, size)
 
 
@@ -138,7 +138,7 @@ def profile(log: DataFrame, alphabet: Alphabet, max_case_events: int = MAX_CASE_
     placed = lookup(placed, from_, "prev_activity", alphabet.size, "left")
     cell = F.when(
         F.col("from").isNotNull(),
-        F.struct((F.col("from") * alphabet.size + F.col("to")).alias("pos"), F.col("n").cast("int").alias("n")),
+        F.struct((F.col("from").cast("bigint") * alphabet.size + F.col("to")).alias("pos"), F.col("n").cast("int").alias("n")),
     )
     # At most size * (size + 1) rows per case are gathered here, however long the case is.
     gathered = placed.groupBy("case_id").agg(
@@ -152,7 +152,7 @@ def profile(log: DataFrame, alphabet: Alphabet, max_case_events: int = MAX_CASE_
 
 def profile_strings(profiles: DataFrame, size: int) -> DataFrame:
     """Add the dense presence and transition strings (``act_text``, ``tra_text``) that edit distance compares."""
-    presence = F.transform("acts", lambda pos: F.struct(pos.alias("pos"), F.lit(1).alias("n")))
+    presence = F.transform("acts", lambda pos: F.struct(pos.cast("bigint").alias("pos"), F.lit(1).alias("n")))
     counts = F.transform(
         F.array_sort(F.map_entries("trans")), lambda e: F.struct(e["key"].alias("pos"), e["value"].alias("n"))
     )

@@ -41,13 +41,18 @@ def _shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared checkpoint folder."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and go on from the written copy.
 
     Lost executors re-read it, plans stay short, and the optimizer sees its real size.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -90,5 +95,5 @@ def dense_index(df: DataFrame, order: list, name: str, start: int = 0) -> DataFr
     )
     # One row per partition of the range shuffle: bounded by the partition count, not by the data.
     return placed.join(F.broadcast(before), "__part").select(
-        *df.columns, (F.col("__before") + F.col("__pos") + F.lit(start)).cast("int").alias(name)
+        *df.columns, (F.col("__before") + F.col("__pos") + F.lit(start)).alias(name)
     )

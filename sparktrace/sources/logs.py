@@ -55,8 +55,36 @@ def read_xes(spark: SparkSession, path: str, normalize: bool = True) -> DataFram
     )
 
 
-def read_ocel2_json(spark: SparkSession, path: str, lines: bool = False) -> ObjectLog:
-    """OCEL 2.0 JSON. One document is one task; large logs come as many files, or one document per line (``lines``)."""
+def write_xes(log: DataFrame, path: str) -> None:
+    """A log as XES part files, one trace element per case with its events in order."""
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+
+    def one(key: str, value):
+        return F.array(F.struct(F.lit(key).alias("_key"), value.alias("_value")))
+
+    event = F.struct("ts", "seq", F.struct(one(XES_NAME, F.col("activity")).alias("string"), one(XES_TIME, stamp).alias("date")).alias("event"))
+    traces = log.groupBy("case_id").agg(F.sort_array(F.collect_list(event)).alias("events"))
+    traces.select(one(XES_NAME, F.col("case_id")).alias("string"), F.transform("events", lambda e: e["event"]).alias("event")).write.format("xml").options(
+        rootTag="log", rowTag="trace"
+    ).save(path)
+
+
+def write_ocel2_json(log: ObjectLog, path: str) -> None:
+    """An object-centric log as OCEL 2.0 JSON, one document per line: an event with its objects, so that lines stay small."""
+    related = log.relations.join(log.objects, "oid").groupBy("eid").agg(
+        F.collect_list(F.struct(F.col("oid").alias("objectId"), "qualifier")).alias("relationships"),
+        F.collect_set(F.struct(F.col("oid").alias("id"), "type")).alias("objects"),
+    )
+    time = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    event = F.struct(F.col("eid").cast("string").alias("id"), F.col("activity").alias("type"), time.alias("time"), F.coalesce("relationships", F.array()).alias("relationships"))
+    log.events.join(related, "eid", "left").select(F.coalesce("objects", F.array()).alias("objects"), F.array(event).alias("events")).write.json(path)
+
+
+def read_ocel2_json(spark: SparkSession, path: str, lines: bool = True) -> ObjectLog:
+    """OCEL 2.0 JSON, one document per line; a document that spans lines (``lines=False``) is read by one task, which suits small files.
+
+    An object named in several documents is one object.
+    """
     docs = spark.read.schema(_OCEL2_JSON).option("multiLine", not lines).json(path)
     events = docs.select(F.explode("events").alias("e"))
     return ObjectLog(
@@ -64,7 +92,7 @@ def read_ocel2_json(spark: SparkSession, path: str, lines: bool = False) -> Obje
             F.col("e.id").alias("eid"), F.col("e.type").alias("activity"),
             F.to_timestamp("e.time").cast("timestamp_ntz").alias("ts"),
         ),
-        docs.select(F.explode("objects").alias("o")).select(F.col("o.id").alias("oid"), F.col("o.type").alias("type")),
+        docs.select(F.explode("objects").alias("o")).select(F.col("o.id").alias("oid"), F.col("o.type").alias("type")).distinct(),
         events.select(F.col("e.id").alias("eid"), F.explode("e.relationships").alias("r")).select(
             "eid", F.col("r.objectId").alias("oid"), F.col("r.qualifier").alias("qualifier")
         ),
@@ -74,11 +102,19 @@ def read_ocel2_json(spark: SparkSession, path: str, lines: bool = False) -> Obje
 Loader = Callable[[str], DataFrame]
 
 
-def jdbc_loader(spark: SparkSession, url: str, driver: str = "org.sqlite.JDBC") -> Loader:
-    """Table loader for a SQLite file; the session needs a SQLite JDBC driver on its class path."""
-    return lambda table: (
-        spark.read.format("jdbc").options(url=url, driver=driver, dbtable=f'"{table}"').load()
-    )
+def jdbc_loader(spark: SparkSession, url: str, driver: str = "org.sqlite.JDBC", partitions: int = 1, rows: int = 0) -> Loader:
+    """Table loader for a SQLite file; the session needs a SQLite JDBC driver on its class path.
+
+    With ``partitions`` above 1 tables are read by that many tasks, cut by ``rowid`` up to ``rows``.
+    """
+    cut_by = {"partitionColumn": "rowid", "lowerBound": "0", "upperBound": str(max(rows, 1)), "numPartitions": str(partitions)} if partitions > 1 else {}
+
+    def load(table: str) -> DataFrame:
+        source = f'(SELECT rowid, * FROM "{table}") AS t' if cut_by else f'"{table}"'
+        found = spark.read.format("jdbc").options(url=url, driver=driver, dbtable=source, **cut_by).load()
+        return found.drop("rowid") if cut_by else found
+
+    return load
 
 
 def read_ocel2_tables(load: Loader) -> ObjectLog:
@@ -130,7 +166,7 @@ def detect_format(path: str) -> str:
     return "ocel_sqlite" if "sqlite" in path else "ocel2_json"
 
 
-def read_log(spark: SparkSession, path: str, notion: str | None = None, format: str | None = None) -> DataFrame:
+def read_log(spark: SparkSession, path: str, notion: str | None = None, format: str | None = None, lines: bool = False) -> DataFrame:
     """Flat event log from any supported file; object-centric ones need the object type that makes a case."""
     format = format or detect_format(path)
     if format not in FORMATS:
@@ -140,7 +176,7 @@ def read_log(spark: SparkSession, path: str, notion: str | None = None, format:
     if not notion:
         raise ValueError("an object-centric log needs a case notion")
     if format == "ocel2_json":
-        return read_ocel2_json(spark, path).flatten(notion)
+        return read_ocel2_json(spark, path, lines).flatten(notion)
     load = jdbc_loader(spark, f"jdbc:sqlite:{path}")
     log = read_ocel2_tables(load) if format == "ocel2_sqlite" else read_ocel1_tables(load)
     return log.flatten(notion)

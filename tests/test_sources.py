@@ -94,18 +94,20 @@ def test_unnamed_index(spark, tmp_path):
 
 
 def test_representatives(spark, tmp_path):
-    (tmp_path / "r.csv").write_text("community,degree_rep,betweenness_rep,pagerank_rep\n0,1178.0,825,513\n")
-    assert tables.read_representatives_csv(spark, str(tmp_path / "r.csv")).first()["degree_rep"] == "1178"
+    (tmp_path / "r.csv").write_text("community,degree_rep,betweenness_rep,pagerank_rep\n0,41.0,7,7\n")
+    assert tables.read_representatives_csv(spark, str(tmp_path / "r.csv")).first()["degree_rep"] == "41"
     with pytest.raises(ValueError):
         tables.read_representatives_csv(spark, str(tmp_path / "r.csv"), None)
-    assert [p.rsplit("/", 1)[1] for p in tables.files_of(spark, str(tmp_path), "r")] == ["r.csv"]
+    assert [r["path"].rsplit("/", 1)[1] for r in tables.files_of(spark, str(tmp_path), "r").collect()] == ["r.csv"]
 
 
 def test_graphml_and_runs(spark, tmp_path):
-    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0)], "src string, dst string, weight double")
-    tables.write_graphml(edges, str(tmp_path / "g"))
-    _, back = tables.read_graphml(spark, str(tmp_path / "g"))
-    assert sorted(map(tuple, back.collect())) == [("a", "b", 1.0), ("b", "c", 1.0)]
+    edges = spark.createDataFrame([("a", "b", 7.5), ("b", "c", 1.0)], "src string, dst string, weight double")
+    named = spark.createDataFrame([("a", "x"), ("b", None), ("alone", "y")], "node string, colour string")
+    tables.write_graphml(edges, str(tmp_path / "g"), named)
+    nodes, back = tables.read_graphml(spark, str(tmp_path / "g"), ("colour",))
+    assert sorted(map(tuple, back.collect())) == [("a", "b", 7.5), ("b", "c", 1.0)]
+    assert sorted(map(tuple, nodes.collect())) == [("a", "x"), ("alone", "y"), ("b", None)]
     (tmp_path / "one.graphml").write_text(
         '<graphml><graph edgedefault="directed"><node id="x"/><node id="y"/>'
         '<edge source="y" target="x"/><edge source="x" target="y"/></graph></graphml>'
