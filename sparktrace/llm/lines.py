@@ -33,7 +33,9 @@ MIN_DOCS = 10
 MIN_CHARS = 1
 COMMON = 4096
 #: Hashes of one shard, about.
-SHARD = 200_000
+SHARD = 50_000
+#: Probes of one shard, about: known from the counts.
+PROBES = 200_000
 GAMMA = 1.5
 _STRIP = ASCII_SPACE.encode()
 
@@ -148,7 +150,7 @@ def drop_common_lines(
     texts = docs.select(F.col(text).cast("string").alias("text"))
     counts = cut(_counted(texts, min_chars).filter(F.col("n") >= min(2, min_docs)))
     total = counts.agg(F.count("*"), F.sum("n")).first()
-    shards = max(1, -(-total[0] // SHARD))
+    shards = max(1, -(-total[0] // SHARD), -(-(total[1] or 0) // PROBES))
     common_at = max(min_docs, (total[1] or 0) // COMMON + 1)
     # Counts of over 1/4096 of their sum: 4,096 rows at most.
     common = np.array(counts.filter(F.col("n") >= common_at).select("key", "print", "n").collect(), dtype=np.int64).reshape(-1, 3)

@@ -2,19 +2,21 @@
 
 Every byte covered by a string of ``length`` (50) bytes that also starts in a document with a smaller id is removed.
 
-1. Documents are written once as a table bucketed by groups of rows, so that all later answers meet them without a shuffle.
-2. Every start of a 50-byte string has an anchor: the 16-byte gram of least hash inside it, leftmost of equal ones. Equal strings have
+1. Documents are written once as a table bucketed by groups of rows, so that all later answers meet them without a shuffle. Of
+   rows with one text only those of the smallest id go on: later copies lose all their bytes.
+2. Every start of a 50-byte string has an anchor: the 32-byte gram of least hash inside it, leftmost of equal ones. Equal strings have
    equal anchors, and consecutive starts with one anchor form a run. Groups send 32 bits of each anchor, with the bucket
    that the other bits choose, and learn which of them other documents have too. (Equal bits of different anchors only
    make more candidates.)
-3. Runs with shared anchors are the candidate strings: their bytes under a hash, each distinct one with its smallest document.
-   An anchor with one distinct string is settled: all who have it have all of it.
-4. The distinct strings of other anchors are dealt into buckets by anchor, and buckets into shards. Each shard is sorted by itself
-   and gives its Burrows-Wheeler transform. The transforms are merged by refining an interleave: the sequence that says which shard
-   the next suffix comes from, sorted by h first bytes, becomes the one by h + 1 by stably sorting it by the transforms' bytes.
-   Suffixes are not sorted again. Borders of blocks that open at step h have common prefixes of h - 1 bytes; blocks after 50
-   steps are the repeated intervals, and each start learns the smallest document of its interval.
-5. Each run of a document compares these with its own id; the starts that lose are sent to the document's group.
+3. Runs with shared anchors are the candidate strings. A group sends a hash of each distinct one with its smallest and greatest
+   document and keeps where it stands. An anchor with one distinct string is settled: all who have it have all of it.
+4. The distinct strings of other anchors are fetched from a group that has them and dealt into buckets by anchor, and buckets into
+   shards. Each shard is sorted by itself and gives its Burrows-Wheeler transform. The transforms are merged by refining an
+   interleave: the sequence that says which shard the next suffix comes from, sorted by h first bytes, becomes the one by
+   h + 1 by stably sorting it by the transforms' bytes. Suffixes are not sorted again. Borders of blocks that open at
+   step h have common prefixes of h - 1 bytes; blocks after 50 steps are the repeated intervals, and each start learns the
+   smallest document of its interval.
+5. Each group's documents compare these with their own ids and remove what the losing starts cover.
 
 An anchor with over ``CROWDED`` distinct strings (the border of a very common passage) would fill one task: its strings are cut
 into their single 50-byte strings, whose smallest documents are aggregated before they are shuffled. Both ways are exact.
@@ -30,16 +32,17 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktrace.llm.common import fresh, table, tasks_for
+from sparktrace.llm.common import fresh, table, tasks_for, text_key
 from sparktrace.session import cut
 
 LENGTH = 50
-GRAM = 16
+GRAM = 32
 LAST = (1 << 63) - 1
 #: Rows of a group, bytes of a piece of text that is scanned at once, bytes of text for each anchor bucket.
 GROUP_ROWS = 1024
@@ -49,13 +52,15 @@ BUCKET_BYTES = 8_000_000
 STRINGS_BYTES = 4_000_000
 SHARD_BYTES = 1_000_000
 CROWDED = 20_000
+#: A place is a row's number in its group and a start.
+PLACE_BITS = 44
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xD6E8FEB86659FD93)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """64-bit hashes of all 16-byte grams, by doubling."""
+    """64-bit hashes of all 32-byte grams, by doubling."""
     h, factor, width = (data.astype(np.uint64) + np.uint64(1)) * _MIX2, _MIX, 1
     while width < GRAM:
         with np.errstate(over="ignore"):
@@ -218,127 +223,154 @@ def remove_repeats(
     texts = held.select(
         F.col(row_name).alias("_row"), F.col(group_name).alias("_group"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LAST)).alias("document"), F.col(text).cast("string").alias("text")
     )
+    # Rows whose text a smaller id has: (group, row).
+    same = texts.filter(F.octet_length("text") >= length).select("_group", "_row", "document", text_key(F.col("text")).alias("key"))
+    first = same.groupBy("key").agg(F.min("document").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    copies = cut(same.join(first, "key").filter("document > least").groupBy("_group").agg(F.collect_list(F.col("_row") % GROUP_ROWS).alias("copies")))
 
     def bytes_of(column) -> list[bytes]:
         return [(t or "").encode() for t in column.to_pylist()]
 
-    def send_anchors(batches):
-        for batch in batches:
-            groups = batch.column(0).to_numpy()
-            for group in np.unique(groups):
-                part = batch.filter(pa.array(groups == group))
-                found = []
-                for number, h, *_ in scanned(bytes_of(part.column(1)), length):
-                    # Once for each document, and twice at most: two documents are enough to share it.
-                    pairs = np.unique(np.stack([h, number.astype(np.uint64)], axis=1), axis=0)[:, 0] if len(h) else h
-                    found.append(pairs)
-                h = np.sort(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
-                h = h[np.r_[True, True, h[2:] != h[:-2]][: len(h)]]
-                bucket = ((h & np.uint64(0xFFFFFFFF)) % np.uint64(anchor_buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bucket, bits = bucket[order], (h[order] >> np.uint64(32)).astype("<u4")
-                borders = np.flatnonzero(np.diff(bucket, prepend=-1))
-                packed = [x.tobytes() for x in np.split(bits, borders[1:])] if len(bits) else []
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[borders]), pa.array(np.full(len(borders), group, dtype=np.int64)), pa.array(packed, pa.binary())], names=["bucket", "_group", "bits"])
+    def originals(rows: pa.Table, gone: pa.Table) -> tuple[list[int], list[int], list[bytes]]:
+        """Row numbers in the group, documents and texts; texts that count elsewhere are empty."""
+        dropped = set(gone.column("copies")[0].as_py()) if gone.num_rows else set()
+        numbers = (rows.column("_row").to_numpy() % GROUP_ROWS).tolist()
+        return numbers, rows.column("document").to_pylist(), [b"" if i in dropped else t for i, t in zip(numbers, bytes_of(rows.column("text")), strict=True)]
+
+    def send_anchors(rows: pa.Table, gone: pa.Table) -> pa.Table:
+        found = []
+        for number, h, *_ in scanned(originals(rows, gone)[2] if rows.num_rows else [], length):
+            # Once for each document, and twice at most: two documents are enough to share it.
+            order = np.lexsort((number, h))
+            h, number = h[order], number[order]
+            found.append(h[np.r_[True, (h[1:] != h[:-1]) | (number[1:] != number[:-1])][: len(h)]])
+        h = np.sort(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+        h = h[np.r_[True, True, h[2:] != h[:-2]][: len(h)]]
+        bucket = ((h & np.uint64(0xFFFFFFFF)) % np.uint64(anchor_buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, bits = bucket[order], (h[order] >> np.uint64(32)).astype("<u4")
+        borders = np.flatnonzero(np.diff(bucket, prepend=-1))
+        sent = [x.tobytes() for x in np.split(bits, borders[1:])] if len(bits) else []
+        group = rows.column("_group")[0].as_py() if rows.num_rows else 0
+        return pa.table([pa.array(bucket[borders]), pa.array(np.full(len(borders), group, dtype=np.int64)), pa.array(sent, pa.binary())], names=["bucket", "_group", "bits"])
 
     def find_shared(group: pa.Table) -> pa.Table:
         parts = [np.frombuffer(b, dtype="<u4") for b in group.column("bits").to_pylist()]
-        every = np.sort(np.concatenate(parts))
-        shared = np.unique(every[1:][every[1:] == every[:-1]])
-        mine = [p[np.isin(p, shared)] for p in parts]
-        some = np.array([len(m) > 0 for m in mine])
-        answers = group.select(["bucket", "_group"]).filter(pa.array(some))
-        return answers.append_column("bits", pa.array([m.tobytes() for m, s in zip(mine, some, strict=True) if s], pa.binary()))
+        every, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        equal = every[1:] == every[:-1]
+        shared = np.r_[False, equal] | np.r_[equal, False]
+        every, owner = every[shared], owner[shared]
+        order = np.argsort(owner, kind="stable")
+        every, owner = every[order], owner[order]
+        some, begin = np.unique(owner, return_index=True)
+        answers = group.select(["bucket", "_group"]).take(pa.array(some))
+        return answers.append_column("bits", pa.array([x.tobytes() for x in np.split(every, begin[1:])] if len(some) else [], pa.binary()))
 
     packed = "bucket bigint, _group bigint, bits binary"
-    shared = texts.select("_group", "text").mapInArrow(send_anchors, packed).groupBy("bucket").applyInArrow(find_shared, packed)
-
-    def send_runs(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        names = ["h", "s", "_row", "_group", "document", "start", "n", "string"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        out = [[] for _ in names]
+    shared = texts.groupBy("_group").cogroup(copies.groupBy("_group")).applyInArrow(send_anchors, packed).groupBy("bucket").applyInArrow(find_shared, packed)
+    answers_of = shared.select("_group", "bucket", "bits", F.lit(None).cast("array<bigint>").alias("copies"))
+    told = answers_of.unionByName(copies.select("_group", F.lit(-1).cast("bigint").alias("bucket"), F.lit(None).cast("binary").alias("bits"), "copies"))
+
+    def send_runs(rows: pa.Table, told: pa.Table) -> pa.Table:
+        names = ["h", "s", "_group", "least", "most", "n", "places"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+        is_copies = pc.equal(told.column("bucket"), -1)
+        answers, gone = told.filter(pc.invert(is_copies)), told.filter(is_copies)
+        found: dict[tuple[int, int], list] = {}
         if rows.num_rows and answers.num_rows:
             known = np.sort(np.concatenate([np.frombuffer(b, dtype="<u4").astype(np.int64) * anchor_buckets + k for k, b in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True)]))
-            ids, places = rows.column("_row").to_pylist(), rows.column("document").to_pylist()
-            seen, digest, group = set(), xxhash.xxh3_64_intdigest, rows.column("_group")[0].as_py()
-            for number, h, start, n, joined, first in scanned(bytes_of(rows.column("text")), length):
+            numbers, documents, data = originals(rows, gone)
+            digest = xxhash.xxh3_64_intdigest
+            for number, h, start, n, joined, first in scanned(data, length):
                 code = (h >> np.uint64(32)).astype(np.int64) * anchor_buckets + ((h & np.uint64(0xFFFFFFFF)) % np.uint64(anchor_buckets)).astype(np.int64)
-                at = np.minimum(np.searchsorted(known, code), len(known) - 1)
-                for i in np.flatnonzero(known[at] == code).tolist():
-                    string, row = joined[first[i] : first[i] + n[i] + length - 1], number[i]
-                    s = digest(string) - (1 << 63)
-                    sent = None if s in seen else string  # its bytes once for each group
-                    seen.add(s)
-                    made = (int(h[i]) - (1 << 63), s, ids[row], group, places[row], int(start[i]), int(n[i]), sent)
-                    for column, value in zip(out, made, strict=True):
-                        column.append(value)
-        return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+                hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code)
+                columns = (h[hit].view(np.int64).tolist(), number[hit].tolist(), start[hit].tolist(), n[hit].tolist(), first[hit].tolist())
+                for anchor, row, at, size, place in zip(*columns, strict=True):
+                    key = (anchor, digest(joined[place : place + size + length - 1]))
+                    document, where = documents[row], numbers[row] << PLACE_BITS | at
+                    held = found.get(key)
+                    if held is None:
+                        found[key] = [document, document, size, [where]]
+                    else:
+                        held[0], held[1] = min(held[0], document), max(held[1], document)
+                        held[3].append(where)
+        group = rows.column("_group")[0].as_py() if rows.num_rows else 0
+        values = list(found.values())
+        columns = [[k[0] for k in found], [k[1] - (1 << 63) for k in found], [group] * len(found), *([v[i] for v in values] for i in range(4))]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     runs = cut(
-        texts.groupBy("_group").cogroup(shared.groupBy("_group")).applyInArrow(
-            send_runs, "h bigint, s bigint, _row bigint, _group bigint, document bigint, start bigint, n int, string binary"
+        texts.groupBy("_group").cogroup(told.groupBy("_group")).applyInArrow(
+            send_runs, "h bigint, s bigint, _group bigint, least bigint, most bigint, n int, places array<bigint>"
         )
     )
-    variants = cut(runs.groupBy("h", "s").agg(F.min("document").alias("least"), F.max("document").alias("most"), F.max("string").alias("string")))
+    variants = runs.groupBy("h", "s").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min(F.struct("_group", F.col("places")[0].alias("place"), "n")).alias("at"))
     sizes = variants.groupBy("h").agg(F.count("*").alias("strings"), F.min("least").alias("first"), F.max("most").alias("last"))
     # Anchors that only one document has after all need no more work.
-    sized = cut(variants.join(sizes.filter("first < last"), "h").select("h", "s", "least", "string", "strings"))
-    settled = sized.filter("strings = 1").select("h", "s", "least", F.lit(None).cast("binary").alias("leasts"))
-    several = sized.filter(f"strings BETWEEN 2 AND {CROWDED}")
+    sized = cut(variants.join(sizes.filter("first < last").select("h", "strings"), "h").select("h", "s", "least", "at", "strings"))
+    settled = sized.filter("strings = 1").select("h", "s", F.array("least").alias("leasts"))
+
+    def fetch(rows: pa.Table, wanted: pa.Table) -> pa.Table:
+        data = dict(zip((rows.column("_row").to_numpy() % GROUP_ROWS).tolist(), bytes_of(rows.column("text")), strict=True)) if wanted.num_rows else {}
+        strings = []
+        for place, n in zip(wanted.column("place").to_pylist(), wanted.column("n").to_pylist(), strict=True):
+            start = place & ((1 << PLACE_BITS) - 1)
+            strings.append(data[place >> PLACE_BITS][start : start + n + length - 1])
+        return wanted.select(["h", "s", "least", "strings"]).append_column("string", pa.array(strings, pa.binary()))
+
+    wanted = sized.filter("strings > 1").select("h", "s", "least", "strings", "at._group", "at.place", "at.n")
+    fetched = cut(texts.groupBy("_group").cogroup(wanted.groupBy("_group")).applyInArrow(fetch, "h bigint, s bigint, least bigint, strings bigint, string binary"))
+    several = fetched.filter(F.col("strings") <= CROWDED)
     buckets = tasks_for(several, F.octet_length("string"), STRINGS_BYTES)
+    answer = "h bigint, s bigint, leasts array<bigint>"
 
     def merge(group: pa.Table) -> pa.Table:
         found = smallest_documents(group.column("string").to_pylist(), group.column("least").to_numpy(), length)
-        return pa.table({"h": group.column("h"), "s": group.column("s"), "least": pa.array([int(f.min()) for f in found], pa.int64()), "leasts": pa.array([f.astype("<i8").tobytes() for f in found], pa.binary())})
+        offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+        return pa.table({"h": group.column("h"), "s": group.column("s"), "leasts": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))})
 
-    answer = "h bigint, s bigint, least bigint, leasts binary"
     merged = several.withColumn("bucket", F.expr(f"pmod(h, {buckets})")).groupBy("bucket").applyInArrow(merge, answer)
-    single = sized.filter(f"strings > {CROWDED}").select("h", "s", "least", "string", F.posexplode(F.expr(f"sequence(1, octet_length(string) - {length - 1})")).alias("place", "at"))
+    single = fetched.filter(F.col("strings") > CROWDED).select("h", "s", "least", "string", F.posexplode(F.expr(f"sequence(1, octet_length(string) - {length - 1})")).alias("place", "at"))
     single = single.select("h", "s", "least", "place", F.expr(f"substring(string, at, {length})").alias("string"))
     least = single.groupBy("string").agg(F.min("least").alias("smallest"))
-
-    def to_array(group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("place").to_numpy())
-        found = group.column("smallest").to_numpy()[order].astype("<i8")
-        return pa.table({"h": group.column("h").slice(0, 1), "s": group.column("s").slice(0, 1), "least": pa.array([int(found.min())]), "leasts": pa.array([found.tobytes()], pa.binary())})
-
-    crowded = single.join(least, "string").select("h", "s", "place", "smallest").groupBy("h", "s").applyInArrow(to_array, answer)
-    answers = settled.unionByName(merged).unionByName(crowded)
-
-    def losing(batches):
-        """Ranges of starts whose string a smaller document has."""
-        for batch in batches:
-            rows, groups, lows, highs = [], [], [], []
-            for row, group, document, start, n, leasts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if leasts is None:
-                    rows.append(row), groups.append(group), lows.append(start), highs.append(start + n)
-                    continue
-                lost = np.flatnonzero(np.diff((np.frombuffer(leasts, dtype="<i8") < document).astype(np.int8), prepend=0, append=0))
-                for low, high in lost.reshape(-1, 2).tolist():
-                    rows.append(row), groups.append(group), lows.append(start + low), highs.append(start + high)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rows, groups, lows, highs)], names=["_row", "_group", "low", "high"])
-
-    lost = (
-        runs.join(answers.filter("least IS NOT NULL"), ["h", "s"]).filter("least < document")
-        .select("_row", "_group", "document", "start", "n", "leasts").mapInArrow(losing, "_row bigint, _group bigint, low bigint, high bigint")
-    )
+    crowded = single.join(least, "string").groupBy("h", "s").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "smallest"))), lambda x: x["smallest"]).alias("leasts"))
+    lost = runs.select("h", "s", "_group", "n", "most", "places").join(settled.unionByName(merged).unionByName(crowded), ["h", "s"])
+    lost = lost.filter(F.array_min("leasts") < F.col("most")).select("_group", "n", "places", "leasts", F.lit(None).cast("array<bigint>").alias("copies"))
+    lost = lost.unionByName(copies.select("_group", F.lit(0).alias("n"), *(F.lit(None).cast("array<bigint>").alias(c) for c in ("places", "leasts")), "copies"))
     out = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType(), False) for c in (n_bytes, n_removed, n_spans)), T.StructField(kept, T.BinaryType(), False)])
     names = docs.columns
 
     def remove(rows: pa.Table, lost: pa.Table) -> pa.Table:
-        order = np.lexsort((lost.column("low").to_numpy(), lost.column("_row").to_numpy()))
-        owner, low, high = (lost.column(c).to_numpy()[order] for c in ("_row", "low", "high"))
+        data = bytes_of(rows.column(text))
+        numbers = (rows.column(row_name).to_numpy() % GROUP_ROWS).tolist()
+        documents = dict(zip(numbers, [LAST if d is None else int(d) for d in rows.column(doc_id).to_pylist()], strict=True))
+        ranges: dict[int, list[tuple[int, int]]] = {}
+        for n, places, leasts, copies in zip(*(lost.column(c).to_pylist() for c in ("n", "places", "leasts", "copies")), strict=True):
+            for number in copies or ():
+                ranges[number] = [(0, LAST)]
+            for place in places or ():
+                number, start = place >> PLACE_BITS, place & ((1 << PLACE_BITS) - 1)
+                document = documents[number]
+                if len(leasts) == 1 or n == 1:
+                    if leasts[0] < document:
+                        ranges.setdefault(number, []).append((start, start + n))
+                else:
+                    edges = np.flatnonzero(np.diff((np.array(leasts) < document).astype(np.int8), prepend=0, append=0)).tolist()
+                    ranges.setdefault(number, []).extend((start + i, start + j) for i, j in zip(edges[::2], edges[1::2], strict=True))
         result = []
-        for row, data in zip(rows.column(row_name).to_pylist(), bytes_of(rows.column(text)), strict=True):
-            a, b = np.searchsorted(owner, [row, row + 1])
-            if a == b:
-                result.append((len(data), 0, 0, data))
-                continue
-            opens, closes = low[a:b], np.maximum.accumulate(high[a:b]) + length - 1
-            new = np.r_[True, opens[1:] > closes[:-1]]
-            begin, end = opens[new], np.append(closes[:-1][new[1:]], closes[-1])
-            edges = [0, *np.stack([begin, end], axis=1).ravel().tolist(), len(data)]
-            result.append((len(data), int((end - begin).sum()), len(begin), b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))))
+        for number, whole in zip(numbers, data, strict=True):
+            spans: list[list[int]] = []
+            for low, high in sorted(ranges.get(number, ())):
+                end = min(high + length - 1, len(whole))
+                if spans and low <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], end)
+                else:
+                    spans.append([low, end])
+            edges = [0, *(x for span in spans for x in span), len(whole)]
+            stay = b"".join(whole[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
+            result.append((len(whole), len(whole) - len(stay), len(spans), stay))
         made = list(zip(*result)) or [()] * 4
         columns = [rows.column(c) for c in names] + [pa.array(m, k) for m, k in zip(made, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
         return pa.table(columns, names=[f.name for f in out.fields])

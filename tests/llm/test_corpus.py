@@ -109,11 +109,11 @@ def repeat_rows():
     return rows + [(206, "z" * 120), (207, "ab" * 300 + "z" * 50), (208, "ab" * 200), (-5, rows[7][1][:70])]
 
 
-@pytest.mark.parametrize("crowded, length", [(20_000, 50), (2, 50), (20_000, 21)])
+@pytest.mark.parametrize("crowded, length", [(20_000, 50), (2, 50), (20_000, 41)])
 def test_repeats_equal_brute_force(spark, monkeypatch, crowded, length):
     monkeypatch.setattr(repeats, "CROWDED", crowded)
     monkeypatch.setattr(repeats, "PIECE_BYTES", 300)
-    monkeypatch.setattr(repeats, "GROUP_ROWS", 7)
+    monkeypatch.setattr(repeats, "GROUP_ROWS", 8)
     monkeypatch.setattr(repeats, "SHARD_BYTES", 700)
     rows = repeat_rows()
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id bigint, text string, least int").repartition(4)
