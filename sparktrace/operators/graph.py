@@ -27,16 +27,21 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return forth.unionByName(back)
 
 
-def graph_nodes(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+def graph_nodes(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """The nodes of the edges and, if given, of a node table (node), which may have nodes without an edge."""
+    found = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
+    return (found if nodes is None else found.union(nodes.select("node"))).distinct()
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    return symmetric(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    found = symmetric(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    if nodes is None:
+        return found
+    return graph_nodes(edges, nodes).join(found, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def degree_centrality(edges: DataFrame) -> DataFrame:
-    found = degrees(edges)
+def degree_centrality(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    found = degrees(edges, nodes)
     others = found.agg((F.count("*") - 1).cast("double")).scalar()
     return found.select("node", (F.col("degree") / others).alias("cent_degree"))
 
@@ -76,7 +81,7 @@ def pagerank(
     out = cut(adjacency.groupBy("src").agg(F.sum("weight").alias("out")))
     # A plain table, not partitioned by node: a hub's links may be split over tasks by the skew join.
     links = cut(adjacency.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
-    every = cut(graph_nodes(edges) if nodes is None else graph_nodes(edges).union(nodes.select("node")).distinct())
+    every = cut(graph_nodes(edges, nodes))
     n, linked = every.count(), out.count()
     if not n:
         return every.select("node", F.lit(0.0).alias("cent_pagerank"))
@@ -102,14 +107,14 @@ def pagerank(
     raise RuntimeError(f"PageRank did not converge in {max_rounds} rounds")
 
 
-def path_centralities(edges: DataFrame, batches: int | None = None) -> DataFrame:
+def path_centralities(edges: DataFrame, batches: int | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """Betweenness (normalised) and closeness (scaled by the reachable share) of every node: exact, all sources.
 
     Breadth-first levels of all sources of a batch advance together, one frontier join per level; dependencies flow
     back level by level. Frontier rows carry the number of shortest paths.
     """
     adjacency = cut(symmetric(edges).filter(F.col("src") != F.col("dst")).select("src", "dst"))
-    nodes = cut(graph_nodes(edges))
+    nodes = cut(graph_nodes(edges, nodes))
     n = nodes.count()
     batches = batches or max(1, -(-n * n // SEARCH_ROWS))
     parts = []
@@ -177,89 +182,98 @@ def _level_sums(level: DataFrame, depth: int) -> DataFrame:
     )
 
 
-def louvain(
-    edges: DataFrame, resolution: float = 1.0, max_sweeps: int = 20, max_levels: int = 10, min_gain: float = 1e-5
-) -> DataFrame:
+def louvain(edges: DataFrame, resolution: float = 1.0, nodes: DataFrame | None = None) -> DataFrame:
     """Louvain communities: (node, community), communities numbered from 0 by size, then by smallest node.
 
-    A sweep moves the nodes of one hash half to the neighbouring community with the largest gain, all at once; halves
-    alternate so that two neighbours rarely swap. When two sweeps, one per half, bring no gain, communities become the
-    nodes of the next level. A level is kept only if it raises the modularity.
+    A level ends when no node has a move that raises the modularity; then communities become the nodes of the next level. The
+    last level is the one without any move, so no merger of two communities would raise it either. There is no limit of sweeps or
+    levels: modularity rises with every sweep that is kept. ``nodes`` may name nodes without edges, which stay alone.
     """
     adjacency = cut(symmetric(edges))
-    mapping = graph_nodes(edges).withColumn("community", F.col("node"))
-    best = None
-    for _ in range(max_levels):
-        partition = _move_nodes(adjacency, resolution, max_sweeps, min_gain)
-        quality = _modularity_parts(adjacency, partition, resolution).first()[0]
-        if best is not None and quality <= best + min_gain:
+    mapping = cut(graph_nodes(edges).withColumn("community", F.col("node")))
+    while True:
+        partition, moved = _move_nodes(adjacency, resolution)
+        if not moved:
             break
-        best = quality
         step = partition.select(F.col("node").alias("community"), F.col("community").alias("parent"))
         mapping = cut(mapping.join(step, "community").select("node", F.col("parent").alias("community")))
         side = partition.select(F.col("node").alias("src"), F.col("community").alias("c_src"))
         other = partition.select(F.col("node").alias("dst"), F.col("community").alias("c_dst"))
-        smaller = cut(
+        adjacency = cut(
             adjacency.join(side, "src").join(other, "dst")
             .groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("weight").alias("weight"))
         )
-        adjacency = smaller
+    if nodes is not None:
+        alone = nodes.select("node").distinct().join(mapping, "node", "left_anti")
+        mapping = mapping.unionByName(alone.withColumn("community", F.col("node")))
     sizes = mapping.groupBy("community").agg(F.count("*").alias("size"), F.min("node").alias("first"))
     numbered = dense_index(sizes, [F.col("size").desc(), F.col("first")], "number")
     return cut(mapping.join(numbered, "community").select("node", F.col("number").alias("community")))
 
 
-def _move_nodes(adjacency: DataFrame, resolution: float, max_sweeps: int, min_gain: float) -> DataFrame:
-    """Local moving on one level; returns the best partition seen."""
-    strength = cut(adjacency.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")))
-    m2 = strength.agg(F.sum("k")).first()[0]
-    partition = strength.select("node", "k", F.col("node").alias("community"), F.lit(False).alias("moved"))
-    best, best_quality, quiet = partition, None, -1
-    between = adjacency.filter(F.col("src") != F.col("dst"))
-    loops = adjacency.filter(F.col("src") == F.col("dst")).select(F.col("weight").alias("loop"))
-    for sweep in range(max_sweeps):
-        totals = partition.groupBy("community").agg(F.sum("k").alias("tot"))
-        near = (
-            between.join(partition.select(F.col("node").alias("dst"), "community"), "dst")
-            .groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("w"))
-        )
-        stay = partition.select("node", "community", F.lit(0.0).alias("w"))
-        own = partition.select("node", "k", F.col("community").alias("own"))
-        options = (
-            near.unionByName(stay).groupBy("node", "community").agg(F.sum("w").alias("w"))
-            .join(own, "node").join(totals, "community")
-        )
-        rest = F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = F.col("w") - F.lit(resolution / m2) * rest * F.col("k")
-        ranked = options.withColumn("gain", gain).groupBy("node").agg(
-            F.first("k").alias("k"), F.first("own").alias("own"),
-            F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("now"),
-            # Largest gain; among equal gains the smallest community.
-            F.min(F.struct((-F.round("gain", 9)).alias("cost"), "community")).alias("top"),
-            F.max("gain").alias("gain"),
-            F.sum(F.when(F.col("community") == F.col("own"), F.col("w"))).alias("inside"),
-            F.first(F.when(F.col("community") == F.col("own"), F.col("tot")), ignorenulls=True).alias("tot"),
-        )
-        mine = F.pmod(F.xxhash64("node", F.lit(sweep // 2)), F.lit(2)) == sweep % 2
-        moves = mine & (F.col("gain") > F.col("now") + 1e-9 * m2) & (F.col("top.community") != F.col("own"))
-        # The sums of the partition before the move ride along, so that one pass gives the moves and its quality.
-        after = cut(
-            ranked.select(
-                "node", "k", F.when(moves, F.col("top.community")).otherwise(F.col("own")).alias("community"),
-                moves.alias("moved"), "inside", "own", "tot",
+def best_moves(adjacency: DataFrame, partition: DataFrame, m2: float, resolution: float = 1.0) -> DataFrame:
+    """Each node (node, k, community) with its best neighbouring community: (node, k, own, to, better, inside, tot).
+
+    ``better``: what the move adds to the modularity, times half the total weight; null or below zero if no move does.
+    """
+    totals = partition.groupBy("community").agg(F.sum("k").alias("tot"))
+    near = (
+        adjacency.filter(F.col("src") != F.col("dst"))
+        .join(partition.select(F.col("node").alias("dst"), "community"), "dst")
+        .groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("w"))
+    )
+    stay = partition.select("node", "community", F.lit(0.0).alias("w"))
+    own = partition.select("node", "k", F.col("community").alias("own"))
+    options = near.unionByName(stay).groupBy("node", "community").agg(F.sum("w").alias("w")).join(own, "node").join(totals, "community")
+    mine = F.col("community") == F.col("own")
+    rest = F.col("tot") - F.when(mine, F.col("k")).otherwise(0.0)
+    ranked = options.withColumn("gain", F.col("w") - F.lit(resolution / m2) * rest * F.col("k")).groupBy("node").agg(
+        F.first("k").alias("k"), F.first("own").alias("own"), F.max(F.when(mine, F.col("gain"))).alias("now"),
+        # Largest gain; among equal gains the smallest community.
+        F.min(F.when(~mine, F.struct((-F.round("gain", 9)).alias("cost"), "community"))).alias("top"),
+        F.max(F.when(~mine, F.col("gain"))).alias("gain"),
+        F.sum(F.when(mine, F.col("w"))).alias("inside"), F.max(F.when(mine, F.col("tot"))).alias("tot"),
+    )
+    return ranked.select("node", "k", "own", F.col("top.community").alias("to"), (F.col("gain") - F.col("now")).alias("better"), "inside", "tot")
+
+
+def _move_nodes(adjacency: DataFrame, resolution: float) -> tuple[DataFrame, bool]:
+    """Local moving on one level, until no node has a positive move; whether any node moved.
+
+    First the nodes of one hash half move at once, halves alternating, as long as each sweep raises the modularity. From the best
+    partition on, only moves that share no community with one of smaller hash go through: their gains are exact, so every
+    sweep raises it, and the end is a local optimum.
+    """
+    partition = cut(adjacency.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")).withColumn("community", F.col("node")))
+    m2 = partition.agg(F.sum("k")).first()[0]
+    if not m2:
+        return partition, False
+    least = 1e-9 * m2
+    best, best_inside, exact, sweep, moved = None, None, False, 0, False
+    while True:
+        found = cut(best_moves(adjacency, partition, m2, resolution).withColumn("hash", F.xxhash64("node", F.lit(sweep // 2))))
+        wants = F.coalesce(F.col("better") > least, F.lit(False))
+        row = found.agg(F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("tot")).alias("t2"), F.count_if(wants).alias("wants")).first()
+        quality = row["inside"] / m2 - resolution * row["t2"] / (m2 * m2)  # loops are the same in every partition of the level
+        if not exact and best is not None and quality <= best_inside + 1e-12:
+            partition, exact = best, True  # the last sweep did not pay: back, and on with exact moves
+            sweep += 1
+            continue
+        best, best_inside = partition, quality
+        if not row["wants"]:
+            return partition, moved
+        moved = True
+        if exact:
+            movers = found.filter(wants).select("node", "own", "to", "hash")
+            first = movers.select("hash", F.explode(F.array("own", "to")).alias("at")).groupBy("at").agg(F.min("hash").alias("first"))
+            free = (
+                movers.join(first.select(F.col("at").alias("own"), F.col("first").alias("at_own")), "own")
+                .join(first.select(F.col("at").alias("to"), F.col("first").alias("at_to")), "to")
+                .filter("hash = at_own AND hash = at_to").select("node", F.col("to").alias("target"))
             )
-        )
-        inside_loops = loops.agg(F.coalesce(F.sum("loop"), F.lit(0.0)).alias("l"))
-        row = after.agg(
-            F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("tot")).alias("t2"),
-            F.count_if("moved").alias("moves"), F.first(inside_loops.scalar()).alias("loops"),
-        ).first()
-        quality = (row["inside"] + row["loops"]) / m2 - resolution * row["t2"] / (m2 * m2)
-        # ``quality`` belongs to the partition before this sweep's moves.
-        quiet = 0 if best_quality is None or quality > best_quality + min_gain else quiet + 1
-        if best_quality is None or quality > best_quality:
-            best, best_quality = partition, quality
-        if quiet >= 2:
-            break
-        partition = after.select("node", "k", "community", "moved")
-    return best.select("node", "community")
+            after = found.join(free, "node", "left").select("node", "k", F.coalesce("target", "own").alias("community"))
+        else:
+            turn = F.pmod(F.col("hash"), F.lit(2)) == sweep % 2
+            after = found.select("node", "k", F.when(wants & turn, F.col("to")).otherwise(F.col("own")).alias("community"))
+        partition = cut(after)
+        sweep += 1

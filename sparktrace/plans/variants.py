@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +42,15 @@ class Communities:
     modularity: DataFrame
 
 
-def detect_communities(edges: DataFrame, resolution: float = 1.0, attributes: DataFrame | None = None) -> Communities:
-    """Communities, centralities per node, and representatives per community."""
-    partition = graph.louvain(edges, resolution)
+def detect_communities(
+    edges: DataFrame, resolution: float = 1.0, attributes: DataFrame | None = None, all_nodes: DataFrame | None = None
+) -> Communities:
+    """Communities, centralities per node, and representatives per community. ``all_nodes`` may name nodes without edges."""
+    partition = graph.louvain(edges, resolution, all_nodes)
     nodes = cut(
         communities.node_table(
-            partition, graph.degree_centrality(edges), graph.path_centralities(edges), graph.pagerank(edges),
+            partition, graph.degree_centrality(edges, all_nodes), graph.path_centralities(edges, nodes=all_nodes),
+            graph.pagerank(edges, nodes=all_nodes),
             attributes=attributes,
         )
     )
@@ -62,7 +66,7 @@ def detect_all(graphs: dict[str, DataFrame], resolution: float = 1.0) -> tuple[d
     for run, edges in graphs.items():
         try:
             found[run] = detect_communities(edges, resolution)
-        except Exception as reason:  # one broken graph must not stop the batch
+        except (ValueError, AnalysisException) as reason:  # a graph that can't be read must not stop the batch; lost executors do
             skipped[run] = str(reason)
     return found, skipped
 

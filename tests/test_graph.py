@@ -87,3 +87,44 @@ def test_detection_of_several_graphs(spark, triangles):
     assert sorted(map(tuple, reps)) == [("c", "c", "c"), ("d", "d", "d")]
     assert found["good"].modularity.first()[0] == 0.36
     assert list(skipped) == ["broken"]
+
+
+def test_isolated_nodes_stay(spark, triangles):
+    nodes = spark.createDataFrame([("a",), ("alone",)], "node string")
+    ranks = by_node(graph.pagerank(triangles, tol=1e-12, nodes=nodes), "cent_pagerank")
+    # By hand: the lone node gets the teleport and its share of its own rank, (0.15 + 0.85 r) / 7 = r.
+    assert ranks["alone"] == pytest.approx(0.15 / 6.15, abs=1e-9) and sum(ranks.values()) == pytest.approx(1.0)
+    assert by_node(graph.degree_centrality(triangles, nodes), "cent_degree")["alone"] == 0
+    assert by_node(graph.degree_centrality(triangles, nodes), "cent_degree")["c"] == pytest.approx(0.5)
+    paths = graph.path_centralities(triangles, nodes=nodes)
+    assert by_node(paths, "cent_closeness")["alone"] == 0 and len(by_node(paths, "cent_closeness")) == 7
+    found = by_node(graph.louvain(triangles, nodes=nodes), "community")
+    assert found["alone"] == 2 and len(set(found.values())) == 3
+
+
+def test_pagerank_says_when_it_does_not_converge(triangles):
+    with pytest.raises(RuntimeError):
+        graph.pagerank(triangles, tol=1e-15, max_rounds=3)
+
+
+def test_louvain_ends_at_a_local_optimum(spark):
+    rows = [(f"n{i}", f"n{(i * i + 7 * j) % 60}", 1.0 + (i + j) % 3) for i in range(60) for j in range(3)]
+    edges = spark.createDataFrame([r for r in rows if r[0] != r[1]], "src string, dst string, weight double").groupBy(
+        F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
+    ).agg(F.sum("weight").alias("weight"))
+    edges = spark.createDataFrame(edges.collect(), edges.schema)
+    of = by_node(graph.louvain(edges), "community")
+    weights = [(r["src"], r["dst"], r["weight"]) for r in edges.collect()]
+    m2 = 2 * sum(w for _, _, w in weights)
+
+    def quality(of):
+        inside = sum(2 * w for a, b, w in weights if of[a] == of[b]) / m2
+        totals = {}
+        for a, b, w in weights:
+            totals[of[a]] = totals.get(of[a], 0) + w
+            totals[of[b]] = totals.get(of[b], 0) + w
+        return inside - sum((t / m2) ** 2 for t in totals.values())
+
+    best, names = quality(of), sorted(set(of.values()))
+    merged = [quality({n: (a if c == b else c) for n, c in of.items()}) for a in names for b in names if a < b]
+    assert max(merged) <= best + 1e-9
