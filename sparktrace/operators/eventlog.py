@@ -57,8 +57,8 @@ def flatten_ocel(
     """Flatten an object-centric log: the case is the object of the notion, or the event (``case_key='event'``)."""
     if case_key not in ("object", "event"):
         raise ValueError("case_key must be 'object' or 'event'")
-    kept_events, kept, links = filter_ocel(events, objects, relations, notion)
-    flat = extended_table(kept_events, kept, links)
+    _, kept, links = filter_ocel(events, objects, relations, notion)
+    flat = extended_table(events, kept, links)  # its inner join leaves the events without such an object out
     case = F.col("oid") if case_key == "object" else F.col("eid")
     return flat.select(
         case.cast("string").alias("case_id"),
