@@ -49,8 +49,8 @@ GROUP_ROWS = 1024
 PIECE_BYTES = 1 << 20
 BUCKET_BYTES = 8_000_000
 #: Bytes of strings in a bucket and in a shard.
-STRINGS_BYTES = 4_000_000
-SHARD_BYTES = 1_000_000
+STRINGS_BYTES = 1_000_000
+SHARD_BYTES = 250_000
 CROWDED = 20_000
 #: A place is a row's number in its group and a start.
 PLACE_BITS = 44
@@ -151,7 +151,7 @@ def repeated_intervals(transforms: list[np.ndarray], length: int = LENGTH) -> tu
     sizes = [len(t) for t in transforms]
     letters = np.concatenate(transforms)
     source = np.repeat(np.arange(len(sizes), dtype=np.uint8), sizes)
-    block = np.zeros(len(source), dtype=np.int64)
+    block = np.zeros(len(source), dtype=np.int32)
     blocks = 1
     for _ in range(length):
         here = np.empty_like(letters)
@@ -160,7 +160,7 @@ def repeated_intervals(transforms: list[np.ndarray], length: int = LENGTH) -> tu
         here, block, source = here[order], block[order], source[order]
         opens = np.ones(len(order), dtype=bool)
         opens[1:] = (here[1:] != here[:-1]) | (block[1:] != block[:-1]) | (here[1:] == 0)
-        block = np.cumsum(opens) - 1
+        block = np.cumsum(opens, dtype=np.int32) - 1
         if block[-1] + 1 == blocks:  # no block was split, so none will be
             break
         blocks = block[-1] + 1
@@ -198,6 +198,33 @@ def smallest_documents(strings: list[bytes], documents: np.ndarray, length: int
     return np.split(flat, np.cumsum(starts)[:-1])
 
 
+def losing_spans(lost: pa.Table, documents: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row number, begin, end) of the bytes that go, in order. ``lost``: runs with their places and the smallest documents of their
+    starts (one number if it holds for all); ``documents``: the id of each row number."""
+    if not lost.num_rows:
+        return (np.zeros(0, dtype=np.int64),) * 3
+    lost = lost.combine_chunks()
+    places, leasts = lost.column("places").combine_chunks(), lost.column("leasts").combine_chunks()
+    n_places, n_leasts = pc.list_value_length(places).to_numpy(), pc.list_value_length(leasts).to_numpy()
+    run = np.repeat(np.arange(len(n_places)), n_places)  # the run of each place
+    place, least = places.flatten().to_numpy(), leasts.flatten().to_numpy()
+    n = lost.column("n").to_numpy().astype(np.int64)[run]
+    at = np.repeat(np.arange(len(run)), n)  # the place of each start
+    offset = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    first = (np.cumsum(n_leasts) - n_leasts)[run]
+    smallest = least[first[at] + np.where(n_leasts[run] == 1, 0, 1)[at] * offset]
+    owner = place >> PLACE_BITS
+    goes = smallest < documents[owner][at]
+    at, offset = at[goes], offset[goes]
+    owner, start = owner[at], (place & ((1 << PLACE_BITS) - 1))[at] + offset
+    order = np.lexsort((start, owner))
+    owner, start = owner[order], start[order]
+    new = np.ones(len(start), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (start[1:] > start[:-1] + length)
+    begin = np.flatnonzero(new)
+    return owner[begin], start[begin], start[np.append(begin[1:], len(start)) - 1] + length if len(start) else start
+
+
 def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
     """The documents as a table bucketed by group, written without a shuffle: rows are grouped as they lie."""
     name = f"documents_{uuid.uuid4().hex}"
@@ -320,23 +347,29 @@ def remove_repeats(
             strings.append(data[place >> PLACE_BITS][start : start + n + length - 1])
         return wanted.select(["h", "s", "least", "strings"]).append_column("string", pa.array(strings, pa.binary()))
 
-    wanted = sized.filter("strings > 1").select("h", "s", "least", "strings", "at._group", "at.place", "at.n")
-    fetched = cut(texts.groupBy("_group").cogroup(wanted.groupBy("_group")).applyInArrow(fetch, "h bigint, s bigint, least bigint, strings bigint, string binary"))
-    several = fetched.filter(F.col("strings") <= CROWDED)
-    buckets = tasks_for(several, F.octet_length("string"), STRINGS_BYTES)
     answer = "h bigint, s bigint, leasts array<bigint>"
 
+    def fetched(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.select("h", "s", "least", "strings", "at._group", "at.place", "at.n")
+        return texts.groupBy("_group").cogroup(wanted.groupBy("_group")).applyInArrow(fetch, "h bigint, s bigint, least bigint, strings bigint, string binary")
+
     def merge(group: pa.Table) -> pa.Table:
         found = smallest_documents(group.column("string").to_pylist(), group.column("least").to_numpy(), length)
         offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
         return pa.table({"h": group.column("h"), "s": group.column("s"), "leasts": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))})
 
-    merged = several.withColumn("bucket", F.expr(f"pmod(h, {buckets})")).groupBy("bucket").applyInArrow(merge, answer)
-    single = fetched.filter(F.col("strings") > CROWDED).select("h", "s", "least", "string", F.posexplode(F.expr(f"sequence(1, octet_length(string) - {length - 1})")).alias("place", "at"))
-    single = single.select("h", "s", "least", "place", F.expr(f"substring(string, at, {length})").alias("string"))
-    least = single.groupBy("string").agg(F.min("least").alias("smallest"))
-    crowded = single.join(least, "string").groupBy("h", "s").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "smallest"))), lambda x: x["smallest"]).alias("leasts"))
-    lost = runs.select("h", "s", "_group", "n", "most", "places").join(settled.unionByName(merged).unionByName(crowded), ["h", "s"])
+    several = sized.filter(F.col("strings").between(2, CROWDED))
+    buckets = tasks_for(several, F.col("at.n") + (length - 1), STRINGS_BYTES)
+    merged = fetched(several).withColumn("bucket", F.expr(f"pmod(h, {buckets})")).groupBy("bucket").applyInArrow(merge, answer)
+    answers = settled.unionByName(merged)
+    crowded = sized.filter(F.col("strings") > CROWDED)
+    if not crowded.isEmpty():
+        single = fetched(crowded).select("h", "s", "least", "string", F.posexplode(F.expr(f"sequence(1, octet_length(string) - {length - 1})")).alias("place", "at"))
+        single = cut(single.select("h", "s", "least", "place", F.expr(f"substring(string, at, {length})").alias("string")))
+        least = single.groupBy("string").agg(F.min("least").alias("smallest"))
+        placed = single.join(least, "string").groupBy("h", "s").agg(F.array_sort(F.collect_list(F.struct("place", "smallest"))).alias("found"))
+        answers = answers.unionByName(placed.select("h", "s", F.transform("found", lambda x: x["smallest"]).alias("leasts")))
+    lost = runs.select("h", "s", "_group", "n", "most", "places").join(answers, ["h", "s"])
     lost = lost.filter(F.array_min("leasts") < F.col("most")).select("_group", "n", "places", "leasts", F.lit(None).cast("array<bigint>").alias("copies"))
     lost = lost.unionByName(copies.select("_group", F.lit(0).alias("n"), *(F.lit(None).cast("array<bigint>").alias(c) for c in ("places", "leasts")), "copies"))
     out = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType(), False) for c in (n_bytes, n_removed, n_spans)), T.StructField(kept, T.BinaryType(), False)])
@@ -344,33 +377,24 @@ def remove_repeats(
 
     def remove(rows: pa.Table, lost: pa.Table) -> pa.Table:
         data = bytes_of(rows.column(text))
-        numbers = (rows.column(row_name).to_numpy() % GROUP_ROWS).tolist()
-        documents = dict(zip(numbers, [LAST if d is None else int(d) for d in rows.column(doc_id).to_pylist()], strict=True))
-        ranges: dict[int, list[tuple[int, int]]] = {}
-        for n, places, leasts, copies in zip(*(lost.column(c).to_pylist() for c in ("n", "places", "leasts", "copies")), strict=True):
-            for number in copies or ():
-                ranges[number] = [(0, LAST)]
-            for place in places or ():
-                number, start = place >> PLACE_BITS, place & ((1 << PLACE_BITS) - 1)
-                document = documents[number]
-                if len(leasts) == 1 or n == 1:
-                    if leasts[0] < document:
-                        ranges.setdefault(number, []).append((start, start + n))
-                else:
-                    edges = np.flatnonzero(np.diff((np.array(leasts) < document).astype(np.int8), prepend=0, append=0)).tolist()
-                    ranges.setdefault(number, []).extend((start + i, start + j) for i, j in zip(edges[::2], edges[1::2], strict=True))
+        numbers = rows.column(row_name).to_numpy() % GROUP_ROWS
+        documents = np.zeros(GROUP_ROWS, dtype=np.int64)
+        documents[numbers] = [LAST if d is None else int(d) for d in rows.column(doc_id).to_pylist()]
+        copies = {i for c in lost.column("copies").to_pylist() if c for i in c}
+        lost = lost.filter(pc.is_valid(lost.column("places")))
+        owner, low, high = losing_spans(lost, documents, length)
         result = []
-        for number, whole in zip(numbers, data, strict=True):
-            spans: list[list[int]] = []
-            for low, high in sorted(ranges.get(number, ())):
-                end = min(high + length - 1, len(whole))
-                if spans and low <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], end)
-                else:
-                    spans.append([low, end])
-            edges = [0, *(x for span in spans for x in span), len(whole)]
+        for number, whole in zip(numbers.tolist(), data, strict=True):
+            if number in copies:
+                result.append((len(whole), len(whole), 1, b""))
+                continue
+            a, b = np.searchsorted(owner, [number, number + 1])
+            if a == b:
+                result.append((len(whole), 0, 0, whole))
+                continue
+            edges = [0, *np.stack([low[a:b], high[a:b]], axis=1).ravel().tolist(), len(whole)]
             stay = b"".join(whole[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
-            result.append((len(whole), len(whole) - len(stay), len(spans), stay))
+            result.append((len(whole), len(whole) - len(stay), int(b - a), stay))
         made = list(zip(*result)) or [()] * 4
         columns = [rows.column(c) for c in names] + [pa.array(m, k) for m, k in zip(made, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
         return pa.table(columns, names=[f.name for f in out.fields])
