@@ -336,7 +336,7 @@ def remove_repeats(
     variants = runs.groupBy("h", "s").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min(F.struct("_group", F.col("places")[0].alias("place"), "n")).alias("at"))
     sizes = variants.groupBy("h").agg(F.count("*").alias("strings"), F.min("least").alias("first"), F.max("most").alias("last"))
     # Anchors that only one document has after all need no more work.
-    sized = cut(variants.join(sizes.filter("first < last").select("h", "strings"), "h").select("h", "s", "least", "at", "strings"))
+    sized = cut(variants.join(sizes.filter("first < last").select("h", "strings"), "h").select("h", "s", "least", F.when(F.col("strings") > 1, F.col("at")).alias("at"), "strings"))
     settled = sized.filter("strings = 1").select("h", "s", F.array("least").alias("leasts"))
 
     def fetch(rows: pa.Table, wanted: pa.Table) -> pa.Table:
