@@ -6,8 +6,9 @@ three-word windows. ``base_failed``: fewer than 50 words, or over half of the wo
 The others are judged within their language and source by a minimum covariance determinant estimate of five transformed
 statistics: mean word length, square roots of symbols a word, of repeated lines a line and of repeated words a word, and the
 share of capitals among ASCII letters. Concentration steps run on the whole groups: with the present centre and covariance every
-row gets its distance, the nearest three quarters of each group (by an approximate quantile) give the next centre and covariance,
-until the determinants stand still. A row is rejected if its squared Mahalanobis distance is over the 0.9999 quantile
+row gets its distance, the nearest h = (n + 5 + 1) / 2 of a group of n (by an approximate quantile, in hundredths) give the next centre
+and covariance, until the determinants stand still; so nearly half of a group may be bad. One reweighting step follows: the rows within
+the 0.975 quantile give the final centre and covariance. The start is medians and median absolute deviations. A row is rejected if its squared Mahalanobis distance is over the 0.9999 quantile
 of chi-square. Most texts have no symbol and no repeated line, so the covariance of the nearest would be singular: a fixed
 variance (``FLOORS``, in the statistics' units) is added to each statistic. Groups are one row of sums each and are never held by
 a task, so a group may have any part of all rows.
@@ -38,7 +39,8 @@ STATISTICS = ("word_length", "symbol_share", "line_share", "repeat_share", "capi
 FLOORS = (0.5, 0.1, 0.2, 0.15, 0.08)
 LEAST = 50
 FEWEST = 12
-NEAREST = 0.75
+#: Rows within this quantile count in the reweighting step.
+REWEIGHT = 0.975
 CUTOFF = 0.9999
 STEPS = 12
 _SPACE = ASCII_SPACE.encode()
@@ -135,11 +137,22 @@ def _distance():
     return F.expr(" + ".join(parts))
 
 
+def consistency_of(share: float) -> float:
+    """What the covariance of the nearest share of normal rows is multiplied by."""
+    return share / chi_square_share(chi_square_quantile(share, _DIM), _DIM + 2) if share < 1 else 1.0
+
+
 def estimates(points: DataFrame, steps: int = STEPS) -> DataFrame:
     """(judged, centre, factor, volume) by concentration steps. ``points``: judged, x0, x1, ..."""
     xs = [f"x{i}" for i in range(_DIM)]
     floors = [f * f for f in FLOORS]
-    consistency = NEAREST / chi_square_share(chi_square_quantile(NEAREST, _DIM), _DIM + 2)
+    # Hundredths of a group that are its nearest h rows: from 50 for large groups to 100.
+    shares = [i / 100 for i in range(50, 101)]
+    sizes = points.groupBy("judged").agg(F.count("*").alias("n")).select(
+        "judged", F.greatest(F.lit(0), F.least(F.lit(50), F.expr(f"cast(ceil(50.0 * (n + {_DIM + 1}) / n) AS int) - 50"))).alias("h")
+    )
+    sizes = cut(sizes)
+    consistency = F.element_at(F.array(*(F.lit(consistency_of(q)) for q in shares)), F.col("h") + 1)
 
     def with_factor(sums: DataFrame) -> DataFrame:
         def run(batches):
@@ -156,25 +169,33 @@ def estimates(points: DataFrame, steps: int = STEPS) -> DataFrame:
         "judged", F.array(*(F.col(f"m{x}") for x in xs)).alias("centre"),
         F.array(*(F.pow(1.4826 * F.col(f"s{xs[i]}"), 2) + floors[i] if i == j else F.lit(0.0) for i in range(_DIM) for j in range(_DIM))).alias("covariance"),
     )
-    now, before = with_factor(start), None
-    for _ in range(steps):
-        placed = points.join(now, "judged").withColumn("d", _distance()).select("judged", "d", *xs)
-        border = placed.groupBy("judged").agg(F.percentile_approx("d", NEAREST, 10_000).alias("border"))
-        near = placed.join(border, "judged").filter("d <= border")
+    def distances(now: DataFrame) -> DataFrame:
+        return points.join(now, "judged").withColumn("d", _distance()).select("judged", "d", *xs)
+
+    def shape_of(near: DataFrame, factor) -> DataFrame:
+        """``near``: judged, h, x0, x1, ...; ``factor`` makes up for the rows left out."""
         sums = near.groupBy("judged").agg(
+            F.first("h").alias("h"),
             *(F.avg(x).alias(f"m{x}") for x in xs),
             *(F.covar_pop(xs[i], xs[j]).alias(f"c{i}_{j}") for i in range(_DIM) for j in range(i + 1)),
         )
-        shape = sums.select(
+        return with_factor(sums.select(
             "judged", F.array(*(F.col(f"m{x}") for x in xs)).alias("centre"),
-            F.array(*(consistency * F.col(f"c{max(i, j)}_{min(i, j)}") + (floors[i] if i == j else 0.0) for i in range(_DIM) for j in range(_DIM))).alias("covariance"),
-        )
-        now = with_factor(shape)
+            F.array(*(factor * F.col(f"c{max(i, j)}_{min(i, j)}") + (floors[i] if i == j else 0.0) for i in range(_DIM) for j in range(_DIM))).alias("covariance"),
+        ))
+
+    now, before = with_factor(start), None
+    for _ in range(steps):
+        placed = distances(now)
+        borders = placed.groupBy("judged").agg(F.percentile_approx("d", shares, 10_000).alias("borders"))
+        borders = borders.join(sizes, "judged").select("judged", "h", F.element_at("borders", F.col("h") + 1).alias("border"))
+        now = shape_of(placed.join(borders, "judged").filter("d <= border"), consistency)
         volume = now.agg(F.sum("volume")).first()[0]
         if before is not None and volume >= before - 1e-6 * abs(before):
             break
         before = volume
-    return now
+    within = chi_square_quantile(REWEIGHT, _DIM)
+    return shape_of(distances(now).filter(F.col("d") <= within).withColumn("h", F.lit(0)), F.lit(consistency_of(REWEIGHT)))
 
 
 def outliers(docs: DataFrame, text: str = "text") -> DataFrame:
