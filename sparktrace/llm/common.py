@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 #: White space of the contracts: blank and U+0009 to U+000D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
+#: Digits, letters (A to Z lower-cased) and bytes of characters beyond ASCII; all others become blanks.
+_FOLDED = bytes(
+    b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
+)
+
+
+def folded_words(text: str | None) -> list[bytes]:
+    """UTF-8 of the maximal runs of digits, letters and characters beyond ASCII, only A to Z lower-cased."""
+    return (text or "").encode().translate(_FOLDED).split()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

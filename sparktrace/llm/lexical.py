@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktrace.llm.common import pairs, table
+from sparktrace.llm.common import folded_words, pairs, table
 from sparktrace.session import cut, lookup
 
 TOP = 50
@@ -45,17 +45,9 @@ MAX_TERMS = 500_000
 #: States opened together.
 TOGETHER = 256
 
-#: Bytes of the terms, A to Z lower-cased; all others become blanks.
-_FOLDED = bytes(
-    b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
-)
 _LAST = np.iinfo(np.int64).max
 
 
-def terms(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(_FOLDED).split()
-
-
 # --- the treap of one shard ---------------------------------------------------------------------------------------------
 
 
@@ -252,7 +244,7 @@ def postings(docs: DataFrame, wanted: list[str] | None = None, shard_docs: int =
         shard = _Shard(only)
         for batch in pairs(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shard.add(doc_id, terms(text))
+                shard.add(doc_id, folded_words(text))
                 if shard.n_docs >= shard_docs or len(shard.row) >= shard_postings:
                     yield _batch(_POSTINGS, [shard.done()])
                     shard = _Shard(only)
@@ -327,7 +319,7 @@ def rank(docs: DataFrame, items: DataFrame, k: int = TOP, doc_id: str = "doc_id"
 
     def split(batches):
         for batch in pairs(batches):
-            listed = [sorted({w.decode() for w in terms(t)}) for t in batch.column(1).to_pylist()]
+            listed = [sorted({w.decode() for w in folded_words(t)}) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(listed, pa.list_(pa.string()))], names=["item_id", "terms"])
 
     asked = items.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string"))
