@@ -32,7 +32,8 @@ STATES = 30_000
 REMEMBERED = 250_000
 FOLLOWS = 300_000
 NEVER = 1 << 60
-MARKS = {".", ",", ";", ":", "!", "?"}
+#: A mark after a letter or number, before a cut or the end.
+_LAST_MARK = regex.compile(r"(?<=[\p{L}\p{N}])([.,;:!?])(?=\x00|\Z)")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -218,13 +219,8 @@ class Encoder(Remembered):
         self.transducer = Transducer(ranks)
         super().__init__(self._part, size)
 
-    def __missing__(self, part: str) -> bytes:
-        if part[-1:] in MARKS and part[-2:-1].isalnum():
-            return self[part[:-1]] + self[part[-1]]
-        return super().__missing__(part)
-
     def _part(self, part: str) -> bytes:
-        if part[1:].isalpha():  # a blank and letters: one piece
+        if part[1:].isalpha() and (part[0] == " " or part[0].isalpha()):  # letters, after a blank or not: one piece
             return array("i", self.transducer.encode(part.encode())).tobytes()
         out = array("i")
         for piece in self.find(part):
@@ -234,7 +230,7 @@ class Encoder(Remembered):
     def encode(self, text: str) -> bytes:
         if self.blank_after_space(text):
             return b"".join(map(self.__getitem__, self.find(text)))
-        return b"".join(map(self.__getitem__, text.replace(" ", "\x00 ").split("\x00")))
+        return b"".join(map(self.__getitem__, _LAST_MARK.sub("\x00\\1", text.replace(" ", "\x00 ")).split("\x00")))
 
 
 class Utf8Machine:

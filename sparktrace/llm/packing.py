@@ -1,10 +1,11 @@
 """Operator 3: best-fit packing of token sequences by hierarchical residual packing.
 
-Every partition of the documents packs its own pieces by best-fit decreasing and emits its nearly full bins. Underfull bins go up
-a tree: groups of ``FAN_IN`` partitions take them as items of a further best-fit round, opened again so that their pieces can
-fill each other's gaps, until one group is left. A node sends its ``RESIDUE`` least filled bins at most and emits the others, so
-what a task of any level holds is bounded by parameters, whatever the data; each piece is in one bin all the time, so none is lost.
-The number kept back costs little: after best-fit a node has at most one bin of half the capacity or less (two would fit together).
+Every partition of the documents packs its own pieces by best-fit decreasing and emits its nearly full bins around a piece of over half
+the capacity. All others are opened again and go up: also full ones of smaller pieces, which another partition's gaps may need. On the way they are merged as counts per length, which are at most ``capacity`` numbers however many pieces there
+are, so the tree needs no cap and its levels are the partial sums of one aggregation. Its root runs best-fit decreasing on the counts,
+exactly as on the single pieces: a step puts a range of equal pieces into a range of bins of equal free space. Pieces find their place
+by their length and their number among those of that length (partitions' counts summed up, then the place in the partition). So
+underfull bins of all partitions fill each other, and what the driver holds is bounded by the capacity.
 
 Null and empty texts are documents of one token (the end token). A document over the capacity gives full pieces and a last shorter
 one. Repeated rows are packed each for itself. An empty table gives no rows. Extra columns are not read.
@@ -12,15 +13,17 @@ one. Repeated rows are packed each for itself. An empty table gives no rows. Ext
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import SparkFiles, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktrace.llm.common import Remembered, pairs, table
@@ -28,13 +31,14 @@ from sparktrace.session import cut
 
 CAPACITY = 4096
 END = 1
-FAN_IN = 16
-RESIDUE = 32
 #: A bin that lacks less than this part of the capacity is nearly full.
 NEARLY = 1 / 256
 REMEMBERED = 300_000
 MARKS = {".", ",", ";", ":", "!", "?"}
 
+#: A mark that ends a part, after a letter (but the one whose lower case ends with a combining sign) or number.
+_LAST_MARK = re.compile(r"(?<=[^\W_\u0130])([.,;:!?])(?= |$)")
+
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -52,13 +56,18 @@ class WordIds(Remembered):
         super().__init__(lambda part: array("I", tokenizer.encode(part, add_special_tokens=False).ids).tobytes(), size)
 
     def __missing__(self, part: str) -> bytes:
-        if part[-1:] in MARKS and part[-2:-1].isalnum():
+        # What stands before the mark counts as the vocabulary sees it, in lower case: that of a letter may end with a combining sign.
+        if part[-1:] in MARKS and part[-2:-1].lower()[-1:].isalnum():
             return self[part[:-1]] + self[part[-1]]
         if part.isascii() and part.isalpha() and not part.islower():
             return self[part.lower()]
         return super().__missing__(part)
 
     def encode(self, text: str) -> bytes:
+        lowered = text.encode().lower().decode()
+        # Letters may be lower-cased early where the vocabulary's composition of characters has nothing to do before and after.
+        if is_normalized("NFC", text) and is_normalized("NFC", lowered):
+            text = _LAST_MARK.sub(r" \1", lowered.replace("\n", " "))
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -97,12 +106,43 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(fill, dtype=np.int64)
 
 
-def goes_up(fill: np.ndarray, capacity: int) -> np.ndarray:
-    """Whether each bin is one of the least filled that are not nearly full."""
-    order = np.argsort(fill, kind="stable")
-    up = np.zeros(len(fill), dtype=bool)
-    up[order[fill[order] <= capacity * (1 - NEARLY)][:RESIDUE]] = True
-    return up
+def best_fit_counts(counts: dict[int, int], capacity: int) -> np.ndarray:
+    """Best-fit decreasing of so many items of each length, as steps: columns length, first item, items, items a bin, first bin, offset.
+
+    Item ``first + j`` of a step is in bin ``first bin + j div (items a bin)``. A bin takes items of one length until the next doesn't
+    fit, since it is then the one with the least space that does; so equal bins fill up range by range.
+    """
+    steps, free_bins, frees, bins = [], {}, [], 0
+
+    def keep(free: int, first: int, n: int) -> None:
+        if free and n:
+            if free not in free_bins:
+                free_bins[free] = []
+                insort(frees, free)
+            free_bins[free].append((first, n))
+
+    for size in sorted(counts, reverse=True):
+        at, left = 0, counts[size]
+        while left:
+            place = bisect_left(frees, size)
+            if place < len(frees):
+                free = frees[place]
+                first, n = free_bins[free].pop()
+                if not free_bins[free]:
+                    del free_bins[free], frees[place]
+            else:
+                free, first, n = capacity, bins, -(-left // (capacity // size))
+                bins += n
+            each = min(free // size, left)
+            some = min(n, left // each)
+            steps.append((size, at, some * each, each, first, capacity - free))
+            keep(free - each * size, first, some)
+            if free < capacity:
+                keep(free, first + some, n - some)
+            elif some < n:  # the last new bin takes what is left
+                bins -= n - some
+            at, left = at + some * each, left - some * each
+    return np.array(steps, dtype=np.int64).reshape(-1, 6)
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END):
@@ -127,57 +167,57 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     pieces = tokenized(docs, tokenizer_path, capacity, end)
 
     def leaf(batches):
-        import pyarrow as pa
-
         rows = list(zip(*pieces(batches)))
         if not rows:
             return
         node = TaskContext.get().partitionId()
         docs, piece, start, length, crc = rows
-        bins, offsets, fill = best_fit(np.array(length), capacity)
-        up = goes_up(fill, capacity)
+        length = np.array(length)
+        bins, offsets, fill = best_fit(length, capacity)
+        # A piece of over half the capacity is the first of its bin. Bins of smaller pieces only go up too, full or not: other
+        # partitions may have gaps for them.
+        large = np.zeros(len(fill), dtype=bool)
+        large[bins[2 * length > capacity]] = True
+        up = ((fill <= capacity * (1 - NEARLY)) | ~large)[bins]
+        # The number of a piece among those of its length that go up.
+        going = np.flatnonzero(up)
+        by_length = going[np.argsort(length[going], kind="stable")]
+        firsts = np.flatnonzero(np.diff(length[by_length], prepend=-1))
+        nth = np.zeros(len(length), dtype=np.int64)
+        nth[by_length] = np.arange(len(by_length)) - np.repeat(firsts, np.diff(firsts, append=len(by_length)))
         yield pa.RecordBatch.from_pydict(
             {
                 "doc_id": pa.array(docs, pa.int64()), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()),
-                "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
-                "bin": pa.array((node << 32) + bins), "offset": pa.array(offsets), "up": pa.array(up[bins]),
+                "length": pa.array(length), "ids_crc32": pa.array(crc, pa.int64()),
+                "bin": pa.array((node << 32) + bins), "offset": pa.array(offsets), "up": pa.array(up), "nth": pa.array(nth),
             }
         )
 
     rows = docs.select(F.col(doc_id).cast("bigint"), F.col(text).cast("string"))
-    placed = cut(rows.mapInArrow(leaf, f"{PIECE}, bin bigint, `offset` bigint, up boolean"))
-    # A piece is known by its first place.
-    items = placed.filter("up").select(
-        F.shiftright("bin", 32).alias("node"), F.col("bin").alias("first_bin"), F.col("offset").alias("first_offset"), "length"
-    )
-    columns = "node bigint, first_bin bigint, first_offset bigint, length bigint"
-
-    def joined(level: int):
-        def join_bins(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values(["first_bin", "first_offset"], ignore_index=True)
-            bins, offsets, fill = best_fit(group["length"].to_numpy(), capacity)
-            node = group["node"] // FAN_IN
-            made = group.assign(node=node, bin=(level << 56) + node * (1 << 32) + bins, offset=offsets, up=goes_up(fill, capacity)[bins])
-            return made[[*group.columns, "bin", "offset", "up"]]
-
-        return join_bins
-
-    last = placed.agg(F.max(F.shiftright("bin", 32))).first()[0]
-    moved, level = None, 0
-    while last:
-        last, level = last // FAN_IN, level + 1
-        made = cut(
-            items.groupBy(F.expr(f"node div {FAN_IN}").alias("group")).applyInPandas(joined(level), f"{columns}, bin bigint, `offset` bigint, up boolean")
-        )
-        done = made.filter("NOT up") if last else made
-        moved = done if moved is None else moved.unionByName(done)
-        items = made.filter("up").select("node", "first_bin", "first_offset", "length")
-    if moved is None:
-        return placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
-    to = moved.select(F.col("first_bin").alias("bin"), F.col("first_offset").alias("offset"), F.col("bin").alias("sequence_id"), F.col("offset").alias("place"))
+    placed = cut(rows.mapInArrow(leaf, f"{PIECE}, bin bigint, `offset` bigint, up boolean, nth bigint"))
+    node = F.shiftright("bin", 32).alias("node")
+    sums = cut(placed.filter("up").groupBy(node, "length").agg(F.count("*").alias("n")))
+    # At most one row for each length up to the capacity.
+    steps = best_fit_counts({r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
+    steps = steps[np.lexsort((steps[:, 1], steps[:, 0]))]
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("node")) - F.col("n")
+    numbered = placed.filter("up").withColumn("node", node).join(sums.select("node", "length", before.alias("before")), ["node", "length"])
+
+    def settle(batches):
+        # Steps in order of length and first item, as one number each.
+        keys = steps[:, 0] << 48 | steps[:, 1]
+        for batch in batches:
+            length, item = batch.column("length").to_numpy(), batch.column("item").to_numpy()
+            step = steps[np.searchsorted(keys, length << 48 | item, side="right") - 1]
+            nth = item - step[:, 1]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(5)), pa.array((1 << 62) + step[:, 4] + nth // step[:, 3]), pa.array(step[:, 5] + nth % step[:, 3] * length)],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+            )
+
+    go = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("item"))
     stay = placed.filter("NOT up").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
-    go = placed.filter("up").join(to, ["bin", "offset"])
-    return stay.unionByName(go.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("place").alias("offset")))
+    return stay.unionByName(go.mapInArrow(settle, f"{PIECE}, sequence_id bigint, `offset` bigint"))
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:

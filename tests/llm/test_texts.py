@@ -1,5 +1,6 @@
 """Operators on whole texts: fingerprints, packing, language, byte-pair encoding."""
 
+import collections
 import random
 import zlib
 
@@ -134,6 +135,37 @@ def test_packing_joins_bins_of_many_partitions(spark):
     assert check_bins(packing.pack(wide, public_tokenizers.path("word_bpe_49k.json"), capacity=128).collect(), 128) == 400
 
 
+def test_packing_of_partitions_with_different_lengths(spark):
+    """Half the partitions have long documents, half short ones: as few sequences as one best-fit over all."""
+    draw = random.Random(9)
+    sizes = [draw.randrange(66, 112) if i < 600 else draw.randrange(9, 60) for i in range(1200)]
+    docs = spark.createDataFrame([(i, "a " * n) for i, n in enumerate(sizes)], "doc_id bigint, text string").repartitionByRange(16, "doc_id")
+    rows = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=128).collect()
+    assert sorted(r["length"] for r in rows) == sorted(n + 1 for n in sizes)
+    assert check_bins(rows, 128) <= len(packing.best_fit(np.array(sizes) + 1, 128)[2]) * 1.01
+
+
+@pytest.mark.parametrize("capacity", [7, 64, 4096])
+def test_best_fit_of_counts_is_best_fit(capacity):
+    draw = np.random.default_rng(capacity)
+    for _ in range(40):
+        lengths = np.minimum(draw.integers(1, capacity + 1, size=draw.integers(1, 400)), draw.integers(1, capacity + 1))
+        fill = collections.Counter()
+        sizes, counts = np.unique(lengths, return_counts=True)
+        for size, first, n, each, start, offset in packing.best_fit_counts(dict(zip(sizes.tolist(), counts.tolist(), strict=True)), capacity).tolist():
+            for j in range(n):
+                assert fill[start + j // each] == offset + j % each * size
+                fill[start + j // each] += size
+        assert sum(fill.values()) == lengths.sum() and max(fill.values()) <= capacity
+        assert sorted(fill.values()) == sorted(packing.best_fit(lengths, capacity)[2].tolist())
+
+
+@pytest.mark.parametrize("text", ["ADANA\u0130.", "\u0130. \u0130, \u0130!", "H\u0331 H\u0331. x", "\u0391\u03a3. \u03a3", "A\u0301B. E\u0301", "It's, A.B. c?! d", "\u2167. \ufb01; \u212a.", "x\n.\ty.", "..."])
+def test_word_ids_equal_library(text):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert np.frombuffer(packing.WordIds(path).encode(text), dtype="<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_best_fit_is_best_fit():
     bins, offsets, fill = packing.best_fit(np.array([50, 60, 40, 30, 20, 100]), 100)
     assert fill.tolist() == [100, 100, 100] and bins.tolist() == [2, 1, 1, 2, 2, 0] and offsets.tolist() == [0, 0, 60, 50, 80, 0]
@@ -194,6 +226,14 @@ def test_bpe_equals_tiktoken(ranks, states):
     assert np.frombuffer(ours.encode(long), "<i4").tolist() == theirs.encode_ordinary(long)
 
 
+@pytest.mark.parametrize("mark", ["'", " '", ".", "\n'"])
+def test_bpe_of_a_mark_and_every_word(ranks, mark):
+    theirs, mine = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    for token in ranks:
+        text = mark + token.decode("utf-8", "ignore")
+        assert np.frombuffer(mine.encode(text), dtype="<i4").tolist() == theirs.encode_ordinary(text), text
+
+
 def test_decoding_in_any_cuts(ranks):
     machine = bpe.Utf8Machine({r: t for t, r in ranks.items()})
     ids = [ranks[bytes([b])] for b in "é日😀x".encode()]
