@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktrace.llm import langid, lines, packing, repeats, similar
+from sparktrace.llm import langid, lines, packing, repeats, simhash
 from sparktrace.llm.common import table
 from sparktrace.session import cut
 
@@ -38,9 +38,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays; of
-    repeated rows of it, one."""
-    groups = similar.near_duplicates(docs).select("doc_id", "component_id")
+    """Of each group of near duplicates (fingerprints of three-word shingles that differ in two bits or fewer) the document with the
+    smallest id stays; of repeated rows of it, one. Rows without an id stay only where their whole group has none."""
+    groups = simhash.near_duplicates(docs).select("doc_id", "component_id")
     first = cut(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
     stay = docs.join(first.withColumnRenamed("doc_id", "_first"), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
     return stay.dropDuplicates(["doc_id"])
