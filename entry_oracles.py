@@ -6,6 +6,7 @@ from entry_queries import CLUSTERS, GROUPS, K
 from sparktrace.functions.labels import LABEL_REPLACEMENTS
 from sparktrace.functions.minhash import PERMUTATIONS, PRIME, coefficients
 from sparktrace.functions.timefeatures import CALENDAR, TIME_FEATURES
+from sparktrace.operators.eventlog import PART_EVENTS
 from sparktrace.operators.explain import LOCAL_RANGE, MIN_RANGE, SEGMENT_TITLES
 
 LEVELS = 60
@@ -338,7 +339,9 @@ FROM orders""",
     "normalize_labels": f"""
 SELECT o_orderpriority AS label, {normalized('o_orderpriority')} AS activity, count(*) AS n FROM orders GROUP BY ALL""",
     "trace_corpus": f"""
-SELECT case_id, 0 AS part, string_agg(replace(activity, ' ', ''), ' ' ORDER BY seq) AS trace FROM ({ORDER_LOG}) GROUP BY case_id""",
+SELECT case_id, part, string_agg(replace(activity, ' ', ''), ' ' ORDER BY seq) AS trace FROM (
+  SELECT *, CAST((row_number() OVER (PARTITION BY case_id ORDER BY seq) - 1) // {PART_EVENTS} AS INTEGER) AS part FROM ({ORDER_LOG})
+) GROUP BY case_id, part""",
     "event_time_features": f"""
 SELECT case_id, seq,
   (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY case_id)) / 1e6::DOUBLE AS accumulated_time,

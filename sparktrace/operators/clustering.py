@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +20,7 @@ MAX_ROUNDS = 200
 # Candidates whose exact distance sums are computed per round and cluster.
 MEDOID_BATCH = 32
 
-_CENTROID = "cluster int, cells map<int,int>, num array<double>"
+_CENTROID = "cluster: int, cells: map<bigint,int>, num: array<double>"
 
 
 @dataclass(frozen=True)
@@ -108,39 +109,110 @@ def cluster_means(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("cluster").agg(F.array(*means).alias("num"), F.count("*").alias("members"))
 
 
-def update_centroids(assigned: DataFrame, k: int) -> list[Centroid | None]:
-    """New centroids from an assignment; ``None`` where a cluster has no member. Only k small rows are collected."""
-    cells = cluster_modes(assigned).groupBy("cluster").agg(
-        F.map_from_entries(F.collect_list(F.struct("pos", "n"))).alias("cells")
+@dataclass(frozen=True)
+class Sweep:
+    """Clusterings of one set of points into several numbers of clusters."""
+
+    clustered: DataFrame  # (k, case_id, cluster, dist)
+    centroids: dict[int, list[Centroid]]
+    rounds: dict[int, int]
+    moving: list[int]  # numbers of clusters whose centroids still moved when the rounds ended
+
+
+def assign_all(points: DataFrame, centroids: dict[int, list[Centroid]]) -> DataFrame:
+    """Add ``picks``: for every number of clusters k the nearest of its centroids, as (dist, cluster, k); the lowest number wins ties."""
+    listed = [(k, [(c.cluster, c.cells, c.num) for c in some]) for k, some in sorted(centroids.items())]
+    table = points.sparkSession.createDataFrame(listed, f"k int, centroids array<struct<{_CENTROID}>>")
+    here = F.struct("cells", "num")
+
+    def pick(of: Column) -> Column:
+        return F.array_min(F.transform(of["centroids"], lambda c: F.struct(mixed_distance(here, c).alias("dist"), c["cluster"].alias("cluster"), of["k"].alias("k"))))
+
+    open_ = table.agg(F.collect_list(F.struct("k", "centroids"))).scalar()
+    return points.withColumn("open", open_).withColumn("picks", F.transform("open", pick)).drop("open")
+
+
+def update_all(picked: DataFrame, sizes: list[int]) -> dict[int, list[Centroid | None]]:
+    """New centroids of every k in ``sizes`` from an assignment of them all, ``None`` where a cluster has no member.
+
+    One aggregation is keyed by k, cluster, cell and value, with the numbers' sums as a cell of their own (-1); the next ones
+    take the most common value of a cell and gather a cluster's cells. Only the centroids are collected.
+    """
+    dims = range(len(TIME_FEATURES))
+    number = F.named_struct(F.lit("pos"), F.lit(-1).cast("bigint"), F.lit("n"), F.lit(0))
+    cells = F.transform(F.map_entries("cells"), lambda e: F.named_struct(F.lit("pos"), e["key"].cast("bigint"), F.lit("n"), e["value"]))
+    rows = picked.select("num", F.explode("picks").alias("pick"), F.concat(cells, F.array(number)).alias("cells"))
+    rows = rows.select("num", "pick.k", "pick.cluster", F.explode("cells").alias("cell")).select("num", "k", "cluster", "cell.pos", "cell.n")
+    numbers = F.col("pos") == -1
+    counted = rows.groupBy("k", "cluster", "pos", "n").agg(
+        F.count("*").alias("count"), F.array(*[F.sum(F.when(numbers, F.col("num")[i])) for i in dims]).alias("sums")
+    )
+    topped = counted.groupBy("k", "cluster", "pos").agg(
+        F.min(F.struct((-F.col("count")).alias("order"), "n")).alias("top"), F.sum("count").alias("filled"), F.first("sums").alias("sums")
+    )
+    mode = F.struct("pos", F.col("top.n").alias("n"), (-F.col("top.order")).alias("most"), "filled")
+    gathered = topped.groupBy("k", "cluster").agg(
+        F.max(F.when(numbers, F.col("filled"))).alias("members"), F.max(F.when(numbers, F.col("sums"))).alias("sums"),
+        F.collect_list(F.when(~numbers, mode)).alias("modes"),
     )
-    found: list[Centroid | None] = [None] * k
-    for row in cluster_means(assigned).join(cells, "cluster", "left").collect():
-        found[row["cluster"]] = Centroid(row["cluster"], dict(row["cells"] or {}), list(row["num"]))
+    # A cell that is zero for as many members is zero in the centroid.
+    stay = F.filter("modes", lambda m: m["most"] > F.col("members") - m["filled"])
+    means = F.array(*[round_half_even(F.col("sums")[i] / F.col("members"), 9) for i in dims])
+    found: dict[int, list[Centroid | None]] = {k: [None] * k for k in sizes}
+    for row in gathered.select("k", "cluster", stay.alias("cells"), means.alias("num")).collect():
+        found[row["k"]][row["cluster"]] = Centroid(row["cluster"], {m["pos"]: m["n"] for m in row["cells"]}, list(row["num"]))
     return found
 
 
-def kprototypes(
-    points: DataFrame, k: int, seed: int = 0, max_rounds: int = MAX_ROUNDS
-) -> tuple[DataFrame, list[Centroid]]:
-    """Cluster mixed points: assign, recompute modes and means, stop when no centroid changes.
+def update_centroids(assigned: DataFrame, k: int) -> list[Centroid | None]:
+    """New centroids from an assignment to ``k`` clusters; ``None`` where a cluster has no member."""
+    return update_all(assigned.withColumn("picks", F.array(F.struct(F.lit(k).alias("k"), "cluster"))), [k])[k]
+
+
+def _redrawn(points: DataFrame, draws: dict[tuple[int, int], int], seed: int) -> dict[tuple[int, int], Centroid]:
+    """For every (k, cluster) without members the first case in the seeded order of its draw, all in one pass."""
+    firsts = [F.min_by(F.struct("cells", "num"), F.struct(*hash_order(seed, draw))).alias(f"c{i}") for i, draw in enumerate(draws.values())]
+    row = points.agg(*firsts).first()
+    return {key: Centroid(key[1], dict(found["cells"]), list(found["num"])) for key, found in zip(draws, row, strict=True)}
+
 
-    Only the k centroids pass from round to round, so the plan does not grow.
+def sweep_kprototypes(points: DataFrame, sizes: list[int], seed: int = 0, max_rounds: int = MAX_ROUNDS) -> Sweep:
+    """Cluster mixed points into every number of clusters in ``sizes`` at once.
+
+    All advance in one loop: a round assigns the points to the centroids of every open k in one pass and updates them in one
+    aggregation; a k whose centroids stand still leaves. Each k goes the way it would go alone. Only centroids pass from
+    round to round, so plans do not grow. What still moves after ``max_rounds`` is reported.
     """
-    points = points.persist()
-    centroids = sample_centroids(points, k, seed)
-    if len(centroids) < k:
-        raise ValueError(f"{k} clusters need at least {k} cases")
+    points = cut(points)
+    first = sample_centroids(points, max(sizes), seed)
+    if len(first) < max(sizes):
+        raise ValueError(f"{max(sizes)} clusters need at least {max(sizes)} cases")
+    open_ = {k: first[:k] for k in sizes}
+    done, rounds = {}, dict.fromkeys(sizes, 0)
     for number in range(1, max_rounds + 1):
-        fresh = update_centroids(assign_clusters(points, centroids), k)
-        for cluster in [i for i, c in enumerate(fresh) if c is None]:
-            row = points.orderBy(*hash_order(seed, number * k + cluster)).first()
-            fresh[cluster] = Centroid(cluster, dict(row["cells"]), list(row["num"]))
-        if fresh == centroids:
+        fresh = update_all(assign_all(points, open_), list(open_))
+        empty = {(k, i): number * k + i for k, some in fresh.items() for i, c in enumerate(some) if c is None}
+        if empty:
+            for (k, i), centroid in _redrawn(points, empty, seed).items():
+                fresh[k][i] = centroid
+        rounds.update(dict.fromkeys(open_, number))
+        done |= {k: some for k, some in fresh.items() if some == open_[k]}
+        open_ = {k: some for k, some in fresh.items() if k not in done}
+        if not open_:
             break
-        centroids = fresh
-    clustered = cut(assign_clusters(points, centroids))
-    points.unpersist()
-    return clustered, centroids
+    if open_:
+        warnings.warn(f"centroids of {sorted(open_)} clusters still moved after {max_rounds} rounds", stacklevel=2)
+    centroids = {k: (done | open_)[k] for k in sizes}
+    clustered = assign_all(points, centroids).select("case_id", F.explode("picks").alias("pick"))
+    return Sweep(cut(clustered.select("pick.k", "case_id", "pick.cluster", "pick.dist")), centroids, rounds, sorted(open_))
+
+
+def kprototypes(
+    points: DataFrame, k: int, seed: int = 0, max_rounds: int = MAX_ROUNDS
+) -> tuple[DataFrame, list[Centroid]]:
+    """Cluster mixed points: assign, recompute modes and means, stop when no centroid changes."""
+    centroids = sweep_kprototypes(points, [k], seed, max_rounds).centroids[k]
+    return cut(assign_clusters(points, centroids)), centroids
 
 
 def signatures(points: DataFrame, size: int, tokens: str = "cell", permutations: int = PERMUTATIONS) -> DataFrame:

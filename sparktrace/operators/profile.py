@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import dense_cells, round_half_even
 from ..functions.timefeatures import CALENDAR, DAY_US, TIME_FEATURES, calendar_part, epoch_us, scaled
 from ..session import BROADCAST_ROWS, cut, dense_index, lookup
-from .eventlog import MAX_CASE_EVENTS, with_previous
+from .eventlog import positioned
 
 # A wide table is only written when its columns are known to be few.
 MAX_WIDE_COLUMNS = 10_000
@@ -39,20 +39,20 @@ def activity_dict(log: DataFrame, order: str = "first_seen") -> Alphabet:
     return Alphabet(numbered, size)
 
 
-def transition_counts(log: DataFrame, max_case_events: int = MAX_CASE_EVENTS) -> DataFrame:
+def transition_counts(log: DataFrame) -> DataFrame:
     """Directly-follows counts per case: (case_id, act_from, act_to, n), non-zero cells only."""
     return (
-        with_previous(log, max_case_events)
+        positioned(log)
         .filter(F.col("prev_activity").isNotNull())
         .groupBy("case_id", F.col("prev_activity").alias("act_from"), F.col("activity").alias("act_to"))
         .agg(F.count("*").cast("int").alias("n"))
     )
 
 
-def directly_follows(log: DataFrame, max_case_events: int = MAX_CASE_EVENTS) -> DataFrame:
+def directly_follows(log: DataFrame) -> DataFrame:
     """Directly-follows counts of the whole log: (act_from, act_to, n)."""
     return (
-        with_previous(log, max_case_events)
+        positioned(log)
         .filter(F.col("prev_activity").isNotNull())
         .groupBy(F.col("prev_activity").alias("act_from"), F.col("activity").alias("act_to"))
         .agg(F.count("*").alias("n"))
@@ -121,14 +121,14 @@ def time_profile(log: DataFrame) -> DataFrame:
     return sums.select("case_id", *[value.alias(name) for name, value in zip(TIME_FEATURES, means)])
 
 
-def profile(log: DataFrame, alphabet: Alphabet, max_case_events: int = MAX_CASE_EVENTS) -> DataFrame:
+def profile(log: DataFrame, alphabet: Alphabet) -> DataFrame:
     """One sparse row per case.
 
     ``acts`` holds positions of the activities that occur, ``trans`` the non-zero directly-follows counts keyed by
     ``from * size + to``, ``time`` the mean time features.
     """
     cells = (
-        with_previous(log, max_case_events)
+        positioned(log)
         .groupBy("case_id", "activity", "prev_activity")
         .agg(F.count("*").alias("n"), *_event_sums())
     )

@@ -107,30 +107,39 @@ def calinski_harabasz(points: DataFrame, k: int) -> DataFrame:
     )
 
 
-def label_distance_sums(points: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(id, label, other, total, members): summed distance from every point to the members of every cluster.
+def _distance_sums(fixed: DataFrame, block: int) -> DataFrame:
+    """(id, run, other, total): for points with labels of several runs (``labels``, an array) the summed distance from every point
+    to the members of every cluster of every run.
 
     Points fall into hash blocks of bounded size; each unordered pair of blocks is one unit of work, in which numpy
-    adds up the distances per label. Only the sums leave a unit, never the pairs. The definition needs every
-    distance, so the work is quadratic; rows moved are points times blocks.
+    takes every distance once and adds them up per label of each run. Only the sums leave a unit, never the pairs. The definition
+    needs every distance, so the work is quadratic; rows moved are points times blocks.
     """
-    fixed = cut(points.select("id", "vec", "label"))
     blocks = max(1, -(-fixed.count() // block))
     rows = fixed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     low = rows.withColumn("p", F.col("block")).withColumn("q", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))))
     high = rows.withColumn("q", F.col("block")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("block"))))
-    id_type, label_type = (dict(fixed.dtypes)[c] for c in ("id", "label"))
+    id_type, label_type = dict(fixed.dtypes)["id"], dict(fixed.dtypes)["labels"].removeprefix("array<").removesuffix(">")
+
+    def hot_columns(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One 0/1 column for each label of each run, with the run and the label of each column."""
+        hot, runs, names = [], [], []
+        for run in range(labels.shape[1]):
+            codes, found = pd.factorize(labels[:, run])
+            hot.append(np.eye(len(found))[codes])
+            runs += [run] * len(found)
+            names += list(found)
+        return np.hstack(hot), np.array(runs), np.array(names)
 
     def add_up(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": [], "other": [], "total": []})
+        empty = pd.DataFrame({"id": [], "run": [], "other": [], "total": []})
         if not len(left) or not len(right):
             return empty
         x, y = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
-        x_codes, x_labels = pd.factorize(left["label"])
-        y_codes, y_labels = pd.factorize(right["label"])
+        x_hot, *x_names = hot_columns(np.stack(left["labels"].to_numpy()))
+        y_hot, *y_names = hot_columns(np.stack(right["labels"].to_numpy()))
         same = left["block"].iloc[0] == right["block"].iloc[0]
-        x_hot, y_hot = np.eye(len(x_labels))[x_codes], np.eye(len(y_labels))[y_codes]
-        forth, back = [], np.zeros((len(y), len(x_labels)))
+        forth, back = [], np.zeros((len(y), x_hot.shape[1]))
         squares = (y * y).sum(axis=1)
         for at in range(0, len(x), 256):
             part = x[at: at + 256]
@@ -143,37 +152,85 @@ def label_distance_sums(points: DataFrame, block: int = BLOCK) -> DataFrame:
             if not same:
                 back += dist.T @ x_hot[at: at + 256]
 
-        def table(ids, sums, labels):
+        def table(ids, sums, runs, names):
             return pd.DataFrame(
-                {"id": np.repeat(np.asarray(ids), len(labels)), "other": np.tile(np.asarray(labels), len(ids)),
-                 "total": sums.ravel()}
+                {"id": np.repeat(np.asarray(ids), len(names)), "run": np.tile(runs, len(ids)), "other": np.tile(names, len(ids)), "total": sums.ravel()}
             )
 
-        result = [table(left["id"], np.vstack(forth), y_labels)]
+        result = [table(left["id"], np.vstack(forth), *y_names)]
         if not same:
-            result.append(table(right["id"], back, x_labels))
+            result.append(table(right["id"], back, *x_names))
         return pd.concat(result)
 
-    sums = (
+    return (
         low.groupBy("p", "q").cogroup(high.groupBy("p", "q"))
-        .applyInPandas(add_up, f"id {id_type}, other {label_type}, total double")
-        .groupBy("id", "other").agg(F.sum("total").alias("total"))
+        .applyInPandas(add_up, f"id {id_type}, run int, other {label_type}, total double")
+        .groupBy("id", "run", "other").agg(F.sum("total").alias("total"))
     )
-    sizes = fixed.groupBy("label").agg(F.count("*").alias("members")).select(F.col("label").alias("other"), "members")
-    return fixed.select("id", "label").join(sums, "id").join(sizes, "other")
 
 
-def silhouette(points: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row: mean over points of (b - a) / max(a, b); a point alone in its cluster counts 0."""
+def _silhouettes(fixed: DataFrame, block: int) -> DataFrame:
+    """(run, silhouette) of points with an array of labels, one for each run."""
+    labelled = fixed.select("id", F.posexplode("labels").alias("run", "label"))
+    sizes = labelled.groupBy("run", F.col("label").alias("other")).agg(F.count("*").alias("members"))
     own = F.col("label") == F.col("other")
-    per_point = label_distance_sums(points, block).groupBy("id").agg(
+    per_point = labelled.join(_distance_sums(fixed, block), ["id", "run"]).join(sizes, ["run", "other"]).groupBy("id", "run").agg(
         F.max(F.when(own, F.col("total") / F.nullif(F.col("members") - 1, F.lit(0)))).alias("a"),
         F.min(F.when(~own, F.col("total") / F.col("members"))).alias("b"),
     )
-    value = F.when(F.col("a").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise(
-        (F.col("b") - F.col("a")) / F.greatest("a", "b")
+    value = F.when(F.col("a").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return per_point.groupBy("run").agg(F.avg(value).alias("silhouette"))
+
+
+def silhouette(points: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row: mean over points of (b - a) / max(a, b); a point alone in its cluster counts 0."""
+    return _silhouettes(cut(points.select("id", "vec", F.array("label").alias("labels"))), block).select("silhouette")
+
+
+def score_labelings(points: DataFrame, labels: DataFrame, digits: int = 2, block: int = BLOCK) -> DataFrame:
+    """(run, clusters, silhouette, davies_bouldin, calinski_harabasz) of several labelings (id, run, label) of the same points, null
+    for a run with fewer than two clusters.
+
+    Every step is keyed by run: distances are taken once for all runs, and centres, spreads and dispersions are single
+    aggregations. Every run has a label for every point.
+    """
+    scaled = standardize(points)
+    listed = labels.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("run", "label"))).alias("of"))
+    fixed = cut(scaled.join(listed, "id").select("id", "vec", F.transform("of", lambda e: e["label"]).alias("labels")))
+    # Runs have numbers in the order of their names: one row per run.
+    names = labels.select("run").distinct().agg(F.array_sort(F.collect_list("run")).alias("names")).select(F.posexplode("names").alias("at", "run"))
+    keyed = fixed.select("vec", F.posexplode("labels").alias("at", "label"))
+    around = cut(
+        keyed.select("at", "label", F.posexplode("vec").alias("pos", "x")).groupBy("at", "label", "pos").agg(F.avg("x").alias("x"))
+        .groupBy("at", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("center"))
+    )
+    distance = euclid(F.col("vec"), F.col("center"))
+    disks = cut(
+        lookup(keyed, around, ["at", "label"], around.count()).groupBy("at", "label")
+        .agg(F.count("*").alias("members"), F.avg(distance).alias("spread"), F.sum(distance * distance).alias("within"))
+        .join(around, ["at", "label"])
+    )
+    # Standardised points have their centre at zero.
+    between = F.col("members") * F.aggregate("center", F.lit(0.0), lambda total, x: total + x * x)
+    dispersion = disks.groupBy("at").agg(
+        F.count("*").alias("clusters"), F.sum("members").alias("n"), F.sum("within").alias("within"), F.sum(between).alias("between")
+    )
+    a, b = disks.alias("a"), disks.alias("b")
+    apart = F.nullif(euclid(F.col("a.center"), F.col("b.center")), F.lit(0.0))
+    worst = (
+        a.join(b, (F.col("a.at") == F.col("b.at")) & (F.col("a.label") != F.col("b.label")))
+        .groupBy(F.col("a.at").alias("at"), F.col("a.label").alias("label")).agg(F.coalesce(F.max((F.col("a.spread") + F.col("b.spread")) / apart), F.lit(0.0)).alias("worst"))
+        .groupBy("at").agg(F.avg("worst").alias("davies_bouldin"))
+    )
+    ratio = F.when(F.col("within") == 0, 1.0).otherwise(F.col("between") * (F.col("n") - F.col("clusters")) / (F.col("within") * (F.col("clusters") - 1)))
+    several = F.col("clusters") > 1
+    return (
+        dispersion.join(names, "at").join(worst, "at", "left").join(_silhouettes(fixed, block).withColumnRenamed("run", "at"), "at", "left")
+        .select(
+            "run", F.col("clusters").cast("int").alias("clusters"), F.when(several, F.round("silhouette", digits)).alias("silhouette"),
+            F.when(several, F.round("davies_bouldin", digits)).alias("davies_bouldin"), F.when(several, F.round(ratio, digits)).alias("calinski_harabasz"),
+        )
     )
-    return per_point.agg(F.avg(value).alias("silhouette"))
 
 
 def cluster_scores(points: DataFrame, digits: int = 2, block: int = BLOCK) -> DataFrame:

@@ -82,10 +82,12 @@ def cluster_log(profiled: Profiled, k: int, seed: int = 0) -> tuple[DataFrame, D
 
 
 def sweep_clusters(profiled: Profiled, ks: list[int], seed: int = 0) -> DataFrame:
-    """Scores for several cluster counts: one row per k."""
-    runs = {f"k{k}": scoring.profile_vectors(cluster_log(profiled, k, seed)[0]) for k in ks}
-    scored, _ = scoring.score_runs(runs)
-    return scored.withColumn("k", F.regexp_extract("file", r"k(\d+)", 1).cast("int"))
+    """Scores for several cluster counts, clustered and scored together: one row per k, with the rounds it took and whether it settled."""
+    made = clustering.sweep_kprototypes(clustering.cluster_points(profiled.profiles, profiled.alphabet.size), ks, seed)
+    points = scoring.profile_vectors(profiled.profiles.withColumn("cluster", F.lit(0))).select("id", "vec")
+    labels = made.clustered.select(F.col("case_id").alias("id"), F.col("k").alias("run"), F.col("cluster").alias("label"))
+    went = profiled.profiles.sparkSession.createDataFrame([(k, made.rounds[k], k not in made.moving) for k in ks], "k int, rounds int, settled boolean")
+    return scoring.score_labelings(points, labels).withColumnRenamed("run", "k").join(went, "k")
 
 
 def explain_representatives(

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import normalize_label
-from ..operators.eventlog import flatten_ocel
+from ..operators.eventlog import PART_EVENTS, flatten_ocel, positioned
 
 # Attribute keys of the XES standard extensions.
 XES_NAME = "concept:name"
 XES_TIME = "time:timestamp"
+# Attribute of a trace element that goes on with a case: the position of its first event.
+XES_FIRST = "part:first"
 
 _ATTRIBUTE = "array<struct<_key: string, _value: string>>"
 _TRACE = f"string {_ATTRIBUTE}, int {_ATTRIBUTE}, event array<struct<string: {_ATTRIBUTE}, date: {_ATTRIBUTE}>>"
@@ -41,32 +43,37 @@ def _attribute(column: str, key: str):
 
 
 def read_xes(spark: SparkSession, path: str, normalize: bool = True) -> DataFrame:
-    """Event log from XES, also compressed. Files are split at trace tags; ``seq`` is the position in the trace."""
+    """Event log from XES, also compressed. Files are split at trace tags; ``seq`` is the position in the trace (of several elements of a
+    long case, as ``write_xes`` makes them, the position in all of them)."""
     traces = spark.read.format("xml").option("rowTag", "trace").schema(_TRACE).load(path)
     case = F.coalesce(_attribute("string", XES_NAME), _attribute("int", XES_NAME)).cast("string")
-    events = traces.select(case.alias("case_id"), F.posexplode("event").alias("seq", "e"))
+    first = F.coalesce(_attribute("int", XES_FIRST).cast("bigint"), F.lit(0))
+    events = traces.select(case.alias("case_id"), first.alias("first"), F.posexplode("event").alias("at", "e"))
     label = F.get(F.filter("e.string", lambda a: a["_key"] == XES_NAME), F.lit(0))["_value"]
     time = F.get(F.filter("e.date", lambda a: a["_key"] == XES_TIME), F.lit(0))["_value"]
     return events.select(
         "case_id",
         (normalize_label(label) if normalize else label).alias("activity"),
         F.to_timestamp(time).cast("timestamp_ntz").alias("ts"),
-        F.col("seq").cast("bigint").alias("seq"),
+        (F.col("first") + F.col("at")).alias("seq"),
     )
 
 
-def write_xes(log: DataFrame, path: str) -> None:
-    """A log as XES part files, one trace element per case with its events in order."""
+def write_xes(log: DataFrame, path: str, part_events: int = PART_EVENTS) -> None:
+    """A log as XES part files: a trace element for every ``part_events`` events of a case, in order. Elements after the first say
+    at which position they begin."""
     stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
 
     def one(key: str, value):
         return F.array(F.struct(F.lit(key).alias("_key"), value.alias("_value")))
 
-    event = F.struct("ts", "seq", F.struct(one(XES_NAME, F.col("activity")).alias("string"), one(XES_TIME, stamp).alias("date")).alias("event"))
-    traces = log.groupBy("case_id").agg(F.sort_array(F.collect_list(event)).alias("events"))
-    traces.select(one(XES_NAME, F.col("case_id")).alias("string"), F.transform("events", lambda e: e["event"]).alias("event")).write.format("xml").options(
-        rootTag="log", rowTag="trace"
-    ).save(path)
+    event = F.struct("pos", F.struct(one(XES_NAME, F.col("activity")).alias("string"), one(XES_TIME, stamp).alias("date")).alias("event"))
+    traces = positioned(log).groupBy("case_id", F.expr(f"pos - pos % {part_events}").alias("first")).agg(F.sort_array(F.collect_list(event)).alias("events"))
+    traces.select(
+        one(XES_NAME, F.col("case_id")).alias("string"),
+        F.when(F.col("first") > 0, one(XES_FIRST, F.col("first").cast("string"))).alias("int"),
+        F.transform("events", lambda e: e["event"]).alias("event"),
+    ).write.format("xml").options(rootTag="log", rowTag="trace").save(path)
 
 
 def write_ocel2_json(log: ObjectLog, path: str) -> None:

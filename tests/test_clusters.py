@@ -47,6 +47,46 @@ def test_kprototypes_is_settled(profiled):
         clustering.kprototypes(points.limit(2), 3)
 
 
+def test_sweep_goes_the_way_of_single_runs(profiled):
+    points = clustering.cluster_points(profiled.profiles, profiled.alphabet.size)
+    made = clustering.sweep_kprototypes(points, [2, 4, 3])
+    assert made.moving == [] and set(made.rounds) == {2, 3, 4}
+    got = {(r["k"], r["case_id"]): (r["cluster"], r["dist"]) for r in made.clustered.collect()}
+    assert len(got) == 3 * points.count()
+    for k in (2, 3, 4):
+        alone, centroids = clustering.kprototypes(points, k)
+        assert made.centroids[k] == centroids
+        for row in alone.collect():
+            assert got[k, row["case_id"]] == (row["cluster"], row["dist"])
+
+
+def test_sweep_tells_what_still_moves(profiled):
+    points = clustering.cluster_points(profiled.profiles, profiled.alphabet.size)
+    with pytest.warns(UserWarning, match="still moved"):
+        made = clustering.sweep_kprototypes(points, [2, 3], max_rounds=1)
+    assert made.moving == [2, 3] and made.rounds == {2: 1, 3: 1}
+
+
+def test_modes_and_means_of_a_sweep_equal_single_operators(profiled):
+    points = clustering.cluster_points(profiled.profiles, profiled.alphabet.size)
+    assigned = clustering.assign_clusters(points, clustering.sample_centroids(points, 4))
+    made = {c.cluster: c for c in clustering.update_centroids(assigned, 4) if c}
+    modes = {(r["cluster"], r["pos"]): r["n"] for r in clustering.cluster_modes(assigned).collect()}
+    assert modes == {(c.cluster, pos): n for c in made.values() for pos, n in c.cells.items()}
+    assert {r["cluster"]: list(r["num"]) for r in clustering.cluster_means(assigned).collect()} == {i: c.num for i, c in made.items()}
+
+
+@pytest.mark.parametrize("block", [3, 8192])
+def test_labelings_are_scored_as_single_runs(spark, line, block):
+    runs = {"good": [0, 0, 1, 1], "poor": [0, 1, 0, 1], "three": [0, 1, 2, 2], "one": [5, 5, 5, 5]}
+    labels = spark.createDataFrame([(i, run, label) for run, some in runs.items() for i, label in zip("abcd", some)], "id string, run string, label int")
+    got = {r["run"]: tuple(r)[1:] for r in scoring.score_labelings(line.drop("label"), labels, 4, block).collect()}
+    assert got.pop("one") == (1, None, None, None)
+    for run, values in got.items():
+        single = line.drop("label").join(labels.filter(F.col("run") == run).drop("run"), "id")
+        assert values[1:] == tuple(scoring.cluster_scores(single, 4).first()) and values[0] == len(set(runs[run]))
+
+
 @pytest.mark.parametrize("tokens", ["cell", "value"])
 def test_medoids_equal_brute_force(profiled, tokens, monkeypatch):
     monkeypatch.setattr(clustering, "MEDOID_BATCH", 4)

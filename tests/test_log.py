@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparktrace.functions.labels import clean_case_id, normalize_label
@@ -64,16 +65,46 @@ def skewed_log(spark):
     )
 
 
-def test_slices_change_nothing(skewed_log):
-    whole, cut = eventlog.with_previous(skewed_log), eventlog.with_previous(skewed_log, max_case_events=40)
-    assert sorted(map(str, whole.collect())) == sorted(map(str, cut.collect()))
-    pieces = eventlog.trace_corpus(skewed_log, max_case_events=40)
-    assert pieces.filter("part > 0").count() > 10
+def test_borders_change_nothing(skewed_log):
+    """Whatever the number of partitions, positions and neighbours are those of a window over each case."""
+    case = Window.partitionBy("case_id").orderBy("ts", "seq")
+    plain = skewed_log.select(
+        "*", (F.row_number().over(case) - 1).cast("bigint").alias("pos"), F.lag("activity").over(case).alias("prev_activity"),
+        F.lag("ts").over(case).alias("prev_ts"), F.min("ts").over(Window.partitionBy("case_id")).alias("start_ts"),
+    )
+    expected = sorted(map(str, plain.collect()))
+    for partitions in (None, 1, 3, 40):
+        made = eventlog.positioned(skewed_log, partitions=partitions)
+        assert sorted(map(str, made.collect())) == expected
+
+
+def test_one_case_with_one_timestamp_is_spread(spark):
+    log = spark.range(4000).selectExpr("'hot' AS case_id", "chr(65 + cast(id % 5 AS int)) AS activity", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "CAST(NULL AS bigint) AS seq")
+    made = eventlog.positioned(log, partitions=8)
+    assert sorted(r["pos"] for r in made.select("pos").collect()) == list(range(4000))
+    # Equal events are told apart by a number of their own, so they fill all partitions.
+    files = [r["n"] for r in spark.read.parquet(*made.inputFiles()).groupBy("__part").agg(F.count("*").alias("n")).collect()]
+    assert len(files) == 8 and max(files) < 1000
+
+
+def test_log_of_missing_values(spark):
+    rows = [(None, "A", None, 1), (None, None, None, 2), ("a", None, None, None), ("a", "B", None, None), ("", "C", None, 0)]
+    log = spark.createDataFrame(rows, "case_id string, activity string, ts timestamp_ntz, seq bigint")
+    for partitions in (1, 5):
+        made = {(r["case_id"], r["activity"]): (r["pos"], r["prev_activity"]) for r in eventlog.positioned(log, partitions=partitions).collect()}
+        assert made == {(None, "A"): (0, None), (None, None): (1, "A"), ("a", None): (0, None), ("a", "B"): (1, None), ("", "C"): (0, None)}
+    assert eventlog.positioned(log.limit(0)).count() == 0 and eventlog.trace_corpus(log.limit(0)).count() == 0
+
+
+def test_parts_of_a_text(skewed_log):
+    whole = eventlog.trace_corpus(skewed_log)
+    assert whole.filter("part > 0").count() == 0
+    pieces = eventlog.trace_corpus(skewed_log, part_events=40)
+    assert pieces.filter("case_id = 'hot'").count() == 15 and pieces.filter("size(split(trace, ' ')) > 40").count() == 0
     joined = pieces.groupBy("case_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "trace"))), lambda p: p["trace"]), " ").alias("trace")
     )
-    whole = eventlog.trace_corpus(skewed_log).select("case_id", "trace")
-    assert rows(joined, "case_id") == rows(whole, "case_id")
+    assert rows(joined, "case_id") == rows(whole.select("case_id", "trace"), "case_id")
 
 
 def test_transitions_add_up(skewed_log):

@@ -29,6 +29,21 @@ OCEL = {
 }
 
 
+def test_xes_of_a_long_case(spark, tmp_path):
+    """A case is written in elements of bounded length and read as one."""
+    log = spark.range(95).selectExpr(
+        "concat('c', CAST(id < 70 AS int)) AS case_id", "chr(65 + cast(id % 7 AS int)) AS activity",
+        "timestampadd(SECOND, cast(id div 3 AS int), timestamp_ntz'2024-01-01 00:00:00') AS ts", "id AS seq",
+    )
+    logs.write_xes(log, str(tmp_path / "xes"), part_events=16)
+    elements = spark.read.format("xml").option("rowTag", "trace").schema("event array<struct<string: array<struct<_key: string>>>>").load(str(tmp_path / "xes"))
+    assert sorted(r[0] for r in elements.selectExpr("size(event)").collect()) == [6, 9, 16, 16, 16, 16, 16]
+    back = logs.read_xes(spark, str(tmp_path / "xes"), normalize=False)
+    columns = ["case_id", "activity", "ts"]
+    assert back.orderBy("case_id", "seq").select(columns).collect() == log.orderBy("case_id", "seq").select(columns).collect()
+    assert [r[0] for r in back.filter("case_id = 'c1'").orderBy("seq").select("seq").collect()] == list(range(70))
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_xes(spark, tmp_path, packed):
     path = tmp_path / ("log.xes.gz" if packed else "log.xes")
