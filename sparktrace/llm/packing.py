@@ -33,7 +33,7 @@ CAPACITY = 4096
 END = 1
 #: A bin that lacks less than this part of the capacity is nearly full.
 NEARLY = 1 / 256
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 MARKS = {".", ",", ";", ":", "!", "?"}
 
 #: A mark that ends a part, after a letter (but the one whose lower case ends with a combining sign) or number.
