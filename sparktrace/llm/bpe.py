@@ -5,8 +5,9 @@ token border are the encoding of the bytes up to that border, and a token may fo
 to themselves. So for each prefix there is one last token, found from the tokens that end there. A state holds the borders at
 which a longer token may still start, each with the tokens since the last settled border and its node in the trie of tokens.
 What all of them share is settled and emitted; no state looks further ahead than the longest token. States and transitions are
-made when first met, up to a limit; a piece that would need more states is run through the undetermined machine, one path after
-the other, so memory is bounded by parameters. Short pieces' paths from start to end are remembered whole.
+made when first met, up to a limit; a piece that would need more states is run through the undetermined machine, whose one last token
+of each prefix is found from those of shorter prefixes, so memory is bounded by parameters. Short pieces' paths from start to end are
+remembered whole.
 
 Null text counts as empty: no ids, empty decoded text. Very long texts and pieces take time in proportion to their length.
 Repeated rows are encoded each for itself; extra columns are kept; new columns get underscores in front if their names are taken.
@@ -18,6 +19,7 @@ import base64
 from array import array
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -61,6 +63,11 @@ class Transducer:
                     self.token.append(None)
                 node = at
             self.token[node] = rank
+        # The same tokens for the undetermined machine: all that end at a byte, the longest first.
+        self.ending = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            self.ending.add_word(token.decode("latin-1"), (rank, len(token)))
+        self.ending.make_automaton()
         self.follows: dict[tuple, bool] = {}
         self.spines: dict[int, tuple[list, list]] = {}
         self.states: list[tuple] = []
@@ -159,34 +166,24 @@ class Transducer:
         return move
 
     def _run_undetermined(self, piece: bytes) -> list[int]:
-        """One path after the other, longest token first. There is one valid path to a border at most, so a border from which
-        no path leads to the end is never tried again."""
-        end, following, token_at, may, follows = len(piece), self.next, self.token, self._may_follow, self.follows
-        at, before, dead = 0, None, set()
-        path: list[tuple[int | None, list, int]] = []
-        while True:
-            node, ways = 0, []
-            for i in range(at, end):
-                node = following[node].get(piece[i])
-                if node is None:
-                    break
-                if token_at[node] is not None:
-                    ways.append((token_at[node], i + 1))
-            while True:
-                if ways:
-                    token, to = ways.pop()
-                    valid = follows.get((before, token))
-                    if to not in dead and (may(before, token) if valid is None else valid):
-                        break
-                elif path:
-                    dead.add(at)
-                    before, ways, at = path.pop()
-                else:
-                    raise ValueError("the ranks lack a byte or have a token that its own merges don't reach")
-            path.append((before, ways, at))
-            at, before = to, token
-            if at == end:
-                return [first for first, _, _ in path[1:]] + [before]
+        """Border by border: of the tokens that end there, the one that may follow the last token of the border where it starts.
+        There is exactly one, so nothing is tried again, and the piece is read off from its end."""
+        may, follows, last, begun = self._may_follow, self.follows, [None] * (len(piece) + 1), [0] * (len(piece) + 1)
+        for end, (token, size) in self.ending.iter(piece.decode("latin-1")):
+            end += 1
+            if last[end] is None:
+                start = end - size
+                before = last[start]
+                valid = start == 0 or follows.get((before, token))
+                if may(before, token) if valid is None else valid:
+                    last[end], begun[end] = token, start
+        out, at = [], len(piece)
+        while at:
+            if last[at] is None:
+                raise ValueError("the ranks lack a byte or have a token that its own merges don't reach")
+            out.append(last[at])
+            at = begun[at]
+        return out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of a piece. A piece that is itself a token is that token."""
