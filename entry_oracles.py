@@ -102,9 +102,15 @@ MIXED = (
     f" + 0.5::DOUBLE * {euclid('a', 'b')}) * 1e6::DOUBLE, 0) / 1e6::DOUBLE + 0.0)"
 )
 
-NEIGHBOR_CTES = f"""
+DISTANCE_CTE = f"""
 distances AS (
-  SELECT a.case_id AS src, b.case_id AS dst, {MIXED} AS dist FROM profile a JOIN profile b ON a.case_id <> b.case_id),
+  SELECT a.case_id AS src, b.case_id AS dst, {MIXED} AS dist FROM profile a JOIN profile b ON a.case_id <> b.case_id)"""
+
+CLASS_CTE = f"""
+classes AS (
+  SELECT case_id, min(case_id) OVER (PARTITION BY act_text, tra_text, {', '.join(TIME_FEATURES)}) AS representative FROM profile)"""
+
+NEIGHBOR_CTES = f"""{DISTANCE_CTE},
 neighbors AS (
   SELECT * FROM (
     SELECT *, CAST(row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS INTEGER) AS rank FROM distances)
@@ -386,7 +392,23 @@ SELECT act_from AS activity, """
     "pair_distance": orders_with(
         select=f"""
 SELECT a.case_id AS src, b.case_id AS dst, {MIXED} AS dist
-FROM profile a JOIN profile b ON CAST(b.case_id AS BIGINT) = CAST(a.case_id AS BIGINT) + 1"""
+FROM profile a JOIN profile b ON CAST(b.case_id AS BIGINT) = (
+  SELECT min(CAST(c.case_id AS BIGINT)) FROM profile c WHERE CAST(c.case_id AS BIGINT) % {GROUPS} = CAST(a.case_id AS BIGINT) % {GROUPS})"""
+    ),
+    "radius_pairs": orders_with(
+        DISTANCE_CTE, CLASS_CTE,
+        select="""
+SELECT src, dst, dist FROM distances
+WHERE src < dst AND src IN (SELECT representative FROM classes) AND dst IN (SELECT representative FROM classes)
+  AND dist <= (SELECT round(avg(near), 6) FROM (SELECT min(dist) AS near FROM distances GROUP BY src))"""
+    ),
+    "radius_members": events_with(
+        DISTANCE_CTE, CLASS_CTE,
+        select="""
+SELECT c.case_id AS id, c.representative, count(d.dst) AS near FROM classes c LEFT JOIN (
+  SELECT src, dst FROM distances WHERE dst IN (SELECT representative FROM classes)
+    AND dist <= (SELECT round(max(dist), 6) FROM (SELECT dist, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rn FROM distances) WHERE rn <= 2)
+) d ON d.src = c.representative AND d.dst <> c.representative GROUP BY ALL"""
     ),
     "knn_neighbors": on_graph("SELECT src, dst, dist, rank FROM neighbors"),
     "knn_neighbors_orders": orders_with(NEIGHBOR_CTES, select="SELECT src, dst, dist, rank FROM neighbors"),
@@ -401,7 +423,15 @@ SELECT src, dst, dist, rank FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY src ORDER BY src <> dst, dist, dst) AS INTEGER) AS rank FROM d) WHERE rank <= {K}""",
     "euclidean_pairs": """
 SELECT a.vec_id AS src, b.vec_id AS dst, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dist
-FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+FROM embeddings a JOIN embeddings b ON b.vec_id = (SELECT min(c.vec_id) FROM embeddings c WHERE c.label = a.label)""",
+    "euclidean_radius_pairs": """
+WITH d AS MATERIALIZED (
+  SELECT a.vec_id AS src, b.vec_id AS dst, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dist
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+classes AS (SELECT min(vec_id) AS vec_id FROM embeddings GROUP BY embedding)
+SELECT src, dst, dist FROM d
+WHERE src < dst AND src IN (SELECT vec_id FROM classes) AND dst IN (SELECT vec_id FROM classes) AND dist <= (
+  SELECT round(avg(dist), 6) FROM (SELECT dist, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rn FROM d) WHERE rn = 3)""",
     "degree_centrality": on_graph("SELECT node, round(cent_degree, 6) AS cent_degree FROM degree_c"),
     "modularity": on_graph(
         """

@@ -214,14 +214,42 @@ def wide_profile(spark, sf_dir):
 # --- distances and neighbours ---------------------------------------------------------------------------------------
 
 
-def pair_distance(spark, sf_dir):
-    """Mixed distance of every order case and the one with the next higher id."""
+def _order_points(spark, sf_dir):
     made = variants.profile_log(order_log(spark, sf_dir))
+    return neighbors.mixed_points(profile.profile_strings(made.profiles, made.alphabet.size))
+
+
+def _embedding_points(spark, sf_dir):
+    return neighbors.vector_points(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def pair_distance(spark, sf_dir):
+    """Mixed distance of every order case and the first case (by id) of its group."""
+    points = cut(_order_points(spark, sf_dir))
+    group = (F.col("id").cast("bigint") % GROUPS).alias("group")
+    firsts = points.groupBy(group).agg(F.min(F.col("id").cast("bigint")).cast("string").alias("dst"))
+    pairs = points.select(F.col("id").alias("src"), group).join(firsts, "group").select("src", "dst")
+    return neighbors.pair_distances(points, pairs, neighbors.mixed_metric(**WEIGHTS))
+
+
+def radius_pairs(spark, sf_dir):
+    """All pairs of different order cases whose mixed distance is at most the mean distance to the nearest case."""
+    points, metric = cut(_order_points(spark, sf_dir)), neighbors.mixed_metric(**WEIGHTS)
+    radius = neighbors.knn(points, metric, 1).agg(F.round(F.avg("dist"), 6)).first()[0]
+    return neighbors.radius_join(points, metric, radius).pairs
+
+
+def radius_members(spark, sf_dir):
+    """Every event case with the smallest id of those equal to it and the number of other such classes near it, no farther than the
+    farthest second neighbour of any case."""
+    made = _profiled(spark, sf_dir)
     points = neighbors.mixed_points(profile.profile_strings(made.profiles, made.alphabet.size))
-    pairs = points.select(
-        F.col("id").alias("src"), (F.col("id").cast("bigint") + 1).cast("string").alias("dst")
+    metric = neighbors.mixed_metric(**WEIGHTS)
+    near = neighbors.radius_join(points, metric, neighbors.knn(points, metric, 2).agg(F.round(F.max("dist"), 6)).first()[0])
+    ends = near.pairs.select(F.col("src").alias("representative")).unionAll(near.pairs.select("dst"))
+    return near.members.join(ends.groupBy("representative").agg(F.count("*").alias("near")), "representative", "left").select(
+        "id", "representative", F.coalesce("near", F.lit(0)).alias("near")
     )
-    return neighbors.pair_distances(points, pairs, neighbors.mixed_metric(**WEIGHTS))
 
 
 def knn_neighbors(spark, sf_dir):
@@ -242,10 +270,18 @@ def knn_euclidean(spark, sf_dir):
 
 
 def euclidean_pairs(spark, sf_dir):
-    """Euclidean distance of every vector and the one with the next higher id."""
-    points = neighbors.vector_points(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    pairs = points.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
-    return neighbors.pair_distances(points, pairs, neighbors.euclidean_metric())
+    """Euclidean distance of every vector and the first one of its label."""
+    points = _embedding_points(spark, sf_dir)
+    labelled = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("src"), "label")
+    firsts = labelled.groupBy("label").agg(F.min("src").alias("dst"))
+    return neighbors.pair_distances(points, labelled.join(firsts, "label").select("src", "dst"), neighbors.euclidean_metric())
+
+
+def euclidean_radius_pairs(spark, sf_dir):
+    """All pairs of vectors no farther apart than the mean distance to the third nearest."""
+    points, metric = _embedding_points(spark, sf_dir), neighbors.euclidean_metric()
+    radius = neighbors.knn(points, metric, 3).filter("rank = 3").agg(F.round(F.avg("dist"), 6)).first()[0]
+    return neighbors.radius_join(points, metric, radius).pairs
 
 
 # --- graph ----------------------------------------------------------------------------------------------------------
@@ -460,7 +496,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         flatten_ocel, flatten_ocel_by_event, normalize_labels, trace_corpus, event_time_features, activity_dict,
         onehot_profile, presence, transition_profile, transition_text, dfg, dfg_matrix, time_profile, profile_merge,
-        wide_profile, pair_distance, knn_neighbors, knn_neighbors_orders, knn_edges, knn_euclidean, euclidean_pairs,
+        wide_profile, pair_distance, radius_pairs, radius_members, knn_neighbors, knn_neighbors_orders, knn_edges, knn_euclidean, euclidean_pairs, euclidean_radius_pairs,
         degree_centrality, modularity, pagerank, betweenness, closeness, louvain_communities, node_table,
         representatives, community_sizes, bridge_nodes, bridge_filter, split_bridges, meta_nodes, meta_edges,
         detect_communities, detected_representatives, standardize, sample_centroids, assign_clusters, cluster_modes,

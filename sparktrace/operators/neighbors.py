@@ -37,6 +37,13 @@ class Metric:
     upper_bound: Callable[[Row, Row], Column] | None = None
     # Vector column whose distances inside one unit of work are computed by numpy instead.
     vector: str | None = None
+    # The distance if it is at most a limit, else null: for metrics that can stop early.
+    within: Callable[[Row, Row, Column], Column] | None = None
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def mixed_metric(w_act: float = 1.0, w_tra: float = 1.0, w_time: float = 1.0) -> Metric:
@@ -62,7 +69,27 @@ def mixed_metric(w_act: float = 1.0, w_tra: float = 1.0, w_time: float = 1.0) ->
         tra = F.greatest(F.length(a("tra_text")), F.length(b("tra_text")))
         return time_part(a, b) + F.lit(float(w_tra)) * tra + F.lit(float(w_act)) * act
 
-    return Metric(("act_text", "tra_text", "time", "act_ones", "tra_zeros"), distance, lower_bound, upper_bound)
+    def edits(left: Column, right: Column, weight: float, rest: Column) -> Column:
+        """Edit distance of weight ``rest`` at most; -1 for more, without filling the whole table."""
+        if weight <= 0:
+            return F.lit(0)
+        most = F.least(rest / F.lit(weight), F.lit(1e9))
+        return F.when(most >= 0, F.call_function("levenshtein", left, right, F.floor(F.greatest(most, F.lit(0.0))).cast("int"))).otherwise(-1)
+
+    def within(a: Row, b: Row, limit: Column) -> Column:
+        # Time first, then the short string, then the long one with what is left of the limit.
+        def total(act: Column, tra: Column) -> Column:
+            return round_half_even(F.lit(float(w_act)) * act + F.lit(float(w_tra)) * tra + time_part(a, b), DIGITS)
+
+        return _let(limit - time_part(a, b), lambda rest: _let(
+            edits(a("act_text"), b("act_text"), float(w_act), rest),
+            lambda act: F.when(act >= 0, _let(
+                edits(a("tra_text"), b("tra_text"), float(w_tra), rest - F.lit(float(w_act)) * act),
+                lambda tra: F.when(tra >= 0, total(act, tra)),
+            )),
+        ))
+
+    return Metric(("act_text", "tra_text", "time", "act_ones", "tra_zeros"), distance, lower_bound, upper_bound, within=within)
 
 
 def euclidean_metric(column: str = "vec") -> Metric:
@@ -169,8 +196,19 @@ def knn(points: DataFrame, metric: Metric, k: int, include_self: bool = False, p
     )
 
 
-def _class_neighbors(classes: DataFrame, metric: Metric, k: int, pivots: int) -> DataFrame:
-    """(src, dst_class, dist) for the pairs of distinct classes within each class's k-th distance bound."""
+@dataclass(frozen=True)
+class _Cells:
+    """Classes dealt to pivots: each lies in its nearest pivot's cell, in a ring by its distance from it."""
+
+    columns: list[str]
+    with_pivot_distances: Callable[[DataFrame], DataFrame]
+    disks: Column  # a list of (home, radius, holds), one for each pivot
+    ringed: DataFrame
+    units: DataFrame  # (home, ring, parts): in how many parts a ring is searched
+
+
+def _cells(classes: DataFrame, metric: Metric, pivots: int, k: int = 0) -> _Cells:
+    """Deal classes to pivots; ``holds`` is the distance from a pivot that has ``k`` + 1 classes of its cell."""
     here: Row = F.col
     columns = ["class", *metric.columns]
     chosen = classes.orderBy(F.xxhash64("class"), "class").limit(pivots).select(F.struct(*columns).alias("p"))
@@ -207,10 +245,21 @@ def _class_neighbors(classes: DataFrame, metric: Metric, k: int, pivots: int) ->
     units = F.broadcast(
         ringed.groupBy("home", "ring").agg(F.ceil(F.count("*") / F.lit(UNIT)).cast("int").alias("parts"))
     )
-    part = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
+    return _Cells(columns, with_pivot_distances, disks, ringed, units)
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
+
+
+def _class_neighbors(classes: DataFrame, metric: Metric, k: int, pivots: int) -> DataFrame:
+    """(src, dst_class, dist) for the pairs of distinct classes within each class's k-th distance bound."""
+    here: Row = F.col
+    cells = _cells(classes, metric, pivots, k)
+    columns = cells.columns
 
     # Upper bounds of the k-th distance: real distances to ring mates, cheap bounds to cell mates, and through pivots.
-    parted = ringed.join(units, ["home", "ring"]).withColumn("part", part)
+    parted = cells.ringed.join(cells.units, ["home", "ring"]).withColumn("part", _part())
     mates = F.collect_list(F.struct(*columns)).over(
         Window.partitionBy("home", "ring", "part").orderBy("anchor", "class").rowsBetween(-k, k)
     )
@@ -234,10 +283,17 @@ def _class_neighbors(classes: DataFrame, metric: Metric, k: int, pivots: int) ->
     )
     tau = F.coalesce(F.least(through, "by_mates", "by_cell"), F.lit(float("inf")))
     searching = (
-        with_pivot_distances(spread(searching.drop("home"), "class")).withColumn("disks", disks)
+        cells.with_pivot_distances(spread(searching.drop("home"), "class")).withColumn("disks", cells.disks)
         .select(*columns, "d", "disks", (tau + SLACK).alias("tau"))
     )
+    return _near_pairs(searching, cells, metric)
 
+
+def _near_pairs(searching: DataFrame, cells: _Cells, metric: Metric, one_way: bool = False) -> DataFrame:
+    """(src, dst_class, dist) for the other classes within ``tau`` of each searching class; each pair once, if ``one_way``.
+
+    A class looks only into the rings that the triangle inequality cannot exclude. A ring of many classes is searched in parts.
+    """
     def ring_range(cell: Column) -> Column:
         d, tau = F.get(F.col("d"), cell["home"]), F.col("tau")
         flat = F.coalesce(F.nullif(cell["radius"], F.lit(0.0)), F.lit(1.0))
@@ -258,28 +314,71 @@ def _class_neighbors(classes: DataFrame, metric: Metric, k: int, pivots: int) ->
             "class", a, "tau", F.col("cell.home").alias("home"),
             F.explode(F.sequence("cell.low", "cell.high")).alias("ring"),
         )
-        .join(units, ["home", "ring"])
+        .join(cells.units, ["home", "ring"])
         .select(
-            "home", "ring", part.alias("mine"), F.explode(every).alias("other"), F.col("class").alias("src"), "a", "tau"
+            "home", "ring", _part().alias("mine"), F.explode(every).alias("other"), F.col("class").alias("src"), "a", "tau"
         )
     )
-    targets = ringed.join(units, ["home", "ring"]).select(
-        "home", "ring", F.explode(every).alias("mine"), part.alias("other"), F.col("class").alias("dst_class"), b
+    targets = cells.ringed.join(cells.units, ["home", "ring"]).select(
+        "home", "ring", F.explode(every).alias("mine"), _part().alias("other"), F.col("class").alias("dst_class"), b
     )
+    ordered = F.col("src") < F.col("dst_class") if one_way else F.col("src") != F.col("dst_class")
     if metric.vector:
-        return _compare_vectors(probes, targets, keys, metric.vector)
+        return _compare_vectors(probes, targets, keys, metric.vector).filter(ordered)
     left: Row = lambda c: F.col("a")[c]
     right: Row = lambda c: F.col("b")[c]
-    exact = metric.distance(left, right)
+    exact = metric.within(left, right, F.col("tau")) if metric.within else metric.distance(left, right)
     return (
         spread(probes, *keys).join(spread(targets, *keys), keys)
-        .filter(F.col("src") != F.col("dst_class"))
+        .filter(ordered)
         .filter(metric.lower_bound(left, right) <= F.col("tau"))
         # Filtering a one-element list evaluates the distance once; filtering rows would evaluate it twice.
         .select("src", "dst_class", F.explode(F.filter(F.array(exact), lambda d: d <= F.col("tau"))).alias("dist"))
     )
 
 
+@dataclass(frozen=True)
+class Near:
+    """Pairs within a radius: between one representative of each class of equal points, and who belongs to it."""
+
+    pairs: DataFrame  # (src, dst, dist), src < dst
+    members: DataFrame  # (id, representative)
+
+
+def radius_join(points: DataFrame, metric: Metric, radius: float, pivots: int | None = None) -> Near:
+    """All pairs of points at most ``radius`` apart, exactly.
+
+    Equal points form one class, named by its smallest id; its own pairs, all at distance 0, are not written out (``all_pairs`` does). Classes are
+    dealt to pivots, and each looks only into rings within the radius by the triangle inequality; what the cheap bounds
+    leave is measured, with edit distances that stop beyond the radius. Each pair is met from one side.
+    """
+    key = F.sha2(F.to_json(F.struct(*metric.columns)), 256)
+    members = cut(points.withColumn("class", key))
+    classes = cut(members.groupBy("class").agg(F.min("id").alias("first"), *[F.first(c).alias(c) for c in metric.columns]))
+    cells = _cells(classes, metric, pivots or min(MAX_PIVOTS, max(1, isqrt(classes.count()))))
+    searching = (
+        cells.with_pivot_distances(spread(classes.select(*cells.columns), "class")).withColumn("disks", cells.disks)
+        .select(*cells.columns, "d", "disks", F.lit(float(radius) + SLACK).alias("tau"))
+    )
+    found = _near_pairs(searching, cells, metric, one_way=True).filter(F.col("dist") <= radius)
+    named = classes.select("class", "first")
+    pairs = (
+        found.join(named.withColumnsRenamed({"class": "src", "first": "one"}), "src")
+        .join(named.withColumnsRenamed({"class": "dst_class", "first": "two"}), "dst_class")
+        .select(F.least("one", "two").alias("src"), F.greatest("one", "two").alias("dst"), "dist")
+    )
+    return Near(pairs, members.select("id", "class").join(named, "class").select("id", F.col("first").alias("representative")))
+
+
+def all_pairs(near: Near) -> DataFrame:
+    """(src, dst, dist) for the single points: grows with the product of class sizes, so for results known to be small."""
+    one = near.members.withColumnsRenamed({"id": "one", "representative": "src"})
+    two = near.members.withColumnsRenamed({"id": "two", "representative": "dst"})
+    apart = near.pairs.join(one, "src").join(two, "dst").select("one", "two", "dist")
+    equal = one.join(two, F.col("src") == F.col("dst")).filter(F.col("one") < F.col("two")).select("one", "two", F.lit(0.0).alias("dist"))
+    return apart.unionByName(equal).select(F.least("one", "two").alias("src"), F.greatest("one", "two").alias("dst"), "dist")
+
+
 def _cell_bound(searching: DataFrame, metric: Metric, k: int) -> DataFrame:
     """Add ``by_cell``: the k-th smallest upper bound among mates of the same cell, at most about UNIT of them."""
     groups = F.broadcast(

@@ -76,3 +76,44 @@ def test_time_scales(small_log):
     assert scored[0] == pytest.approx(0, abs=1e-9) and scored[1] == pytest.approx(1)
     with pytest.raises(ValueError):
         neighbors.scale_time(made.profiles, "other")
+
+
+def brute_pairs(points, metric, radius):
+    a = points.select(F.col("id").alias("src"), F.struct(*metric.columns).alias("a"))
+    b = points.select(F.col("id").alias("dst"), F.struct(*metric.columns).alias("b"))
+    dist = metric.distance(lambda c: F.col("a")[c], lambda c: F.col("b")[c])
+    return sorted(map(tuple, a.join(b, F.col("src") < F.col("dst")).select("src", "dst", dist.alias("dist")).filter(F.col("dist") <= radius).collect()))
+
+
+@pytest.mark.parametrize("radius, weights", [(0.0, (1, 1, 0.5)), (3.0, (1, 1, 0.001)), (60.0, (1, 2, 0.5)), (5.0, (0, 1, 0.01)), (1e9, (1, 1, 1))])
+def test_radius_join_equals_brute_force(points, radius, weights, monkeypatch):
+    monkeypatch.setattr(neighbors, "UNIT", 16)
+    metric = neighbors.mixed_metric(*weights)
+    near = neighbors.radius_join(points, metric, radius, pivots=7)
+    assert sorted(map(tuple, neighbors.all_pairs(near).collect())) == brute_pairs(points, metric, radius)
+    first = {r["id"]: r["representative"] for r in near.members.collect()}
+    assert len(first) == points.count() and all(first[r] == r for r in first.values())
+    # Equal points are not written out among each other.
+    assert near.pairs.count() == near.pairs.select("src", "dst").distinct().count()
+    assert near.pairs.filter("src >= dst").count() == 0
+
+
+@pytest.mark.parametrize("radius", [0.0, 2.0, 9.0])
+def test_radius_join_of_vectors(spark, radius):
+    rows = [(i, [float(i * 7 % 11), float(i * i % 5), 0.0 if i % 4 else 3.0]) for i in range(60)]
+    points = neighbors.vector_points(spark.createDataFrame(rows, "id bigint, v array<float>"), "id", "v")
+    metric = neighbors.euclidean_metric()
+    assert sorted(map(tuple, neighbors.all_pairs(neighbors.radius_join(points, metric, radius)).collect())) == brute_pairs(points, metric, radius)
+    assert neighbors.radius_join(points.limit(0), metric, radius).pairs.count() == 0
+
+
+def test_thresholded_distance_equals_distance(points):
+    """Within the limit the distance itself, beyond it null, whatever the limit."""
+    metric = neighbors.mixed_metric(1, 1, 0.5)
+    rows = points.limit(25).select(F.struct(*metric.columns).alias("a")).crossJoin(points.select(F.struct(*metric.columns).alias("b")))
+    left, right = (lambda c: F.col("a")[c]), (lambda c: F.col("b")[c])
+    both = rows.withColumn("limit", F.explode(F.array(F.lit(0.0), F.lit(2.0), F.lit(40.5), F.lit(float("inf"))))).select(
+        "limit", metric.distance(left, right).alias("dist"), metric.within(left, right, F.col("limit") + neighbors.SLACK).alias("within")
+    )
+    assert both.filter("dist <= limit AND NOT (within <=> dist)").count() == 0
+    assert both.filter("dist > limit + 0.001 AND within IS NOT NULL").count() == 0
