@@ -69,24 +69,22 @@ def mixed_metric(w_act: float = 1.0, w_tra: float = 1.0, w_time: float = 1.0) ->
         tra = F.greatest(F.length(a("tra_text")), F.length(b("tra_text")))
         return time_part(a, b) + F.lit(float(w_tra)) * tra + F.lit(float(w_act)) * act
 
-    def edits(left: Column, right: Column, weight: float, rest: Column) -> Column:
-        """Edit distance of weight ``rest`` at most; -1 for more, without filling the whole table."""
+    def edits(left: Column, right: Column, weight: float, rest: Column, then: Callable[[Column], Column]) -> Column:
+        """``then`` of the weighted edit distance, or null if that is above ``rest``; the table of edits is not filled beyond it."""
         if weight <= 0:
-            return F.lit(0)
+            return then(F.lit(0.0))
         most = F.least(rest / F.lit(weight), F.lit(1e9))
-        return F.when(most >= 0, F.call_function("levenshtein", left, right, F.floor(F.greatest(most, F.lit(0.0))).cast("int"))).otherwise(-1)
+        found = F.when(most >= 0, F.call_function("levenshtein", left, right, F.floor(F.greatest(most, F.lit(0.0))).cast("int"))).otherwise(-1)
+        return _let(found, lambda n: F.when(n >= 0, then(F.lit(weight) * n)))
 
     def within(a: Row, b: Row, limit: Column) -> Column:
         # Time first, then the short string, then the long one with what is left of the limit.
-        def total(act: Column, tra: Column) -> Column:
-            return round_half_even(F.lit(float(w_act)) * act + F.lit(float(w_tra)) * tra + time_part(a, b), DIGITS)
-
-        return _let(limit - time_part(a, b), lambda rest: _let(
-            edits(a("act_text"), b("act_text"), float(w_act), rest),
-            lambda act: F.when(act >= 0, _let(
-                edits(a("tra_text"), b("tra_text"), float(w_tra), rest - F.lit(float(w_act)) * act),
-                lambda tra: F.when(tra >= 0, total(act, tra)),
-            )),
+        return _let(limit - time_part(a, b), lambda rest: edits(
+            a("act_text"), b("act_text"), float(w_act), rest,
+            lambda act: edits(
+                a("tra_text"), b("tra_text"), float(w_tra), rest - act,
+                lambda tra: F.when(rest >= 0, round_half_even(act + tra + time_part(a, b), DIGITS)),
+            ),
         ))
 
     return Metric(("act_text", "tra_text", "time", "act_ones", "tra_zeros"), distance, lower_bound, upper_bound, within=within)
@@ -333,7 +331,8 @@ def _near_pairs(searching: DataFrame, cells: _Cells, metric: Metric, one_way: bo
         .filter(ordered)
         .filter(metric.lower_bound(left, right) <= F.col("tau"))
         # Filtering a one-element list evaluates the distance once; filtering rows would evaluate it twice.
-        .select("src", "dst_class", F.explode(F.filter(F.array(exact), lambda d: d <= F.col("tau"))).alias("dist"))
+        .select("src", "dst_class", F.filter(F.array(exact), lambda d: d <= F.col("tau")).alias("found"))
+        .select("src", "dst_class", F.explode("found").alias("dist"))
     )
 
 
