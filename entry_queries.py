@@ -311,7 +311,7 @@ def betweenness(spark, sf_dir):
 
 
 def closeness(spark, sf_dir):
-    return _paths(spark, sf_dir).select("node", F.round("cent_closeness", 6).alias("cent_closeness"))
+    return graph.closeness(_edges(spark, sf_dir)).select("node", F.round("cent_closeness", 6).alias("cent_closeness"))
 
 
 def louvain_communities(spark, sf_dir):

@@ -1,72 +1,104 @@
-"""Graph measures on undirected edge tables (src, dst[, weight]), one row per edge."""
+"""Graph measures on undirected edge tables (src, dst[, weight]), one row per edge.
+
+Edges may have a column ``run``: then the table holds several graphs, nodes are told apart by (run, node), every result has the
+column too, and all graphs advance in the same rounds; a run leaves when it has converged. Without it there is one graph.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, dense_index
+from ..session import cut, dense_index, lookup
 
 DAMPING = 0.85
 # All-source searches keep one row per (source, node); sources are taken in batches of at most this many rows.
 SEARCH_ROWS = 200_000_000
+# Sources whose searches share the bits of one number.
+WORD = 64
+
+
+def _keyed(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, bool]:
+    """Edges and nodes with a run, and whether it was added."""
+    single = "run" not in edges.columns
+    if single:
+        edges = edges.withColumn("run", F.lit(""))
+        nodes = nodes.withColumn("run", F.lit("")) if nodes is not None else None
+    return edges, nodes, single
+
+
+def _unkeyed(result: DataFrame, single: bool) -> DataFrame:
+    return result.drop("run") if single else result
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def undirected(edges: DataFrame) -> DataFrame:
     """One row per edge whatever its direction or repetition, smaller id first."""
-    return edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).dropDuplicates()
+    keep = ["run"] if "run" in edges.columns else []
+    return edges.select(*keep, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).dropDuplicates()
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """Both directions of every edge, with weight; a loop appears once."""
     weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
-    forth = edges.select("src", "dst", weight.cast("double").alias("weight"))
+    keep = ["run"] if "run" in edges.columns else []
+    forth = edges.select(*keep, "src", "dst", weight.cast("double").alias("weight"))
     back = forth.filter(F.col("src") != F.col("dst")).select(
-        F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"
+        *keep, F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"
     )
     return forth.unionByName(back)
 
 
 def graph_nodes(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """The nodes of the edges and, if given, of a node table (node), which may have nodes without an edge."""
-    found = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
-    return (found if nodes is None else found.union(nodes.select("node"))).distinct()
+    keep = ["run"] if "run" in edges.columns else []
+    found = edges.select(*keep, F.col("src").alias("node")).union(edges.select(*keep, "dst"))
+    return (found if nodes is None else found.union(nodes.select(*keep, "node"))).distinct()
 
 
 def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    found = symmetric(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    keep = ["run"] if "run" in edges.columns else []
+    found = symmetric(edges).groupBy(*keep, F.col("src").alias("node")).agg(F.count("*").alias("degree"))
     if nodes is None:
         return found
-    return graph_nodes(edges, nodes).join(found, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
+    return graph_nodes(edges, nodes).join(found, [*keep, "node"], "left").select(*keep, "node", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def _per_run(rows: DataFrame, *measures) -> DataFrame:
+    """One row per run, small by construction."""
+    return rows.groupBy("run").agg(*measures)
 
 
 def degree_centrality(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    edges, nodes, single = _keyed(edges, nodes)
     found = degrees(edges, nodes)
-    others = found.agg((F.count("*") - 1).cast("double")).scalar()
-    return found.select("node", (F.col("degree") / others).alias("cent_degree"))
+    others = _per_run(found, (F.count("*") - 1).cast("double").alias("others"))
+    return _unkeyed(found.join(F.broadcast(others), "run").select("run", "node", (F.col("degree") / F.col("others")).alias("cent_degree")), single)
 
 
 def modularity(edges: DataFrame, partition: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """One row: modularity of a partition (node, community), and the number of communities."""
-    return _modularity_parts(symmetric(edges), partition, resolution)
-
-
-def _modularity_parts(adjacency: DataFrame, partition: DataFrame, resolution: float) -> DataFrame:
+    """One row (per run): modularity of a partition (node, community), and the number of communities."""
+    edges, partition, single = _keyed(edges, partition)
     sides = (
-        adjacency.join(partition.select(F.col("node").alias("src"), F.col("community").alias("c_src")), "src")
-        .join(partition.select(F.col("node").alias("dst"), F.col("community").alias("c_dst")), "dst")
+        symmetric(edges).join(partition.select("run", F.col("node").alias("src"), F.col("community").alias("c_src")), ["run", "src"])
+        .join(partition.select("run", F.col("node").alias("dst"), F.col("community").alias("c_dst")), ["run", "dst"])
     )
-    per = sides.groupBy("c_src").agg(
+    per = sides.groupBy("run", "c_src").agg(
         F.sum("weight").alias("total"),
         F.sum(F.when(F.col("c_src") == F.col("c_dst"), F.col("weight")).otherwise(0.0)).alias("inside"),
     )
     # sum over communities of inside/2m - resolution * (total/2m)^2, with 2m = sum of totals
-    sums = per.agg(
-        F.sum("inside").alias("i"), F.sum(F.col("total") * F.col("total")).alias("t2"), F.sum("total").alias("m2"),
+    sums = _per_run(
+        per, F.sum("inside").alias("i"), F.sum(F.col("total") * F.col("total")).alias("t2"), F.sum("total").alias("m2"),
         F.count("*").alias("num_communities"),
     )
     expected = F.lit(float(resolution)) * F.col("t2") / (F.col("m2") * F.col("m2"))
-    return sums.select((F.col("i") / F.col("m2") - expected).alias("modularity"), "num_communities")
+    return _unkeyed(sums.select("run", (F.col("i") / F.col("m2") - expected).alias("modularity"), "num_communities"), single)
 
 
 def pagerank(
@@ -77,34 +109,96 @@ def pagerank(
     ``block`` rounds run as one job; then the ranks are written and the change of the last round is checked. ``nodes`` (node) may
     name nodes without edges: their rank goes to all nodes alike. Ranks start from the degrees, near the result.
     """
+    edges, nodes, single = _keyed(edges, nodes)
     adjacency = symmetric(edges)
-    out = cut(adjacency.groupBy("src").agg(F.sum("weight").alias("out")))
+    out = cut(adjacency.groupBy("run", "src").agg(F.sum("weight").alias("out")))
     # A plain table, not partitioned by node: a hub's links may be split over tasks by the skew join.
-    links = cut(adjacency.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
-    every = cut(graph_nodes(edges, nodes))
-    n, linked = every.count(), out.count()
-    if not n:
-        return every.select("node", F.lit(0.0).alias("cent_pagerank"))
-    total = out.agg(F.sum("out")).first()[0] or 1.0
-    start = F.coalesce(F.col("out") / F.lit(total) * F.lit(linked / n), F.lit(1.0 / n))
-    ranks = cut(every.join(out, F.col("node") == F.col("src"), "left").select("node", start.alias("rank")))
-    loose = n > linked  # nodes without edges give their rank to all
-    for done in range(0, max_rounds, block):
-        for _ in range(min(block, max_rounds - done)):
+    links = cut(adjacency.join(out, ["run", "src"]).select("run", "src", "dst", (F.col("weight") / F.col("out")).alias("share")))
+    every = cut(graph_nodes(edges, nodes).join(out.withColumnRenamed("src", "node"), ["run", "node"], "left"))
+    kind = every.schema["run"].dataType.simpleString()
+    session, open_, done = edges.sparkSession, {}, []
+    # One row per run. Nodes without edges get nothing but what all get, so they share one rank, which a number follows.
+    for row in _per_run(every, F.count("*").alias("n"), F.count("out").alias("linked"), F.sum("out").alias("total")).collect():
+        open_[row["run"]] = {"n": row["n"], "alone": row["n"] - row["linked"], "rank": 1.0 / row["n"], "total": row["total"], "linked": row["linked"]}
+
+    def table(columns: str, values) -> DataFrame:
+        return F.broadcast(session.createDataFrame([(run, *values(of)) for run, of in open_.items()], f"run {kind}, {columns}"))
+
+    start = table("total double, linked bigint, n bigint", lambda of: (of["total"], of["linked"], of["n"])) if open_ else None
+    ranks = cut(
+        every.filter("out IS NOT NULL").join(start, "run").select("run", "node", (F.col("out") / F.col("total") * F.col("linked") / F.col("n")).alias("rank"))
+    ) if open_ else None
+    for at in range(0, max_rounds, block):
+        if not open_:
+            break
+        rounds = min(block, max_rounds - at)
+        for of in open_.values():
+            of["given"] = []
+            for _ in range(rounds):
+                of["given"].append(of["alone"] * of["rank"] / of["n"])
+                of["before"], of["rank"] = of["rank"], alpha * of["given"][-1] + (1.0 - alpha) / of["n"]
+        given = table("n bigint, given array<double>", lambda of: (of["n"], of["given"]))
+        for i in range(rounds):
             old = ranks
-            got = links.join(old, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-            if loose:
-                got = every.join(got, F.col("node") == F.col("dst"), "left").select("node", F.coalesce("got", F.lit(0.0)).alias("got"))
-                kept = old.join(out, F.col("node") == F.col("src"), "left_anti").agg(F.sum("rank").alias("kept"))
-                got = got.join(F.broadcast(kept)).withColumn("got", F.col("got") + F.col("kept") / n)
-            else:
-                got = got.withColumnRenamed("dst", "node")
-            ranks = got.select("node", (F.col("got") * alpha + (1.0 - alpha) / n).alias("rank"))
-        ranks = cut(ranks.join(old.select("node", F.col("rank").alias("old")), "node"))
-        if ranks.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tol:
-            return ranks.select("node", F.col("rank").alias("cent_pagerank"))
-        ranks = ranks.select("node", "rank")
-    raise RuntimeError(f"PageRank did not converge in {max_rounds} rounds")
+            got = links.join(old.select("run", F.col("node").alias("src"), "rank"), ["run", "src"]).groupBy("run", F.col("dst").alias("node")).agg(
+                F.sum(F.col("rank") * F.col("share")).alias("got")
+            )
+            ranks = got.join(given, "run").select("run", "node", ((F.col("got") + F.col("given")[i]) * alpha + (1.0 - alpha) / F.col("n")).alias("rank"))
+        ranks = cut(ranks.join(old.select("run", "node", F.col("rank").alias("old")), ["run", "node"]))
+        changes = {r["run"]: r["change"] for r in _per_run(ranks, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("change")).collect()}
+        settled = {r: of for r, of in open_.items() if changes.get(r, 0.0) + of["alone"] * abs(of["rank"] - of["before"]) < of["n"] * tol}
+        if settled:
+            done.append(ranks.filter(F.col("run").isin(list(settled))).select("run", "node", F.col("rank").alias("cent_pagerank")))
+            lone = session.createDataFrame([(r, of["rank"]) for r, of in settled.items()], f"run {kind}, cent_pagerank double")
+            done.append(every.filter("out IS NULL").join(F.broadcast(lone), "run").select("run", "node", "cent_pagerank"))
+            open_ = {r: of for r, of in open_.items() if r not in settled}
+            links, ranks = (x.filter(F.col("run").isin(list(open_))) for x in (links, ranks))
+        ranks = ranks.select("run", "node", "rank")
+    if open_:
+        raise RuntimeError(f"PageRank did not converge in {max_rounds} rounds" + ("" if single else f": {sorted(map(str, open_))}"))
+    if not done:
+        return _unkeyed(every.select("run", "node", F.lit(0.0).alias("cent_pagerank")), single)
+    return _unkeyed(_union(done), single)
+
+
+def closeness(edges: DataFrame, nodes: DataFrame | None = None, batches: int | None = None) -> DataFrame:
+    """Closeness (scaled by the reachable share) of every node: exact, from all sources, without path counts.
+
+    Sixty-four sources are the bits of one number: a row (node, word) says which of them have just reached the node, a level is one
+    join with the edges and a bitwise or, and what the two levels before had is masked out. So a search of all sources
+    has a sixty-fourth of the rows of one per (source, node). Distances are symmetric, so counting bits per level is enough.
+    """
+    edges, nodes, single = _keyed(edges, nodes)
+    adjacency = cut(symmetric(edges).filter(F.col("src") != F.col("dst")).select("run", "src", "dst"))
+    every = cut(dense_index(graph_nodes(edges, nodes), ["run", "node"], "number"))
+    sizes = _per_run(every, F.count("*").alias("n"))
+    rows = every.count()
+    batches = batches or max(1, -(-rows * rows // WORD // SEARCH_ROWS))
+    keys, sums = ["run", "node", "word"], []
+    for batch in range(batches):
+        bit = F.expr(f"shiftleft(1L, CAST(number % {WORD} AS int))")
+        sources = every.select("run", "node", F.expr(f"number div {WORD}").alias("word"), bit.alias("bits"))
+        frontier, before, level = cut(sources.filter(F.col("word") % batches == batch)), None, 0
+        while True:
+            level += 1
+            step = (
+                frontier.join(adjacency, (F.col("node") == F.col("src")) & (frontier["run"] == adjacency["run"]))
+                .groupBy(frontier["run"], F.col("dst").alias("node"), "word").agg(F.bit_or("bits").alias("reached"))
+            )
+            # In an undirected graph a neighbour of a level lies in it, one above or one below.
+            seen = frontier if before is None else frontier.unionByName(before).groupBy(*keys).agg(F.bit_or("bits").alias("bits"))
+            new = step.join(seen, keys, "left").select(*keys, F.expr("reached & ~coalesce(bits, 0L)").alias("bits")).filter("bits <> 0")
+            frontier, before = cut(new), frontier
+            if frontier.isEmpty():
+                break
+            sums.append(frontier.groupBy("run", "node").agg(F.sum(F.bit_count("bits")).alias("reached")).withColumn("total", F.col("reached") * level))
+    if sums:
+        measured = _union(sums).groupBy("run", "node").agg(F.sum("reached").alias("reached"), F.sum("total").alias("total"))
+    else:
+        measured = every.select("run", "node", F.lit(0).alias("reached"), F.lit(0).alias("total"))
+    share = F.col("reached") / F.col("total") * F.col("reached") / F.greatest(F.col("n") - 1, F.lit(1))
+    result = every.select("run", "node").join(measured, ["run", "node"], "left").join(F.broadcast(sizes), "run")
+    return _unkeyed(cut(result.select("run", "node", F.coalesce(F.when(F.col("total") > 0, share), F.lit(0.0)).alias("cent_closeness"))), single)
 
 
 def path_centralities(edges: DataFrame, batches: int | None = None, nodes: DataFrame | None = None) -> DataFrame:
@@ -113,42 +207,41 @@ def path_centralities(edges: DataFrame, batches: int | None = None, nodes: DataF
     Breadth-first levels of all sources of a batch advance together, one frontier join per level; dependencies flow
     back level by level. Frontier rows carry the number of shortest paths.
     """
-    adjacency = cut(symmetric(edges).filter(F.col("src") != F.col("dst")).select("src", "dst"))
-    nodes = cut(graph_nodes(edges, nodes))
-    n = nodes.count()
-    batches = batches or max(1, -(-n * n // SEARCH_ROWS))
+    edges, nodes, single = _keyed(edges, nodes)
+    adjacency = cut(symmetric(edges).filter(F.col("src") != F.col("dst")).select("run", "src", "dst"))
+    every = cut(graph_nodes(edges, nodes))
+    sizes = cut(_per_run(every, F.count("*").alias("n")))
+    rows = sizes.agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0))).first()[0]
+    batches = batches or max(1, -(-rows // SEARCH_ROWS))
     parts = []
     for batch in range(batches):
-        sources = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(batches)) == batch)
+        sources = every.filter(F.pmod(F.xxhash64("node"), F.lit(batches)) == batch)
         parts.append(cut(_paths_from(adjacency, sources)))
-    summed = parts[0]
-    for part in parts[1:]:
-        summed = summed.unionByName(part)
-    per_node = summed.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("between", "total", "reached")])
-    between_scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    others = float(max(n - 1, 1))
-    closeness = F.when(F.col("total") > 0, F.col("reached") / F.col("total") * F.col("reached") / others).otherwise(0.0)
-    result = nodes.join(per_node, "node", "left").select(
-        "node",
-        (F.coalesce("between", F.lit(0.0)) * between_scale).alias("cent_betweenness"),
+    per_node = _union(parts).groupBy("run", "node").agg(*[F.sum(c).alias(c) for c in ("between", "total", "reached")])
+    n = F.col("n").cast("double")
+    scale = F.when(n > 2, 1.0 / ((n - 1) * (n - 2))).otherwise(1.0)
+    closeness = F.when(F.col("total") > 0, F.col("reached") / F.col("total") * F.col("reached") / F.greatest(n - 1, F.lit(1.0))).otherwise(0.0)
+    result = every.join(per_node, ["run", "node"], "left").join(F.broadcast(sizes), "run").select(
+        "run", "node",
+        (F.coalesce("between", F.lit(0.0)) * scale).alias("cent_betweenness"),
         F.coalesce(closeness, F.lit(0.0)).alias("cent_closeness"),
     )
-    return cut(result)
+    return _unkeyed(cut(result), single)
 
 
 def _paths_from(adjacency: DataFrame, sources: DataFrame) -> DataFrame:
     """Per node: summed dependencies, summed distances and count of the sources that reach it."""
-    frontier = cut(sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))
+    frontier = cut(sources.select("run", F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))
     levels = [frontier]
     while True:
         # In an undirected graph a neighbour of a level lies in it, one above or one below.
-        seen = levels[-1].select("source", "node")
+        seen = levels[-1].select("run", "source", "node")
         if len(levels) > 1:
-            seen = seen.union(levels[-2].select("source", "node"))
+            seen = seen.union(levels[-2].select("run", "source", "node"))
         step = (
-            levels[-1].join(adjacency, F.col("node") == F.col("src"))
-            .groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-            .join(seen, ["source", "node"], "left_anti")
+            levels[-1].withColumnRenamed("node", "src").join(adjacency, ["run", "src"])
+            .groupBy("run", "source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+            .join(seen, ["run", "source", "node"], "left_anti")
         )
         step = cut(step)
         if step.isEmpty():
@@ -159,25 +252,22 @@ def _paths_from(adjacency: DataFrame, sources: DataFrame) -> DataFrame:
     for depth in range(len(levels) - 1, 0, -1):
         measured.append(_level_sums(back, depth))
         share = back.select(
-            "source", F.col("node").alias("below"), ((F.col("depends") + 1.0) / F.col("paths")).alias("share")
+            "run", "source", F.col("node").alias("src"), ((F.col("depends") + 1.0) / F.col("paths")).alias("share")
         )
         flow = (
-            share.join(adjacency, F.col("below") == F.col("src"))
-            .select("source", F.col("dst").alias("node"), "share")
-            .join(levels[depth - 1], ["source", "node"])
-            .groupBy("source", "node").agg((F.first("paths") * F.sum("share")).alias("depends"))
+            share.join(adjacency, ["run", "src"])
+            .select("run", "source", F.col("dst").alias("node"), "share")
+            .join(levels[depth - 1], ["run", "source", "node"])
+            .groupBy("run", "source", "node").agg((F.first("paths") * F.sum("share")).alias("depends"))
         )
-        back = cut(levels[depth - 1].join(flow, ["source", "node"], "left").na.fill(0.0, ["depends"]))
+        back = cut(levels[depth - 1].join(flow, ["run", "source", "node"], "left").na.fill(0.0, ["depends"]))
     if not measured:
-        return sources.select("node", F.lit(0.0).alias("between"), F.lit(0).alias("total"), F.lit(0).alias("reached"))
-    union = measured[0]
-    for part in measured[1:]:
-        union = union.unionByName(part)
-    return union.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("between", "total", "reached")])
+        return sources.select("run", "node", F.lit(0.0).alias("between"), F.lit(0).alias("total"), F.lit(0).alias("reached"))
+    return _union(measured).groupBy("run", "node").agg(*[F.sum(c).alias(c) for c in ("between", "total", "reached")])
 
 
 def _level_sums(level: DataFrame, depth: int) -> DataFrame:
-    return level.groupBy("node").agg(
+    return level.groupBy("run", "node").agg(
         F.sum("depends").alias("between"), (F.count("*") * depth).alias("total"), F.count("*").alias("reached")
     )
 
@@ -187,93 +277,124 @@ def louvain(edges: DataFrame, resolution: float = 1.0, nodes: DataFrame | None =
 
     A level ends when no node has a move that raises the modularity; then communities become the nodes of the next level. The
     last level is the one without any move, so no merger of two communities would raise it either. There is no limit of sweeps or
-    levels: modularity rises with every sweep that is kept. ``nodes`` may name nodes without edges, which stay alone.
+    levels: modularity rises with every sweep that is kept. ``nodes`` may name nodes without edges, which stay alone. Of several
+    runs each goes the way it would go alone: a run that has ended a level waits for the others, one without a move leaves.
     """
+    edges, nodes, single = _keyed(edges, nodes)
     adjacency = cut(symmetric(edges))
     mapping = cut(graph_nodes(edges).withColumn("community", F.col("node")))
     while True:
         partition, moved = _move_nodes(adjacency, resolution)
         if not moved:
             break
-        step = partition.select(F.col("node").alias("community"), F.col("community").alias("parent"))
-        mapping = cut(mapping.join(step, "community").select("node", F.col("parent").alias("community")))
-        side = partition.select(F.col("node").alias("src"), F.col("community").alias("c_src"))
-        other = partition.select(F.col("node").alias("dst"), F.col("community").alias("c_dst"))
+        partition = partition.filter(F.col("run").isin(moved))
+        step = partition.select("run", F.col("node").alias("community"), F.col("community").alias("parent"))
+        mapping = cut(mapping.join(step, ["run", "community"], "left").select("run", "node", F.coalesce("parent", "community").alias("community")))
+        side = partition.select("run", F.col("node").alias("src"), F.col("community").alias("c_src"))
+        other = partition.select("run", F.col("node").alias("dst"), F.col("community").alias("c_dst"))
         adjacency = cut(
-            adjacency.join(side, "src").join(other, "dst")
-            .groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("weight").alias("weight"))
+            adjacency.join(side, ["run", "src"]).join(other, ["run", "dst"])
+            .groupBy("run", F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("weight").alias("weight"))
         )
     if nodes is not None:
-        alone = nodes.select("node").distinct().join(mapping, "node", "left_anti")
+        alone = nodes.select("run", "node").distinct().join(mapping, ["run", "node"], "left_anti")
         mapping = mapping.unionByName(alone.withColumn("community", F.col("node")))
-    sizes = mapping.groupBy("community").agg(F.count("*").alias("size"), F.min("node").alias("first"))
-    numbered = dense_index(sizes, [F.col("size").desc(), F.col("first")], "number")
-    return cut(mapping.join(numbered, "community").select("node", F.col("number").alias("community")))
+    sizes = mapping.groupBy("run", "community").agg(F.count("*").alias("size"), F.min("node").alias("first"))
+    numbered = dense_index(sizes, [F.col("run"), F.col("size").desc(), F.col("first")], "number")
+    firsts = _per_run(numbered, F.min("number").alias("from"))
+    named = mapping.join(numbered, ["run", "community"]).join(F.broadcast(firsts), "run")
+    return _unkeyed(cut(named.select("run", "node", (F.col("number") - F.col("from")).alias("community"))), single)
 
 
-def best_moves(adjacency: DataFrame, partition: DataFrame, m2: float, resolution: float = 1.0) -> DataFrame:
-    """Each node (node, k, community) with its best neighbouring community: (node, k, own, to, better, inside, tot).
+def best_moves(adjacency: DataFrame, partition: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """Each node (run, node, k, community, m2) with its best neighbouring community: (run, node, k, m2, own, to, better, inside, tot).
 
-    ``better``: what the move adds to the modularity, times half the total weight; null or below zero if no move does.
+    ``m2`` is the total weight of the run's graph, both directions. ``better``: what the move adds to the modularity, times half of
+    that; null or below zero if no move does.
     """
-    totals = partition.groupBy("community").agg(F.sum("k").alias("tot"))
+    totals = partition.groupBy("run", "community").agg(F.sum("k").alias("tot"))
     near = (
         adjacency.filter(F.col("src") != F.col("dst"))
-        .join(partition.select(F.col("node").alias("dst"), "community"), "dst")
-        .groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("w"))
+        .join(partition.select("run", F.col("node").alias("dst"), "community"), ["run", "dst"])
+        .groupBy("run", F.col("src").alias("node"), "community").agg(F.sum("weight").alias("w"))
+    )
+    stay = partition.select("run", "node", "community", F.lit(0.0).alias("w"))
+    own = partition.select("run", "node", "k", "m2", F.col("community").alias("own"))
+    options = (
+        near.unionByName(stay).groupBy("run", "node", "community").agg(F.sum("w").alias("w")).join(own, ["run", "node"]).join(totals, ["run", "community"])
     )
-    stay = partition.select("node", "community", F.lit(0.0).alias("w"))
-    own = partition.select("node", "k", F.col("community").alias("own"))
-    options = near.unionByName(stay).groupBy("node", "community").agg(F.sum("w").alias("w")).join(own, "node").join(totals, "community")
     mine = F.col("community") == F.col("own")
     rest = F.col("tot") - F.when(mine, F.col("k")).otherwise(0.0)
-    ranked = options.withColumn("gain", F.col("w") - F.lit(resolution / m2) * rest * F.col("k")).groupBy("node").agg(
-        F.first("k").alias("k"), F.first("own").alias("own"), F.max(F.when(mine, F.col("gain"))).alias("now"),
+    ranked = options.withColumn("gain", F.col("w") - F.lit(float(resolution)) / F.col("m2") * rest * F.col("k")).groupBy("run", "node").agg(
+        F.first("k").alias("k"), F.first("m2").alias("m2"), F.first("own").alias("own"), F.max(F.when(mine, F.col("gain"))).alias("now"),
         # Largest gain; among equal gains the smallest community.
         F.min(F.when(~mine, F.struct((-F.round("gain", 9)).alias("cost"), "community"))).alias("top"),
         F.max(F.when(~mine, F.col("gain"))).alias("gain"),
         F.sum(F.when(mine, F.col("w"))).alias("inside"), F.max(F.when(mine, F.col("tot"))).alias("tot"),
     )
-    return ranked.select("node", "k", "own", F.col("top.community").alias("to"), (F.col("gain") - F.col("now")).alias("better"), "inside", "tot")
+    return ranked.select("run", "node", "k", "m2", "own", F.col("top.community").alias("to"), (F.col("gain") - F.col("now")).alias("better"), "inside", "tot")
+
 
+def with_strength(adjacency: DataFrame) -> DataFrame:
+    """(run, node, k, m2): the weight at every node and in its run's whole graph."""
+    strength = adjacency.groupBy("run", F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
+    return strength.join(F.broadcast(_per_run(strength, F.sum("k").alias("m2"))), "run")
 
-def _move_nodes(adjacency: DataFrame, resolution: float) -> tuple[DataFrame, bool]:
-    """Local moving on one level, until no node has a positive move; whether any node moved.
+
+def _move_nodes(adjacency: DataFrame, resolution: float) -> tuple[DataFrame, list]:
+    """Local moving on one level, until no node has a positive move; the runs in which any node moved.
 
     First the nodes of one hash half move at once, halves alternating, as long as each sweep raises the modularity. From the best
     partition on, only moves that share no community with one of smaller hash go through: their gains are exact, so every
-    sweep raises it, and the end is a local optimum.
+    sweep raises it, and the end is a local optimum. All runs sweep together, each in its own state; one row per run is collected.
     """
-    partition = cut(adjacency.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")).withColumn("community", F.col("node")))
-    m2 = partition.agg(F.sum("k")).first()[0]
-    if not m2:
-        return partition, False
-    least = 1e-9 * m2
-    best, best_inside, exact, sweep, moved = None, None, False, 0, False
-    while True:
-        found = cut(best_moves(adjacency, partition, m2, resolution).withColumn("hash", F.xxhash64("node", F.lit(sweep // 2))))
-        wants = F.coalesce(F.col("better") > least, F.lit(False))
-        row = found.agg(F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("tot")).alias("t2"), F.count_if(wants).alias("wants")).first()
-        quality = row["inside"] / m2 - resolution * row["t2"] / (m2 * m2)  # loops are the same in every partition of the level
-        if not exact and best is not None and quality <= best_inside + 1e-12:
-            partition, exact = best, True  # the last sweep did not pay: back, and on with exact moves
-            sweep += 1
-            continue
-        best, best_inside = partition, quality
-        if not row["wants"]:
-            return partition, moved
-        moved = True
-        if exact:
-            movers = found.filter(wants).select("node", "own", "to", "hash")
-            first = movers.select("hash", F.explode(F.array("own", "to")).alias("at")).groupBy("at").agg(F.min("hash").alias("first"))
+    current = cut(with_strength(adjacency).filter("m2 > 0").withColumn("community", F.col("node")))
+    runs = [r["run"] for r in current.select("run").distinct().collect()]
+    sweep, exact, quality_of, moved, ended = dict.fromkeys(runs, 0), dict.fromkeys(runs, False), {}, [], []
+    previous = None
+    kind = current.schema["run"].dataType.simpleString()
+    while runs:
+        control = current.sparkSession.createDataFrame([(r, sweep[r], exact[r]) for r in runs], f"run {kind}, sweep int, exact boolean")
+        found = best_moves(adjacency, current, resolution)
+        found = lookup(found, control, "run", len(runs)).withColumn("hash", F.xxhash64("node", F.expr("sweep div 2").cast("int")))
+        wants = F.coalesce(F.col("better") > 1e-9 * F.col("m2"), F.lit(False))
+        found = cut(found.withColumn("wants", wants))
+        rows = _per_run(
+            found, F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("tot")).alias("t2"), F.count_if("wants").alias("wants"), F.first("m2").alias("m2")
+        ).collect()
+        back, go = [], []
+        for row in rows:
+            run = row["run"]
+            # Loops are the same in every partition of the level.
+            quality = row["inside"] / row["m2"] - resolution * row["t2"] / (row["m2"] * row["m2"])
+            if not exact[run] and run in quality_of and quality <= quality_of[run] + 1e-12:
+                back.append(run)  # the last sweep did not pay: back, and on with exact moves
+                exact[run] = True
+            else:
+                quality_of[run] = quality
+                if row["wants"]:
+                    go.append(run)
+                    moved += [run] if run not in moved else []
+                else:
+                    ended.append(current.filter(F.col("run") == F.lit(run)))
+            sweep[run] += 1
+        steps = []
+        if go:
+            going = found.filter(F.col("run").isin(go))
+            movers = going.filter("exact AND wants").select("run", "node", "own", "to", "hash")
+            first = movers.select("run", "hash", F.explode(F.array("own", "to")).alias("at")).groupBy("run", "at").agg(F.min("hash").alias("first"))
             free = (
-                movers.join(first.select(F.col("at").alias("own"), F.col("first").alias("at_own")), "own")
-                .join(first.select(F.col("at").alias("to"), F.col("first").alias("at_to")), "to")
-                .filter("hash = at_own AND hash = at_to").select("node", F.col("to").alias("target"))
+                movers.join(first.select("run", F.col("at").alias("own"), F.col("first").alias("at_own")), ["run", "own"])
+                .join(first.select("run", F.col("at").alias("to"), F.col("first").alias("at_to")), ["run", "to"])
+                .filter("hash = at_own AND hash = at_to").select("run", "node", F.col("to").alias("target"))
             )
-            after = found.join(free, "node", "left").select("node", "k", F.coalesce("target", "own").alias("community"))
-        else:
-            turn = F.pmod(F.col("hash"), F.lit(2)) == sweep % 2
-            after = found.select("node", "k", F.when(wants & turn, F.col("to")).otherwise(F.col("own")).alias("community"))
-        partition = cut(after)
-        sweep += 1
+            turn = F.expr("NOT exact AND wants AND pmod(hash, 2) = sweep % 2")
+            after = going.join(free, ["run", "node"], "left") if any(exact[r] for r in go) else going.withColumn("target", F.lit(None).cast(going.schema["own"].dataType))
+            steps.append(after.select("run", "node", "k", "m2", F.coalesce("target", F.when(turn, F.col("to")), "own").alias("community")))
+        if back:
+            steps.append(previous.filter(F.col("run").isin(back)))
+        runs = [*go, *back]
+        if runs:
+            previous, current = current, cut(_union(steps))
+            adjacency = adjacency if len(runs) == len(rows) else cut(adjacency.filter(F.col("run").isin(runs)))
+    return (cut(_union(ended)) if ended else current), moved
