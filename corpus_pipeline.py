@@ -39,17 +39,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (fingerprints of three-word shingles that differ in two bits or fewer) the document with the
-    smallest id stays; of repeated rows of it, one. Rows without an id stay only where their whole group has none."""
+    smallest id stays; of repeated rows of it, one. Rows without an id stay only where their whole group has none, one for each text."""
     groups = simhash.near_duplicates(docs).select("doc_id", "component_id")
     first = cut(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
     stay = docs.join(first.withColumnRenamed("doc_id", "_first"), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return stay.dropDuplicates(["doc_id"])
+    return stay.dropDuplicates(["doc_id", "text"])
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has go. A cut through a character leaves no part of it."""
-    kept = repeats.remove_repeats(docs, n_bytes="_n_bytes", n_removed="_n_removed", n_spans="_n_spans", kept="_kept")
-    return _resized(kept.withColumn("text", repeats.whole_characters("_kept")).select(*docs.columns))
+    kept = repeats.remove_repeats(docs, n_bytes="_n_bytes", n_removed="_n_removed", n_spans="_n_spans", kept="_kept", as_text=True)
+    return _resized(kept.withColumn("text", F.col("_kept")).select(*docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

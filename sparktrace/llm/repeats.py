@@ -30,7 +30,6 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -231,15 +230,16 @@ def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
     at = F.monotonically_increasing_id()
     row, group = fresh(docs, "_row", "_group")
     rows = docs.withColumn(row, at).withColumn(group, F.expr(f"shiftright({row}, 33) * {1 << 23} + (({row} & {(1 << 33) - 1}) div {GROUP_ROWS})"))
-    rows.write.format("parquet").bucketBy(buckets, group).saveAsTable(name)
+    rows.write.format("parquet").option("compression", "zstd").bucketBy(buckets, group).saveAsTable(name)
     return docs.sparkSession.table(name)
 
 
 def remove_repeats(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, n_bytes: str = "n_bytes", n_removed: str = "n_removed", n_spans: str = "n_spans",
-    kept: str = "kept",
+    kept: str = "kept", as_text: bool = False,
 ) -> DataFrame:
-    """The rows with n_bytes, n_removed, n_spans and the remaining bytes (``kept``, binary) added."""
+    """The rows with n_bytes, n_removed, n_spans and the remaining bytes (``kept``, binary) added; ``as_text``: as a string, without what
+    is left of characters that were cut."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     anchor_buckets = max(1, -(-int(total) // BUCKET_BYTES))
@@ -372,7 +372,7 @@ def remove_repeats(
     lost = runs.select("h", "s", "_group", "n", "most", "places").join(answers, ["h", "s"])
     lost = lost.filter(F.array_min("leasts") < F.col("most")).select("_group", "n", "places", "leasts", F.lit(None).cast("array<bigint>").alias("copies"))
     lost = lost.unionByName(copies.select("_group", F.lit(0).alias("n"), *(F.lit(None).cast("array<bigint>").alias(c) for c in ("places", "leasts")), "copies"))
-    out = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType(), False) for c in (n_bytes, n_removed, n_spans)), T.StructField(kept, T.BinaryType(), False)])
+    out = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType(), False) for c in (n_bytes, n_removed, n_spans)), T.StructField(kept, T.StringType() if as_text else T.BinaryType(), False)])
     names = docs.columns
 
     def remove(rows: pa.Table, lost: pa.Table) -> pa.Table:
@@ -396,22 +396,15 @@ def remove_repeats(
             stay = b"".join(whole[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
             result.append((len(whole), len(whole) - len(stay), int(b - a), stay))
         made = list(zip(*result)) or [()] * 4
-        columns = [rows.column(c) for c in names] + [pa.array(m, k) for m, k in zip(made, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+        if as_text:
+            made[3] = [stay.decode("utf-8", "ignore") for stay in made[3]]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
+        columns = [rows.column(c) for c in names] + [pa.array(m, k) for m, k in zip(made, kinds, strict=True)]
         return pa.table(columns, names=[f.name for f in out.fields])
 
     return held.groupBy(group_name).cogroup(lost.groupBy("_group")).applyInArrow(remove, out)
 
 
-def whole_characters(kept: str):
-    """Column: the text of remaining bytes, without what is left of characters that were cut."""
-
-    @F.pandas_udf("string")
-    def read(data: pd.Series) -> pd.Series:
-        return data.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    return read(kept)
-
-
 def op8_repeats(spark, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
