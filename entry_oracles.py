@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from entry_queries import CLUSTERS, GROUPS, K
+from entry_queries import CLUSTERS, GROUPS, K, RUN_KS
 from sparktrace.functions.labels import LABEL_REPLACEMENTS
 from sparktrace.functions.minhash import PERMUTATIONS, PRIME, coefficients
 from sparktrace.functions.timefeatures import CALENDAR, TIME_FEATURES
@@ -188,6 +188,16 @@ def on_graph(select: str, *ctes: str) -> str:
     return events_with(NEIGHBOR_CTES, *ctes, select=select)
 
 
+def on_run(k: int, select: str, *ctes: str) -> str:
+    """A statement on the graph of the ``k`` nearest neighbours."""
+    return on_graph(select, *ctes).replace(f"WHERE rank <= {K}),", f"WHERE rank <= {k}),", 1)
+
+
+def on_runs(select: str, *ctes: str) -> str:
+    """The rows of a statement on each of the graphs, with the name of the run."""
+    return "\nUNION ALL\n".join(f"SELECT 'k{k}' AS run, * FROM ({on_run(k, select, *ctes)})" for k in RUN_KS)
+
+
 def meta(partition: str) -> str:
     return f"""
 ranked AS (
@@ -441,6 +451,16 @@ FROM (
   FROM adj a JOIN part p ON p.node = a.src JOIN part q ON q.node = a.dst GROUP BY p.community)"""
     ),
     "pagerank": on_graph("SELECT node, round(cent_pagerank, 8) AS cent_pagerank FROM pagerank", pagerank_ctes()),
+    "run_measures": on_runs(
+        f"""
+SELECT d.node, round(d.cent_degree, 6) AS cent_degree, {rounded('p.cent_betweenness', 6)} AS cent_betweenness,
+       {rounded('p.cent_closeness', 6)} AS cent_closeness, round(r.cent_pagerank, 6) AS cent_pagerank
+FROM degree_c d JOIN paths p ON p.node = d.node JOIN pagerank r ON r.node = d.node""",
+        pagerank_ctes(), path_ctes(),
+    ),
+    "run_communities": on_runs(
+        "SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS moves, CAST(0 AS BIGINT) AS mergers, true AS same, true AS good FROM nodes"
+    ),
     "betweenness": on_graph(f"SELECT node, {rounded('cent_betweenness', 6)} AS cent_betweenness FROM paths", path_ctes()),
     "closeness": on_graph(f"SELECT node, {rounded('cent_closeness', 6)} AS cent_closeness FROM paths", path_ctes()),
     "node_table": on_graph(

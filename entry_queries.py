@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from sparktrace.plans import variants
 from sparktrace.session import cut
 
 K = 3
+RUN_KS = (3, 4, 5)
 GROUPS = 5
 PAGERANK_TOLERANCE = 1e-13
 CLUSTERS = 3
@@ -373,6 +375,59 @@ def detected_representatives(spark, sf_dir):
     return variants.detect_communities(_edges(spark, sf_dir)).representatives
 
 
+def _run_edges(spark, sf_dir):
+    """The graphs of the 3, 4 and 5 nearest neighbours of every event case, keyed by run."""
+    def build():
+        near = cut(variants.knn_graph(_profiled(spark, sf_dir), max(RUN_KS), **WEIGHTS))
+        return cut(reduce(DataFrame.unionByName, [
+            neighbors.knn_edges(near.filter(F.col("rank") <= k)).withColumn("run", F.lit(f"k{k}")) for k in RUN_KS
+        ]))
+
+    return _stage(spark, sf_dir, "run graphs", build)
+
+
+def run_measures(spark, sf_dir):
+    """Centralities of the nodes of three graphs, worked out together."""
+    edges = _run_edges(spark, sf_dir)
+    paths = graph.path_centralities(edges).drop("cent_closeness")
+    made = communities.node_table(graph.degree_centrality(edges), paths, graph.closeness(edges), graph.pagerank(edges, tol=PAGERANK_TOLERANCE))
+    return made.select("run", "node", *[F.round(c, 6).alias(c) for c in ("cent_degree", "cent_betweenness", "cent_closeness", "cent_pagerank")])
+
+
+def run_communities(spark, sf_dir):
+    """What holds for Louvain's partitions of three graphs: every node is in one community, no move of a node and no merger of two
+    communities raises the modularity, and the reported modularity is the partition's."""
+    edges = _run_edges(spark, sf_dir)
+    found = cut(graph.louvain(edges))
+    links = graph.symmetric(edges)
+    strength = links.groupBy("run", F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
+    placed = cut(strength.join(found, ["run", "node"]))
+    totals = cut(placed.groupBy("run", "community").agg(F.sum("k").alias("tot")))
+    whole = totals.groupBy("run").agg(F.sum("tot").alias("m2"))
+    sides = links.join(placed.select("run", F.col("node").alias("src"), F.col("community").alias("c"), "k"), ["run", "src"]).join(
+        placed.select("run", F.col("node").alias("dst"), F.col("community").alias("d")), ["run", "dst"]
+    )
+    to = sides.groupBy("run", "src", "k", "c", "d").agg(F.sum("weight").alias("w")).join(totals.withColumnsRenamed({"community": "d", "tot": "tot_d"}), ["run", "d"])
+    own = sides.filter("c = d").groupBy("run", "src").agg(F.sum("weight").alias("w_own"))
+    stay = totals.withColumnsRenamed({"community": "c", "tot": "tot_c"})
+    gains = to.filter("c <> d").join(own, ["run", "src"], "left").join(stay, ["run", "c"]).join(whole, "run").select(
+        "run", (F.col("w") - F.coalesce("w_own", F.lit(0.0)) - F.col("k") * (F.col("tot_d") - F.col("tot_c") + F.col("k")) / F.col("m2")).alias("gain")
+    )
+    joint = sides.filter("c < d").groupBy("run", "c", "d").agg(F.sum("weight").alias("w"))
+    mergers = joint.join(stay, ["run", "c"]).join(totals.withColumnsRenamed({"community": "d", "tot": "tot_d"}), ["run", "d"]).join(whole, "run").select(
+        "run", (F.col("w") - F.col("tot_c") * F.col("tot_d") / F.col("m2")).alias("gain")
+    )
+    inside = sides.filter("c = d").groupBy("run").agg(F.sum("weight").alias("inside"))
+    again = totals.join(whole, "run").groupBy("run").agg(F.sum(F.col("tot") * F.col("tot") / F.col("m2") / F.col("m2")).alias("expected"), F.first("m2").alias("m2"))
+    quality = again.join(inside, "run").select("run", (F.col("inside") / F.col("m2") - F.col("expected")).alias("again")).join(graph.modularity(edges, found), "run")
+    return (
+        found.groupBy("run").agg(F.count("*").alias("nodes"), F.min("community").alias("first"))
+        .join(gains.groupBy("run").agg(F.count_if(F.col("gain") > 1e-6).alias("moves")), "run")
+        .join(mergers.groupBy("run").agg(F.count_if(F.col("gain") > 1e-6).alias("mergers")), "run")
+        .join(quality.select("run", (F.abs(F.col("again") - F.col("modularity")) < 1e-9).alias("same"), (F.col("modularity") > 0.5).alias("good")), "run")
+    )
+
+
 # --- clusters -------------------------------------------------------------------------------------------------------
 
 
@@ -497,7 +552,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         flatten_ocel, flatten_ocel_by_event, normalize_labels, trace_corpus, event_time_features, activity_dict,
         onehot_profile, presence, transition_profile, transition_text, dfg, dfg_matrix, time_profile, profile_merge,
         wide_profile, pair_distance, radius_pairs, radius_members, knn_neighbors, knn_neighbors_orders, knn_edges, knn_euclidean, euclidean_pairs, euclidean_radius_pairs,
-        degree_centrality, modularity, pagerank, betweenness, closeness, louvain_communities, node_table,
+        degree_centrality, modularity, pagerank, betweenness, closeness, louvain_communities, run_measures, run_communities, node_table,
         representatives, community_sizes, bridge_nodes, bridge_filter, split_bridges, meta_nodes, meta_edges,
         detect_communities, detected_representatives, standardize, sample_centroids, assign_clusters, cluster_modes,
         cluster_means, kprototypes, minhash_signature, medoid_minhash, cluster_medoids, silhouette, davies_bouldin,

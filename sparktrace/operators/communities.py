@@ -13,19 +13,20 @@ BRIDGE_COLUMNS = ("Node", "TotalEdges", "InternalEdges", "ExternalEdges", "Disti
 
 
 def node_table(partition: DataFrame, *measures: DataFrame, attributes: DataFrame | None = None) -> DataFrame:
-    """Partition joined with node measures (and node attributes, if any) on ``node``."""
-    table = partition
+    """Partition joined with node measures (and node attributes, if any) on ``node``, and on ``run`` if the partition has one."""
+    table, keys = partition, ["run", "node"] if "run" in partition.columns else ["node"]
     for measure in measures:
-        table = table.join(measure, "node")
-    return table.join(attributes, "node", "left") if attributes is not None else table
+        table = table.join(measure, keys)
+    return table.join(attributes, [k for k in keys if k in attributes.columns], "left") if attributes is not None else table
 
 
 def representatives(nodes: DataFrame) -> DataFrame:
-    """Per community the node with the largest degree, betweenness and PageRank; the smallest node wins ties."""
+    """Per community (of each run) the node with the largest degree, betweenness and PageRank; the smallest node wins ties."""
     def top(measure: str):
         return F.min(F.struct((-F.col(measure)).alias("cost"), F.col("node").alias("node")))["node"]
 
-    return nodes.groupBy("community").agg(
+    keys = ["run", "community"] if "run" in nodes.columns else ["community"]
+    return nodes.groupBy(*keys).agg(
         top("cent_degree").alias("degree_rep"),
         top("cent_betweenness").alias("betweenness_rep"),
         top("cent_pagerank").alias("pagerank_rep"),

@@ -275,21 +275,31 @@ def _level_sums(level: DataFrame, depth: int) -> DataFrame:
 def louvain(edges: DataFrame, resolution: float = 1.0, nodes: DataFrame | None = None) -> DataFrame:
     """Louvain communities: (node, community), communities numbered from 0 by size, then by smallest node.
 
-    A level ends when no node has a move that raises the modularity; then communities become the nodes of the next level. The
-    last level is the one without any move, so no merger of two communities would raise it either. There is no limit of sweeps or
-    levels: modularity rises with every sweep that is kept. ``nodes`` may name nodes without edges, which stay alone. Of several
-    runs each goes the way it would go alone: a run that has ended a level waits for the others, one without a move leaves.
+    A level ends when no node has a move that raises the modularity; then communities become the nodes of the next level. After the
+    last level the single nodes get their turn again, and if one moves, the levels begin anew from there. So at the end no move of a
+    node and no merger of two communities raises the modularity. There is no limit of sweeps or levels: modularity rises with every
+    sweep that is kept. ``nodes`` may name nodes without edges, which stay alone. Of several runs each goes the way it would go
+    alone: a run that has ended a level waits for the others, one without a move leaves.
     """
     edges, nodes, single = _keyed(edges, nodes)
-    adjacency = cut(symmetric(edges))
+    links = cut(symmetric(edges))
     mapping = cut(graph_nodes(edges).withColumn("community", F.col("node")))
+    adjacency, again = links, None
     while True:
-        partition, moved = _move_nodes(adjacency, resolution)
+        partition, moved = _move_nodes(adjacency, resolution, again)
         if not moved:
-            break
+            if again is not None:
+                break
+            adjacency, again = links, mapping
+            continue
         partition = partition.filter(F.col("run").isin(moved))
-        step = partition.select("run", F.col("node").alias("community"), F.col("community").alias("parent"))
-        mapping = cut(mapping.join(step, ["run", "community"], "left").select("run", "node", F.coalesce("parent", "community").alias("community")))
+        step = partition.select("run", F.col("node").alias("from"), F.col("community").alias("parent"))
+        at = "community" if again is None else "node"
+        mapping = cut(
+            mapping.join(step.withColumnRenamed("from", at), ["run", at], "left").select("run", "node", F.coalesce("parent", "community").alias("community"))
+        )
+        if again is not None:  # runs in which nothing moved have ended
+            links, again = links.filter(F.col("run").isin(moved)), None
         side = partition.select("run", F.col("node").alias("src"), F.col("community").alias("c_src"))
         other = partition.select("run", F.col("node").alias("dst"), F.col("community").alias("c_dst"))
         adjacency = cut(
@@ -341,14 +351,15 @@ def with_strength(adjacency: DataFrame) -> DataFrame:
     return strength.join(F.broadcast(_per_run(strength, F.sum("k").alias("m2"))), "run")
 
 
-def _move_nodes(adjacency: DataFrame, resolution: float) -> tuple[DataFrame, list]:
-    """Local moving on one level, until no node has a positive move; the runs in which any node moved.
+def _move_nodes(adjacency: DataFrame, resolution: float, start: DataFrame | None = None) -> tuple[DataFrame, list]:
+    """Local moving on one level, from ``start`` or from single nodes, until no node has a positive move; the runs in which any moved.
 
     First the nodes of one hash half move at once, halves alternating, as long as each sweep raises the modularity. From the best
     partition on, only moves that share no community with one of smaller hash go through: their gains are exact, so every
     sweep raises it, and the end is a local optimum. All runs sweep together, each in its own state; one row per run is collected.
     """
-    current = cut(with_strength(adjacency).filter("m2 > 0").withColumn("community", F.col("node")))
+    nodes = with_strength(adjacency).filter("m2 > 0")
+    current = cut(nodes.withColumn("community", F.col("node")) if start is None else nodes.join(start, ["run", "node"]))
     runs = [r["run"] for r in current.select("run").distinct().collect()]
     sweep, exact, quality_of, moved, ended = dict.fromkeys(runs, 0), dict.fromkeys(runs, False), {}, [], []
     previous = None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
@@ -45,7 +46,10 @@ class Communities:
 def detect_communities(
     edges: DataFrame, resolution: float = 1.0, attributes: DataFrame | None = None, all_nodes: DataFrame | None = None
 ) -> Communities:
-    """Communities, centralities per node, and representatives per community. ``all_nodes`` may name nodes without edges."""
+    """Communities, centralities per node, and representatives per community. ``all_nodes`` may name nodes without edges.
+
+    With a column ``run`` in the edges (and nodes) all graphs are worked on together and every result has the column.
+    """
     partition = graph.louvain(edges, resolution, all_nodes)
     nodes = cut(
         communities.node_table(
@@ -54,21 +58,52 @@ def detect_communities(
             attributes=attributes,
         )
     )
-    quality = graph.modularity(edges, partition).select(
-        F.round("modularity", 2).alias("modularity"), "num_communities"
-    )
+    quality = graph.modularity(edges, partition).withColumn("modularity", F.round("modularity", 2))
     return Communities(nodes, communities.representatives(nodes), quality)
 
 
-def detect_all(graphs: dict[str, DataFrame], resolution: float = 1.0) -> tuple[dict[str, Communities], dict[str, str]]:
-    """Communities of several graphs by name; a graph that fails is reported and the others go on."""
-    found, skipped = {}, {}
-    for run, edges in graphs.items():
+def gather_graphs(graphs: dict[str, DataFrame]) -> tuple[DataFrame | None, dict[str, str]]:
+    """The graphs that can be worked on as one edge table with a column ``run``, and the reason for each that can't."""
+    tagged, skipped = [], {}
+    for run, edges in sorted(graphs.items()):
         try:
-            found[run] = detect_communities(edges, resolution)
-        except (ValueError, AnalysisException) as reason:  # a graph that can't be read must not stop the batch; lost executors do
+            weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
+            tagged.append(edges.select(F.lit(run).alias("run"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), weight.alias("weight")))
+        except AnalysisException as reason:  # no such column, no such file; lost executors stop the batch
             skipped[run] = str(reason)
-    return found, skipped
+    if not tagged:
+        return None, skipped
+    together = cut(reduce(DataFrame.unionByName, tagged))
+    # One row per run.
+    found = together.groupBy("run").agg(
+        F.count_if(F.col("src").isNull() | F.col("dst").isNull()).alias("unnamed"), F.count_if(~F.coalesce(F.col("weight") > 0, F.lit(False))).alias("weightless")
+    )
+    state = {r["run"]: r for r in found.collect()}
+    for run in graphs.keys() - skipped.keys():
+        if run not in state:
+            skipped[run] = "the graph has no edges"
+        elif state[run]["unnamed"]:
+            skipped[run] = f"{state[run]['unnamed']} edges lack a node"
+        elif state[run]["weightless"]:
+            skipped[run] = f"{state[run]['weightless']} edges have no positive weight"
+    return together.filter(~F.col("run").isin(list(skipped))) if skipped else together, skipped
+
+
+def detect_all(graphs: dict[str, DataFrame], resolution: float = 1.0) -> tuple[dict[str, Communities], dict[str, str]]:
+    """Communities of several graphs by name; a graph that can't be worked on is reported and the others go on.
+
+    The graphs go through every step together (``detect_communities`` on one table keyed by run); each result is its part of it.
+    """
+    together, skipped = gather_graphs(graphs)
+    names = graphs.keys() - skipped.keys()
+    if not names:
+        return {}, skipped
+    made = detect_communities(together, resolution)
+
+    def of(table: DataFrame, run: str) -> DataFrame:
+        return table.filter(F.col("run") == run).drop("run")
+
+    return {run: Communities(of(made.nodes, run), of(made.representatives, run), of(made.modularity, run)) for run in names}, skipped
 
 
 def cluster_log(profiled: Profiled, k: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -125,6 +125,58 @@ def test_louvain_ends_at_a_local_optimum(spark):
             totals[of[b]] = totals.get(of[b], 0) + w
         return inside - sum((t / m2) ** 2 for t in totals.values())
 
+    # No node has a positive move either, although levels move whole communities.
+    moves = [quality({**of, n: c}) for n in of for c in set(of.values()) if c != of[n]]
+    assert max(moves) <= quality(of) + 1e-9
     best, names = quality(of), sorted(set(of.values()))
     merged = [quality({n: (a if c == b else c) for n, c in of.items()}) for a in names for b in names if a < b]
     assert max(merged) <= best + 1e-9
+
+
+@pytest.fixture(scope="module")
+def several(spark, triangles):
+    """Three graphs with different numbers of nodes, rounds and levels, and common names of nodes."""
+    ring = [(f"{'abcdefghijkl'[i]}", f"{'abcdefghijkl'[(i + 1) % 12]}") for i in range(12)]
+    mesh = [(f"n{i}", f"n{(i * i + 7 * j) % 40}") for i in range(40) for j in range(3)] + [("a", "b"), ("b", "n3")]
+    return {
+        "triangles": triangles.select("src", "dst"), "ring": spark.createDataFrame(ring, "src string, dst string"),
+        "mesh": graph.undirected(spark.createDataFrame([e for e in mesh if e[0] != e[1]], "src string, dst string")),
+    }
+
+
+@pytest.mark.parametrize("measure", ["degree_centrality", "pagerank", "path_centralities", "closeness", "louvain", "best"])
+def test_runs_together_equal_single_runs(several, measure):
+    together = None
+    for run, edges in several.items():
+        tagged = edges.withColumn("run", F.lit(run))
+        together = tagged if together is None else together.unionByName(tagged)
+    call = (lambda e: graph.modularity(e, graph.louvain(e))) if measure == "best" else getattr(graph, measure)
+    made = [r.asDict() for r in call(together).collect()]
+    for run, edges in several.items():
+        alone = call(edges)
+        mine = sorted((tuple(r[c] for c in alone.columns) for r in made if r["run"] == run), key=str)
+        for got, expected in zip(mine, sorted(map(tuple, alone.collect()), key=str), strict=True):
+            assert got == pytest.approx(expected, abs=1e-9) if measure == "best" else got[0] == expected[0] and got[1:] == pytest.approx(expected[1:], abs=1e-9)
+
+
+def test_closeness_of_bits_equals_paths(spark, monkeypatch):
+    """More sources than bits, in one batch and in several, with parts that don't reach each other and a node without edges."""
+    edges = spark.range(150).selectExpr("concat('n', id) AS src", "concat('n', (id * id + 3) % 150) AS dst").filter("src <> dst")
+    edges = graph.undirected(edges).withColumn("part", F.lit(0)).drop("part")
+    nodes = spark.createDataFrame([("alone",)], "node string")
+    expected = by_node(graph.path_centralities(edges, nodes=nodes), "cent_closeness")
+    for batches in (None, 2):
+        assert by_node(graph.closeness(edges, nodes, batches), "cent_closeness") == pytest.approx(expected, abs=1e-12)
+    assert expected["alone"] == 0 and graph.closeness(edges.limit(0)).count() == 0
+
+
+def test_bad_graphs_carry_their_reason(spark, triangles):
+    graphs = {
+        "good": triangles, "no column": spark.createDataFrame([("a",)], "src string"), "empty": triangles.limit(0),
+        "unnamed": spark.createDataFrame([("a", None)], "src string, dst string"),
+        "weightless": spark.createDataFrame([("a", "b", 0.0)], "src string, dst string, weight double"),
+    }
+    found, skipped = detect_all(graphs)
+    assert list(found) == ["good"] and set(skipped) == set(graphs) - {"good"}
+    assert skipped["empty"] == "the graph has no edges" and "lack a node" in skipped["unnamed"]
+    assert detect_all({"empty": triangles.limit(0)}) == ({}, {"empty": "the graph has no edges"})
