@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from sparktrace.llm.common import Remembered, pairs
 
 STATES = 30_000
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 FOLLOWS = 300_000
 NEVER = 1 << 60
 #: A mark after a letter or number, before a cut or the end.
@@ -231,15 +231,16 @@ class Encoder(Remembered):
 
 
 class Utf8Machine:
-    """Incremental UTF-8: reads tokens one after the other and gives the characters that are complete.
+    """Incremental UTF-8: reads tokens, a run of ``RUN`` at a time, and gives the characters that are complete.
 
-    The state is the bytes of an unfinished character (at most 3). Steps are remembered per state and token. Bytes that can't
+    The state is the bytes of an unfinished character (at most 3); only the end of a run is looked at for one. Bytes that can't
     be UTF-8 give U+FFFD, as Python's ``errors="replace"`` does.
     """
 
+    RUN = 4096
+
     def __init__(self, bytes_of: dict[int, bytes]):
         self.bytes_of = bytes_of
-        self.steps: dict[bytes, dict[int, tuple[str, bytes]]] = {b"": {}}
 
     @staticmethod
     def unfinished(data: bytes) -> int:
@@ -258,25 +259,14 @@ class Utf8Machine:
             return back
         return 0
 
-    def _step(self, pending: bytes, token: int) -> tuple[str, bytes]:
-        data = pending + self.bytes_of[token]
-        cut = len(data) - self.unfinished(data)
-        step = self.steps.setdefault(pending, {})[token] = (data[:cut].decode("utf-8", "replace"), data[cut:])
-        self.steps.setdefault(step[1], {})
-        return step
-
     def feed(self, tokens: list[int], pending: bytes = b"") -> tuple[list[str], bytes]:
         """Characters completed by the tokens, and the bytes that wait for the next call."""
-        out, steps = [], self.steps
-        if len(steps) > 50_000:
-            steps.clear()
-        here = steps.setdefault(pending, {})
-        for token in tokens:
-            step = here.get(token) or self._step(pending, token)
-            out.append(step[0])
-            if step[1] != pending:
-                pending = step[1]
-                here = steps[pending]
+        out, bytes_of = [], self.bytes_of.__getitem__
+        for at in range(0, len(tokens), self.RUN):
+            data = pending + b"".join(map(bytes_of, tokens[at : at + self.RUN]))
+            end = len(data) - self.unfinished(data)
+            out.append(data[:end].decode("utf-8", "replace"))
+            pending = data[end:]
         return out, pending
 
     def decode(self, tokens: list[int]) -> str:

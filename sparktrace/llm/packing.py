@@ -33,12 +33,18 @@ CAPACITY = 4096
 END = 1
 #: A bin that lacks less than this part of the capacity is nearly full.
 NEARLY = 1 / 256
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 MARKS = {".", ",", ";", ":", "!", "?"}
 
 #: A mark that ends a part, after a letter (but the one whose lower case ends with a combining sign) or number.
 _LAST_MARK = re.compile(r"(?<=[^\W_\u0130])([.,;:!?])(?= |$)")
 
+#: Words of letters that no normalisation changes, which are one piece.
+_WORD = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: The byte-level alphabet: printable bytes stand for themselves, the others for the characters from U+0100 on, in order.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LETTERS = dict(zip(sorted(set(range(256)) - _PRINTED), range(0x100, 0x200)))
+
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -53,7 +59,15 @@ class WordIds(Remembered):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        super().__init__(lambda part: array("I", tokenizer.encode(part, add_special_tokens=False).ids).tobytes(), size)
+        model = tokenizer.model
+
+        def ids(part: str) -> bytes:
+            if _WORD.fullmatch(part):  # nothing to normalise or to cut: the model alone gives the same ids
+                found = model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS))
+                return array("I", [token.id for token in found]).tobytes()
+            return array("I", tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+
+        super().__init__(ids, size)
 
     def __missing__(self, part: str) -> bytes:
         # What stands before the mark counts as the vocabulary sees it, in lower case: that of a letter may end with a combining sign.
