@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from entry_queries import CLUSTERS, GROUPS, K, RUN_KS
+from entry_queries import CLUSTERS, GROUPS, K, RUN_GROUPS, RUN_KS
 from sparktrace.functions.labels import LABEL_REPLACEMENTS
 from sparktrace.functions.minhash import PERMUTATIONS, PRIME, coefficients
 from sparktrace.functions.timefeatures import CALENDAR, TIME_FEATURES
@@ -316,7 +316,9 @@ SELECT '{name}' AS file, {rounded('(SELECT silhouette FROM sil)', 2)} AS silhoue
 
 # --- explanations ---------------------------------------------------------------------------------------------------
 
-EXPLAIN_CTES = f"""
+def explain_ctes(groups: int, digits: int) -> str:
+    """Features, the busiest case of each group, its dense profile and the differences from the mean."""
+    return f"""
 features AS (
   SELECT idx AS pos, activity AS feature, 1 AS segment, activity AS act_from, activity AS act_to FROM dict
   UNION ALL
@@ -328,8 +330,8 @@ features AS (
 time_cells AS (
   SELECT case_id, feature, value FROM times UNPIVOT (value FOR feature IN ({', '.join(TIME_FEATURES)}))),
 busiest AS (
-  SELECT CAST(case_id AS BIGINT) % {GROUPS} AS community, case_id FROM profile
-  QUALIFY row_number() OVER (PARTITION BY CAST(case_id AS BIGINT) % {GROUPS} ORDER BY events DESC, CAST(case_id AS BIGINT)) = 1),
+  SELECT CAST(case_id AS BIGINT) % {groups} AS community, case_id FROM profile
+  QUALIFY row_number() OVER (PARTITION BY CAST(case_id AS BIGINT) % {groups} ORDER BY events DESC, CAST(case_id AS BIGINT)) = 1),
 dense AS (
   SELECT b.community, b.case_id, f.pos, f.feature, f.segment,
          CASE WHEN f.segment >= 4 THEN t.value ELSE coalesce(c.n, 0) END::DOUBLE AS value
@@ -338,14 +340,63 @@ dense AS (
   LEFT JOIN time_cells t ON t.case_id = b.case_id AND t.feature = f.feature AND f.segment >= 4),
 diff AS (
   SELECT case_id, segment, CAST(pos AS BIGINT) AS feature_pos, feature,
-         {rounded("round((value - avg(value) OVER (PARTITION BY pos)) / CASE WHEN segment = 4 THEN 3600.0 ELSE 1.0 END, 6)", 4)} AS value
+         {rounded("round((value - avg(value) OVER (PARTITION BY pos)) / CASE WHEN segment = 4 THEN 3600.0 ELSE 1.0 END, 6)", digits)} AS value
   FROM dense)"""
 
+
+EXPLAIN_CTES = explain_ctes(GROUPS, 4)
+
 TITLE = "CASE segment " + " ".join(f"WHEN {i + 1} THEN '{t}'" for i, t in enumerate(SEGMENT_TITLES)) + " END AS title"
 UNIT = "CASE WHEN segment = 4 THEN 'hours' ELSE 'difference' END AS unit"
 
 
+SHORT_CTES = """
+flags AS (SELECT segment, feature, bool_and(value = 0) AS zero FROM diff GROUP BY ALL),
+segments AS (SELECT segment, bool_and(zero) AS all_zero FROM flags GROUP BY segment),
+short AS (
+  SELECT DISTINCT d.case_id, d.segment,
+         CASE WHEN NOT f.zero THEN d.feature WHEN s.all_zero THEN 'all' ELSE 'others' END AS feature,
+         CASE WHEN f.zero THEN 0.0::DOUBLE ELSE d.value END AS value
+  FROM diff d JOIN flags f ON f.segment = d.segment AND f.feature = d.feature JOIN segments s ON s.segment = d.segment),
+ranges AS (SELECT segment, min(value) AS low, max(value) AS high FROM short GROUP BY segment)"""
+
+
+def explained_run(g: int) -> str:
+    places = "(SELECT case_id, CAST(row_number() OVER (ORDER BY CAST(case_id AS BIGINT)) - 1 AS BIGINT) AS case_pos FROM busiest)"
+    return events_with(
+        CELL_CTES, explain_ctes(g, 6), SHORT_CTES,
+        select=f"""
+SELECT case_id, case_pos, segment, feature, {rounded('value', 4)} AS value, {rounded('CASE WHEN low = 0 AND high = 0 THEN 0.0::DOUBLE ELSE low END', 4)} AS vmin,
+       {TITLE}, {UNIT}
+FROM short JOIN ranges USING (segment) JOIN {places} USING (case_id)""",
+    )
+
+
+def explained_pairs(g: int) -> str:
+    return events_with(
+        CELL_CTES, explain_ctes(g, 6),
+        f"""
+local AS (
+  SELECT x.case_id, y.case_id AS variant_id, x.segment, x.feature,
+         {rounded("round((x.value - y.value) / CASE WHEN x.segment = 4 THEN 3600.0 ELSE 1.0 END, 6)", 4)} AS value
+  FROM dense x JOIN dense y ON x.pos = y.pos
+  WHERE x.community > 0 AND y.community = 0 AND (x.segment >= 4 OR x.value <> 0 OR y.value <> 0)),
+ranges AS (SELECT case_id, segment, min(value) AS low, max(value) AS high FROM local GROUP BY case_id, segment)""",
+        select=f"""
+SELECT case_id, variant_id, segment, feature, value, {TITLE}, {UNIT},
+       CASE WHEN segment <= 2 OR (low = 0 AND high = 0) THEN 0.0::DOUBLE ELSE -{LOCAL_RANGE}::DOUBLE END AS vmin,
+       CASE WHEN segment <= 2 OR (low = 0 AND high = 0) THEN {MIN_RANGE}::DOUBLE ELSE {LOCAL_RANGE}::DOUBLE END AS vmax
+FROM local JOIN ranges USING (case_id, segment)""",
+    )
+
+
+def on_groups(statement) -> str:
+    return "\nUNION ALL\n".join(f"SELECT 'g{g}' AS run, * FROM ({statement(g)})" for g in RUN_GROUPS)
+
+
 ORACLES: dict[str, str] = {
+    "explain_runs": on_groups(explained_run),
+    "explain_pairs": on_groups(explained_pairs),
     "flatten_ocel": """
 SELECT DISTINCT 'supplier-' || l_suppkey AS case_id, o_orderpriority AS activity, epoch_us(o_orderdate) AS ts_us, o_orderkey AS seq
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
@@ -529,15 +580,7 @@ QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(total, 6), src) =
     "explain_global": events_with(CELL_CTES, EXPLAIN_CTES, select="SELECT * FROM diff"),
     "explain_compact": events_with(
         CELL_CTES, EXPLAIN_CTES,
-        """
-flags AS (SELECT segment, feature, bool_and(value = 0) AS zero FROM diff GROUP BY ALL),
-segments AS (SELECT segment, bool_and(zero) AS all_zero FROM flags GROUP BY segment),
-short AS (
-  SELECT DISTINCT d.case_id, d.segment,
-         CASE WHEN NOT f.zero THEN d.feature WHEN s.all_zero THEN 'all' ELSE 'others' END AS feature,
-         CASE WHEN f.zero THEN 0.0::DOUBLE ELSE d.value END AS value
-  FROM diff d JOIN flags f ON f.segment = d.segment AND f.feature = d.feature JOIN segments s ON s.segment = d.segment),
-ranges AS (SELECT segment, min(value) AS low, max(value) AS high FROM short GROUP BY segment)""",
+        SHORT_CTES,
         select=f"""
 SELECT case_id, segment, feature, value, {TITLE}, {UNIT},
        CASE WHEN low = 0 AND high = 0 THEN 0.0::DOUBLE ELSE low END AS vmin,

@@ -16,6 +16,7 @@ from sparktrace.session import cut
 
 K = 3
 RUN_KS = (3, 4, 5)
+RUN_GROUPS = (3, 5, 7)
 GROUPS = 5
 PAGERANK_TOLERANCE = 1e-13
 CLUSTERS = 3
@@ -540,6 +541,34 @@ def explain_local(spark, sf_dir):
     )
 
 
+def _busiest(spark, sf_dir, groups: int) -> DataFrame:
+    """(community, case): the case with the most events of each of so many groups of ids, smallest id first."""
+    number = F.col("case_id").cast("bigint")
+    return _profiled(spark, sf_dir).profiles.groupBy((number % groups).alias("community")).agg(
+        F.min(F.struct((-F.col("events")).alias("cost"), number.alias("id")))["id"].cast("string").alias("case")
+    )
+
+
+def explain_runs(spark, sf_dir):
+    """Compact explanations of the busiest cases of 3, 5 and 7 groups, three runs in one pass; ids as a float round trip leaves them."""
+    runs = {f"g{g}": _busiest(spark, sf_dir, g).withColumn("case", F.concat("case", F.lit(".0"))) for g in RUN_GROUPS}
+    made = variants.explain_representatives(_profiled(spark, sf_dir), runs, "case")
+    rounded = [F.round(c, 4).alias(c) for c in ("value", "vmin")]
+    return made.select("run", "case_id", "case_pos", "segment", "feature", *rounded, "title", "unit")
+
+
+def explain_pairs(spark, sf_dir):
+    """Differences of the busiest case of every group from that of group 0, for 3, 5 and 7 groups."""
+    pairs = []
+    for g in RUN_GROUPS:
+        reps = _busiest(spark, sf_dir, g)
+        first = reps.filter("community = 0").select(F.col("case").alias("variant_id"))
+        pairs.append(reps.filter("community > 0").select(F.lit(f"g{g}").alias("run"), F.col("case").alias("case_id")).join(F.broadcast(first)))
+    made = _profiled(spark, sf_dir)
+    found = explain.explain_pairs(made.profiles, made.alphabet, reduce(DataFrame.unionByName, pairs))
+    return found.select("run", "case_id", "variant_id", "segment", "feature", F.round("value", 4).alias("value"), "title", "unit", "vmin", "vmax")
+
+
 def explain_order(spark, sf_dir):
     """All cases, labelled by group letter and id, in the order of the number in the label."""
     label = F.concat(F.element_at(F.array(*[F.lit(x) for x in "EDCBA"]), (F.col("case_id").cast("bigint") % 5 + 1).cast("int")), F.lit("_"), "case_id")
@@ -556,6 +585,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         representatives, community_sizes, bridge_nodes, bridge_filter, split_bridges, meta_nodes, meta_edges,
         detect_communities, detected_representatives, standardize, sample_centroids, assign_clusters, cluster_modes,
         cluster_means, kprototypes, minhash_signature, medoid_minhash, cluster_medoids, silhouette, davies_bouldin,
-        calinski_harabasz, score_runs, sweep_clusters, explain_global, explain_compact, explain_local, explain_order,
+        calinski_harabasz, score_runs, sweep_clusters, explain_global, explain_compact, explain_local, explain_runs, explain_pairs, explain_order,
     )
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import FIRST_DIGITS, clean_case_id, id_order
 from ..functions.timefeatures import CASE_TIME, TIME_FEATURES
-from ..session import dense_index, lookup
+from ..session import cut, dense_index, lookup
 from .profile import Alphabet, features
 
 DIGITS = 6
@@ -103,6 +103,67 @@ def difference_from_mean(profiles: DataFrame, alphabet: Alphabet) -> DataFrame:
     return _segmented(diff, alphabet)
 
 
+def feature_names(cells: DataFrame, alphabet: Alphabet) -> DataFrame:
+    """Add ``segment`` and ``feature`` to rows with a feature position ``pos``; positions that are not shown go.
+
+    The name of a transition comes from two joins with the alphabet, so nothing of the size of all transitions is made.
+    """
+    size, names = alphabet.size, alphabet.table
+    cell, time = F.col("pos") - size, F.col("pos") - (size + size * size)
+    activity, transition = F.col("pos") < size, (F.col("pos") >= size) & (time < 0)
+    placed = cells.withColumns({
+        "__from": F.when(activity, F.col("pos")).when(transition, F.floor(cell / size)), "__to": F.when(transition, cell % size),
+        "segment": F.when(activity, 1).when(transition & (F.floor(cell / size) == cell % size), 2).when(transition, 3)
+        .when(time < len(CASE_TIME), 4).when(time > len(CASE_TIME), 5),
+    }).filter(F.col("segment").isNotNull())
+    for at in ("__from", "__to"):
+        placed = lookup(placed, names.select(F.col("idx").cast("bigint").alias(at), F.col("activity").alias(f"{at}_name")), at, size, "left")
+    times = F.array(*[F.lit(name) for name in TIME_FEATURES])
+    name = F.when(activity, F.col("__from_name")).when(transition, F.concat("__from_name", F.lit("->"), "__to_name")).otherwise(
+        F.get(times, time.cast("int"))
+    )
+    return placed.withColumn("feature", name).drop("__from", "__to", "__from_name", "__to_name")
+
+
+def _shown(diff: DataFrame, alphabet: Alphabet) -> DataFrame:
+    """Differences with their segment and name, case times in hours."""
+    hours = F.when(F.col("segment") == 4, F.col("value") / 3600.0).otherwise(F.col("value"))
+    return feature_names(diff, alphabet).withColumn("value", F.round(hours, DIGITS)).withColumnRenamed("pos", "feature_pos")
+
+
+def support_differences(profiles: DataFrame, alphabet: Alphabet) -> DataFrame:
+    """(run, case_id, segment, feature_pos, feature, value): differences from the mean of the run's cases, of the features that any of
+    them has. All other features are zero in all cases: they are known by their number, not by rows."""
+    cells = profiles.select("run", "case_id", F.explode(_cells(alphabet.size)).alias("pos", "x"))
+    cases = profiles.groupBy("run").agg(F.count("*").cast("double").alias("cases"))
+    means = cells.groupBy("run", "pos").agg(F.sum("x").alias("sum")).join(F.broadcast(cases), "run").select("run", "pos", (F.col("sum") / F.col("cases")).alias("mean"))
+    # Every case of a run with every feature of its support: the rows that are asked for.
+    every = profiles.select("run", "case_id").join(means, "run")
+    diff = every.join(cells, ["run", "case_id", "pos"], "left").select("run", "case_id", "pos", (F.coalesce("x", F.lit(0.0)) - F.col("mean")).alias("value"))
+    return _shown(diff, alphabet)
+
+
+def reduce_support(long: DataFrame, profiles: DataFrame, alphabet: Alphabet, label_all: str = LABEL_ALL, label_others: str = LABEL_OTHERS) -> DataFrame:
+    """``reduce_zero_features`` for differences on the support, run by run: the features without a row count as zero ones."""
+    size = alphabet.size
+    ends = (size, size + size * size, size + size * size, size + size * size + len(CASE_TIME), size + size * size + len(TIME_FEATURES))
+    numbers = (size, size, size * size - size, len(CASE_TIME), len(TIME_FEATURES) - len(CASE_TIME) - 1)
+    # The last of the transitions is a loop.
+    last = (ends[0] - 1, ends[1] - 1, ends[2] - 2, ends[3] - 1, ends[4] - 1)
+    segments = long.sparkSession.createDataFrame([(i + 1, n, at) for i, (n, at) in enumerate(zip(numbers, last)) if n], "segment int, features bigint, last_pos bigint")
+    per_feature = long.groupBy("run", "segment", "feature_pos").agg(F.bool_and(F.col("value") == 0).alias("zero"))
+    stay = long.join(per_feature.filter("NOT zero"), ["run", "segment", "feature_pos"], "left_semi")
+    # Five rows per run.
+    filled = per_feature.filter("NOT zero").groupBy("run", "segment").agg(F.count("*").alias("filled"))
+    merged = (
+        profiles.select("run").distinct().join(F.broadcast(segments)).join(filled, ["run", "segment"], "left")
+        .filter(F.coalesce("filled", F.lit(0)) < F.col("features"))
+        .select("run", "segment", (F.col("last_pos") + 1).alias("feature_pos"), F.when(F.col("filled").isNull(), label_all).otherwise(label_others).alias("feature"))
+    )
+    zeros = profiles.select("run", "case_id").join(F.broadcast(merged), "run").withColumn("value", F.lit(0.0))
+    return stay.unionByName(zeros)
+
+
 def reduce_zero_features(
     long: DataFrame, label_all: str = LABEL_ALL, label_others: str = LABEL_OTHERS
 ) -> DataFrame:
@@ -123,8 +184,9 @@ def reduce_zero_features(
 
 
 def with_legend(long: DataFrame, local: bool = False) -> DataFrame:
-    """Add ``title``, ``unit`` and the colour limits ``vmin`` and ``vmax`` of each segment."""
-    ranges = long.groupBy("segment").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    """Add ``title``, ``unit`` and the colour limits ``vmin`` and ``vmax`` of each segment (of each run)."""
+    keys = ["run", "segment"] if "run" in long.columns else ["segment"]
+    ranges = long.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"))
     flat = (F.col("low") == 0) & (F.col("high") == 0)
     if local:
         flat = flat | (F.col("segment") <= 2)
@@ -133,21 +195,51 @@ def with_legend(long: DataFrame, local: bool = False) -> DataFrame:
         low, high = F.col("low"), -F.col("low")
     titles = F.array(*[F.lit(t) for t in SEGMENT_TITLES])
     legend = ranges.select(
-        "segment",
+        *keys,
         F.element_at(titles, F.col("segment")).alias("title"),
         F.when(F.col("segment") == 4, "hours").otherwise("difference").alias("unit"),
         F.when(flat, 0.0).otherwise(low).alias("vmin"),
         F.when(flat, MIN_RANGE).otherwise(high).alias("vmax"),
     )
-    return long.join(F.broadcast(legend), "segment")
+    return long.join(F.broadcast(legend), keys)
+
+
+def explain_runs(profiles: DataFrame, alphabet: Alphabet) -> DataFrame:
+    """Explanations of the cases of several runs, from profiles with a column ``run``: differences from the run's mean, all-zero features
+    merged, legend and case order. One pass over all runs; its rows grow with the features that the cases have."""
+    profiles = cut(profiles)
+    long = with_legend(reduce_support(cut(support_differences(profiles, alphabet)), profiles, alphabet))
+    digits = F.regexp_extract("case_id", FIRST_DIGITS, 1)
+    numbered = profiles.select("run", "case_id", F.when(digits != "", digits.cast("double")).alias("case_number"))
+    ranked = dense_index(numbered, [F.col("run"), *id_order(F.col("case_id"))], "at")
+    # The cases of a run are numbered among themselves.
+    firsts = ranked.groupBy("run").agg(F.min("at").alias("first"))
+    ranked = ranked.join(F.broadcast(firsts), "run").select("run", "case_id", "case_number", (F.col("at") - F.col("first")).alias("case_pos"))
+    return long.join(ranked, ["run", "case_id"])
 
 
 def explain_variants(profiles: DataFrame, alphabet: Alphabet, compact: bool = True) -> DataFrame:
     """Difference from the mean with legend and case order; all-zero features merged when ``compact``."""
-    long = difference_from_mean(profiles, alphabet)
     if compact:
-        long = reduce_zero_features(long)
-    return with_legend(long).join(case_order(profiles), "case_id")
+        return explain_runs(profiles.withColumn("run", F.lit("")), alphabet).drop("run")
+    return with_legend(difference_from_mean(profiles, alphabet)).join(case_order(profiles), "case_id")
+
+
+def explain_pairs(profiles: DataFrame, alphabet: Alphabet, pairs: DataFrame) -> DataFrame:
+    """Differences of ``case_id`` from ``variant_id`` for every listed pair (run, case_id, variant_id), with legend, of the features
+    that one of the two has. Pairs with a case that has no profile are left out."""
+    cells = profiles.select("case_id", F.explode(_cells(alphabet.size)).alias("pos", "x"))
+    pairs = cut(
+        pairs.select("run", "case_id", "variant_id").distinct().join(profiles.select("case_id"), "case_id", "left_semi")
+        .join(profiles.select(F.col("case_id").alias("variant_id")), "variant_id", "left_semi")
+    )
+    ours = pairs.join(cells, "case_id").select("run", "case_id", "variant_id", "pos", "x")
+    theirs = pairs.join(cells.withColumnRenamed("case_id", "variant_id"), "variant_id").select("run", "case_id", "variant_id", "pos", (-F.col("x")).alias("x"))
+    diff = ours.unionByName(theirs).groupBy("run", "case_id", "variant_id", "pos").agg(F.sum("x").alias("value"))
+    # Limits are those of one pair's own rows.
+    named = _shown(diff, alphabet).withColumn("pair", F.struct("run", "case_id", "variant_id")).withColumn("__run", F.col("run")).drop("run")
+    legend = with_legend(named.withColumnRenamed("pair", "run"), local=True)
+    return legend.drop("run").withColumnRenamed("__run", "run")
 
 
 def explain_case(profiles: DataFrame, alphabet: Alphabet, case: str, variant: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.labels import clean_case_id
 from ..operators import clustering, communities, explain, graph, neighbors, profile, scoring
 from ..session import cut
 
@@ -128,14 +129,15 @@ def sweep_clusters(profiled: Profiled, ks: list[int], seed: int = 0) -> DataFram
 def explain_representatives(
     profiled: Profiled, runs: dict[str, DataFrame], metric: str = "degree_rep", compact: bool = True
 ) -> DataFrame:
-    """Explanations of the representatives of several runs, keyed by ``run``."""
-    tables = [
-        explain.explain_variants(
-            explain.only_representatives(profiled.profiles, reps, metric), profiled.alphabet, compact
-        ).withColumn("run", F.lit(run))
-        for run, reps in sorted(runs.items())
-    ]
-    result = tables[0]
-    for table in tables[1:]:
-        result = result.unionByName(table)
-    return result
+    """Explanations of the representatives of several runs, keyed by ``run``; compact ones come from one pass over all runs."""
+    if not compact:
+        return reduce(DataFrame.unionByName, [
+            explain.explain_variants(explain.only_representatives(profiled.profiles, reps, metric), profiled.alphabet, False).withColumn("run", F.lit(run))
+            for run, reps in sorted(runs.items())
+        ])
+    for reps in runs.values():
+        if metric not in reps.columns:
+            raise ValueError(f"representatives need a column {metric!r}")
+    named = [reps.select(F.lit(run).alias("run"), clean_case_id(F.col(metric)).alias("case_id")) for run, reps in sorted(runs.items())]
+    chosen = reduce(DataFrame.unionByName, named).distinct()
+    return explain.explain_runs(profiled.profiles.join(chosen, "case_id"), profiled.alphabet)
