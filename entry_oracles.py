@@ -395,6 +395,11 @@ def on_groups(statement) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "explode_cases": """
+SELECT DISTINCT o_orderkey AS seq, o_orderpriority AS activity, l_suppkey AS "case" FROM orders JOIN lineitem ON l_orderkey = o_orderkey""",
+    "kprototypes_settled": events_with(
+        select="SELECT CAST(k AS INTEGER) AS k, (SELECT count(*) FROM cases) AS cases, CAST(0 AS BIGINT) AS away, CAST(0 AS BIGINT) AS wrong, true AS settled FROM (VALUES (2), (3), (5)) t(k)"
+    ),
     "explain_runs": on_groups(explained_run),
     "explain_pairs": on_groups(explained_pairs),
     "flatten_ocel": """

@@ -161,6 +161,13 @@ def event_time_features(spark, sf_dir):
     return eventlog.event_time_features(event_log(spark, sf_dir))
 
 
+def explode_cases(spark, sf_dir):
+    """Orders as events whose case is the list of their suppliers, one row per order and supplier."""
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("activity"))
+    suppliers = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("case"))
+    return eventlog.explode_cases(orders.join(suppliers, "l_orderkey"), "case").select(F.col("l_orderkey").alias("seq"), "activity", "case")
+
+
 # --- profile --------------------------------------------------------------------------------------------------------
 
 
@@ -460,6 +467,33 @@ def kprototypes(spark, sf_dir):
     return clustering.kprototypes(_cluster_points(spark, sf_dir), CLUSTERS)[0].select("case_id", "cluster", "dist")
 
 
+def kprototypes_settled(spark, sf_dir):
+    """What holds for k-prototypes with 2, 3 and 5 clusters, run together: every case is at its nearest centroid, every centroid is made of
+    the modes and means of its members, and no round was left."""
+    points = cut(_cluster_points(spark, sf_dir))
+    made = clustering.sweep_kprototypes(points, [2, 3, 5])
+    centers = spark.createDataFrame(
+        [(k, c.cluster, c.cells, c.num) for k, some in made.centroids.items() for c in some], "k int, cluster int, cells map<bigint,int>, num array<double>"
+    )
+    listed = centers.agg(F.collect_list(F.struct("k", "cluster", "cells", "num"))).scalar()
+    reached = points.withColumn("all", listed).select("case_id", "cells", "num", F.explode("all").alias("c")).select(
+        "case_id", "c.k", clustering.mixed_distance(F.struct("cells", "num"), F.col("c")).alias("to")
+    )
+    nearest = reached.groupBy("k", "case_id").agg(F.min("to").alias("least"))
+    away = made.clustered.join(nearest, ["k", "case_id"]).groupBy("k").agg(F.count("*").alias("cases"), F.count_if(F.col("dist") > F.col("least")).alias("away"))
+    moved = []
+    for k, some in made.centroids.items():
+        assigned = cut(points.join(made.clustered.filter(F.col("k") == k).select("case_id", "cluster"), "case_id"))
+        own = centers.filter(F.col("k") == k)
+        cells = own.select("cluster", F.explode("cells").alias("pos", "n"))
+        modes = clustering.cluster_modes(assigned).select("cluster", F.col("pos").cast("bigint").alias("pos"), "n")
+        means = clustering.cluster_means(assigned).select("cluster", F.col("num").alias("mean")).join(own, "cluster", "right")
+        off = F.coalesce(F.exists(F.zip_with("mean", "num", lambda a, b: F.abs(a - b) > 1e-8), lambda x: x), F.lit(True))
+        wrong = cells.exceptAll(modes).count() + modes.exceptAll(cells).count() + means.filter(off).count()
+        moved.append((k, wrong, k not in made.moving))
+    return away.join(spark.createDataFrame(moved, "k int, wrong bigint, settled boolean"), "k")
+
+
 def _fixed_clusters(spark, sf_dir):
     made = _profiled(spark, sf_dir)
     clustered = made.profiles.withColumn("cluster", (F.col("case_id").cast("bigint") % GROUPS).cast("int"))
@@ -578,13 +612,13 @@ def explain_order(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        flatten_ocel, flatten_ocel_by_event, normalize_labels, trace_corpus, event_time_features, activity_dict,
+        flatten_ocel, flatten_ocel_by_event, normalize_labels, trace_corpus, event_time_features, explode_cases, activity_dict,
         onehot_profile, presence, transition_profile, transition_text, dfg, dfg_matrix, time_profile, profile_merge,
         wide_profile, pair_distance, radius_pairs, radius_members, knn_neighbors, knn_neighbors_orders, knn_edges, knn_euclidean, euclidean_pairs, euclidean_radius_pairs,
         degree_centrality, modularity, pagerank, betweenness, closeness, louvain_communities, run_measures, run_communities, node_table,
         representatives, community_sizes, bridge_nodes, bridge_filter, split_bridges, meta_nodes, meta_edges,
         detect_communities, detected_representatives, standardize, sample_centroids, assign_clusters, cluster_modes,
-        cluster_means, kprototypes, minhash_signature, medoid_minhash, cluster_medoids, silhouette, davies_bouldin,
+        cluster_means, kprototypes, kprototypes_settled, minhash_signature, medoid_minhash, cluster_medoids, silhouette, davies_bouldin,
         calinski_harabasz, score_runs, sweep_clusters, explain_global, explain_compact, explain_local, explain_runs, explain_pairs, explain_order,
     )
 }

@@ -1,5 +1,6 @@
 import gzip
 import json
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,6 +138,25 @@ def test_graphml_and_runs(spark, tmp_path):
         tables.write_run(edges, str(tmp_path / "runs"), k=1)
 
 
+def test_graphml_in_one_document(spark, tmp_path):
+    """One file is one graph for any reader: declared keys, nodes before edges, marked characters."""
+    edges = spark.createDataFrame([("a&b", 'c"d', 2.0), ('c"d', "<e>", 1.0)], "src string, dst string, weight double").repartition(3)
+    named = spark.createDataFrame([("a&b", 1, "x > y"), ('c"d', None, None), ("<e>", 3, ""), ("alone", 4, "\n")], "node string, size int, `my name` string")
+    tables.write_graphml(edges, str(tmp_path / "g"), named, documents=1)
+    (file,) = (tmp_path / "g").glob("part-*")
+    space = "{http://graphml.graphdrawing.org/xmlns}"
+    root = ElementTree.parse(file).getroot()
+    assert {(k.get("id"), k.get("for"), k.get("attr.type")) for k in root.iter(f"{space}key")} == {("weight", "edge", "double"), ("size", "node", "int"), ("my name", "node", "string")}
+    (graph,) = root.findall(f"{space}graph")
+    assert [e.tag for e in graph] == [f"{space}node"] * 4 + [f"{space}edge"] * 2
+    assert {n.get("id"): {d.get("key"): d.text for d in n} for n in graph.iter(f"{space}node")} == {
+        "a&b": {"size": "1", "my name": "x > y"}, 'c"d': {}, "<e>": {"size": "3", "my name": None}, "alone": {"size": "4", "my name": "\n"},
+    }
+    nodes, back = tables.read_graphml(spark, str(tmp_path / "g"), ("size",))
+    assert sorted(map(tuple, back.collect())) == [("<e>", 'c"d', 1.0), ("a&b", 'c"d', 2.0)]
+    assert dict(map(tuple, nodes.collect())) == {"a&b": "1", 'c"d': None, "<e>": "3", "alone": "4"}
+
+
 def test_result_files(spark, tmp_path):
     nodes = spark.createDataFrame([("a", 0, 0.123456)], "node string, community int, cent_degree double")
     tables.write_node_table(nodes, str(tmp_path / "nodes"))
