@@ -3,20 +3,21 @@
 A page is cut into blocks: runs of text between block tags, each under the path of the elements around it. Its tokens are the
 paths that occur in it and the texts under their paths.
 
-1. Every page counts its tokens. A token's occurrence vector over the pages of its host is kept as a sum of hashes of (page, count),
-   next to the number of pages and the mean place, so no vector is ever held: sums are aggregated before they are shuffled.
+1. Every different page content of a host counts its tokens (copies count once). A token's occurrence vector over the contents of its
+   host is kept as a sum of hashes of (content, count), next to the number of contents and the mean place, so no vector is ever held:
+   sums are aggregated before they are shuffled.
 2. Tokens on at least half of a host's pages (and on three pages) may be of its template; their number is bounded by twice the
    mean number of tokens of a page. Tokens with equal vectors form an equivalence class. A class is valid if it has at least
    two tokens at different mean places, or is on all pages; valid classes are nested by the spans of their places, and one that
    crosses the border of the class around it is dropped. The tokens of the nested classes are the template.
 3. What the template leaves are the slots. Slots of menus, headers, footers, side bars, notices, adverts, forms, scripts, styles and
-   reader comments are told by element, role or the words of class and id (fixed values below) and left out; texts of the template
+   reader comments are told by element, role, ``hidden`` or the last word of a name in class and id (fixed values below) and left out; texts of the template
    are left out unless they stand in an article or main element, where even what all pages share is the page's own text. If a page has an article or
    main element, only slots in it stay.
 
 A page of a host with too few pages has no template: slots and elements alone decide. Null html counts as empty: empty text. Null or
 odd urls share one host. Repeated rows are pages of their own. Unclosed and wrongly nested tags are closed by the elements around
-them. Extra columns are kept.
+them. Extra columns are kept; the text's name gets underscores in front if it is taken.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktrace.llm.common import fresh, pairs, table
-from sparktrace.session import cut
+from sparktrace.llm.common import fresh, pairs, table, text_key
+from sparktrace.session import BROADCAST_ROWS, cut
 
 LEAST_PAGES = 3
 LEAST_SHARE = 0.5
@@ -48,6 +49,16 @@ LEFT_OUT_WORDS = {
     "header", "masthead", "footer", "copyright", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "share", "sharing",
     "social", "related", "recommended", "search", "searchform", "form",
 }
+#: Of these, what an article element itself may be, and what is no site header in an article.
+READERS_WORDS = {"ad", "ads", "advert", "advertisement", "comment", "comments", "commentlist", "disqus", "promo", "reply", "replies", "respond", "sponsored"}
+TITLE_WORDS = {"header", "masthead", "banner"}
+#: Words at the end of a name that say nothing of what it is, and words at its beginning that speak of the page around.
+NEUTRAL_WORDS = {
+    "area", "articles", "author", "bar", "block", "body", "bottom", "box", "button", "buttons", "column", "container", "content", "count", "date", "dialog",
+    "heading", "icon", "icons", "inner", "item", "items", "label", "left", "link", "links", "list", "main", "meta", "outer", "panel", "posts", "reading", "right", "row",
+    "section", "slot", "stories", "text", "thread", "title", "top", "unit", "wrap", "wrapper",
+}
+SPEAKING_WORDS = {"has", "hide", "is", "no", "not", "show", "with", "without"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp",
@@ -63,7 +74,9 @@ _tags = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
     re.S | re.I,
 )
-_attributes = re.compile(r"""(class|id|role|hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_attributes = re.compile(r"""(class|id|role|style)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_hidden = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+_quoted = re.compile(r"\"[^\"]*\"|'[^']*'")
 _words = re.compile(r"[a-z0-9]+")
 
 
@@ -76,13 +89,34 @@ class Element:
         self.name, self.path, self.out, self.main = name, path, out, main
 
 
+def names_left_out(names: str, article: bool, in_main: bool) -> bool:
+    """Whether one of the names in class and id says that an element is left out.
+
+    A name is what its last word says, without numbers and words that say nothing (``comment-list-2`` is a comment, ``article-body``
+    an article); names that speak of the page (``with-sidebar``) say nothing of the element.
+    """
+    words_of = READERS_WORDS if article else LEFT_OUT_WORDS
+    for name in names.split():
+        words = _words.findall(name)
+        if not words or words[0] in SPEAKING_WORDS:
+            continue
+        while len(words) > 1 and (words[-1] in NEUTRAL_WORDS or words[-1].isdigit()):
+            words.pop()
+        if words[-1] in words_of and not (in_main and words[-1] in TITLE_WORDS):
+            return True
+    return False
+
+
 def _opened(name: str, attributes: str, above: Element) -> Element:
     said = {k.lower(): v.strip("\"'").lower() for k, v in _attributes.findall(attributes)} if "=" in attributes else {}
     names = f"{said.get('class', '')} {said.get('id', '')}".strip()
-    main = above.main or name in MAIN or said.get("role") in MAIN
+    is_main = name in MAIN or said.get("role") in MAIN
     out = above.out or name in LEFT_OUT or said.get("role") in LEFT_OUT_ROLES or (name == "header" and not above.main)
-    if not out and names and name not in MAIN and name not in ("html", "body"):
-        out = not LEFT_OUT_WORDS.isdisjoint(_words.findall(names))
+    if not out and attributes and (_hidden.search(_quoted.sub("", attributes)) or "display:none" in said.get("style", "").replace(" ", "")):
+        out = True
+    if not out and names and name not in ("html", "body", "main"):
+        out = names_left_out(names, is_main, above.main)
+    main = above.main or is_main and not out
     if name in INLINE and not names:
         return Element(name, above.path, out, main)
     return Element(name, f"{above.path}/{name}{'.' + names if names else ''}", out, main)
@@ -169,13 +203,26 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 for i, (path, _, _, text) in enumerate(blocks):
                     for t, is_text in ((token(path, ""), False), (token(path, text), True)):
                         seen.setdefault(t, [is_text, (i + 0.5) / len(blocks), 0])[2] += 1
-                rows += [(host, t, s, place, xxhash.xxh3_64_intdigest(f"{key} {n}") >> 24) for t, (s, place, n) in seen.items()]
+                rows += [(host, t, s, place, xxhash.xxh3_64_intdigest(key + b"%d" % n) >> 24) for t, (s, place, n) in seen.items()]
             columns = list(zip(*rows)) or [()] * 5
             kinds = (pa.string(), pa.int64(), pa.bool_(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "token", "is_text", "place", "vector"])
 
-    keyed = pages.select(F.expr(_host()).alias("host"), F.monotonically_increasing_id().alias("key"), "html")
-    return keyed.mapInArrow(run, "host string, token bigint, is_text boolean, place double, vector bigint")
+    return contents(pages).mapInArrow(run, "host string, token bigint, is_text boolean, place double, vector bigint")
+
+
+def contents(pages: DataFrame) -> DataFrame:
+    """(host, key, html): every page content of a host once, so that copies don't make a template of their text.
+
+    Contents that occur once, nearly all, stay where they are; of the others one copy is sent per task.
+    """
+    keyed = pages.select(F.expr(_host()).alias("host"), text_key(F.col("html")).alias("key"), "html")
+    repeated = cut(keyed.groupBy("host", "key").agg(F.count("*").alias("copies")).filter("copies > 1").drop("copies"))
+    few = repeated.count() <= BROADCAST_ROWS
+    known = F.broadcast(repeated) if few else repeated
+    single = keyed.join(known, ["host", "key"], "left_anti")
+    several = keyed.join(known, ["host", "key"], "left_semi").groupBy("host", "key").agg(F.first("html").alias("html"))
+    return single.unionByName(several)
 
 
 def nested_template(tokens: pd.DataFrame) -> list[int]:
@@ -201,7 +248,7 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = L
     counts = page_tokens(pages).groupBy("host", "token", "is_text").agg(
         F.count("*").alias("pages"), F.sum("vector").alias("vector"), F.avg("place").alias("place")
     )
-    hosts = pages.groupBy(F.expr(_host()).alias("host")).agg(F.count("*").alias("host_pages"))
+    hosts = pages.groupBy(F.expr(_host()).alias("host")).agg(F.count_distinct(text_key(F.col("html"))).alias("host_pages"))
     frequent = counts.filter(F.col("pages") >= least_pages).join(hosts, "host").filter(F.col("pages") >= share * F.col("host_pages"))
 
     def deduce(group: pd.DataFrame) -> pd.DataFrame:
@@ -225,6 +272,7 @@ def extract(pages: DataFrame, text: str = "text") -> DataFrame:
     # Templates are one row per host; hosts with very many pages are split by the join.
     joined = source.withColumn(host, F.expr(_host())).join(made.select(F.col("host").alias(host), F.col("template").alias(template)), host, "left")
     kept = [f for f in pages.schema.fields if f.name != "html"]
+    (text,) = fresh(pages.drop("html"), text)
     schema = T.StructType([*kept, T.StructField(text, T.StringType(), False)])
 
     def run(batches):

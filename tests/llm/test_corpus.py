@@ -265,6 +265,12 @@ def page_text(page):
         ("<main>m<div class='comments'><p>c1</div><form><p>f</form>n</main>", "m\n\nn"), ("<ul><li>a<li>b</ul>", "a\n\nb"),
         ("<p>x <span class=ad>buy</span> y", "x\n\ny"), ("<article>a</p></div>b</article></article>c", "a\n\nb"),
         ("<div role=navigation>n</div><!-- <p>no</p> --><p>y", "y"), ("<style>a{}", ""), ("<p>1 < 2 and 3 > 2</p>", "1 < 2 and 3 > 2"),
+        ('<div class="layout with-sidebar"><article><p>kept</p></article></div>', "kept"), ('<div id="page" class="no-sidebar"><main>kept</main></div>', "kept"),
+        ('<article><p class="related-work">kept</p><div class="article-header"><h1>T</h1></div></article>', "kept\n\nT"),
+        ('<article>kept</article><article class="comment">reader</article>', "kept"), ('<main><article class="comment-body" id="comment-7">reader</article>kept</main>', "kept"),
+        ("<main>kept<p hidden>no</p><div style='display: none'>no</div><p title='hidden'>yes</p></main>", "kept\n\nyes"),
+        ('<p>kept</p><div class="post-comments">c</div><ul class="related-posts"><li>r</ul><div id="ad-slot-3">a</div><p class="cookie-notice">n</p>', "kept"),
+        ('<div class="sidebar"><article class="teaser">t</article></div><article class="post header-less">kept</article>', "kept"),
     ],
 )
 def test_main_text(page, text):
@@ -284,6 +290,47 @@ def test_template_texts_go_and_articles_stay(spark, none):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_copies_make_no_template(spark):
+    rows = [(i, "http://copies.example/", "<div><p>same text</p></div>", "x") for i in range(9)]
+    rows += [(20 + i, "http://two.example/", f"<div><p>text {'ab'[i % 2]}</p><p>foot</p></div>", "x") for i in range(8)]
+    found = {r["page_id"]: (r["_text"], r["text"]) for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()}
+    assert all(found[i] == ("same text", "x") for i in range(9))
+    assert all(found[20 + i] == (f"text {'ab'[i % 2]}\n\nfoot", "x") for i in range(8))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_classes_equal_occurrence_vectors(spark, seed):
+    """The template from sums of hashes is the one from the vectors themselves, copies of pages counted once."""
+    draw = random.Random(seed)
+    fixed = [f"<div class=f{i}>part {i}</div>" for i in range(8)]
+    pages = []
+    for n in range(24):
+        body = [f for i, f in enumerate(fixed) if (n * (i + 1) + seed) % (i + 2) or i < 3]
+        body.insert(2, "".join(f"<p>{draw.choice('abcdef')} {n}</p>" for _ in range(draw.randrange(1, 4))))
+        pages += ["".join(body)] * draw.randrange(1, 4)
+    df = spark.createDataFrame([(i, "http://h.example/", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string").repartition(5)
+    contents = sorted(set(pages))
+    seen = collections.defaultdict(list)
+    for n, page in enumerate(contents):
+        blocks = html.blocks_of(page)
+        for i, (path, _, _, text) in enumerate(blocks):
+            for t, is_text in ((html.token(path, ""), False), (html.token(path, text), True)):
+                seen[t, is_text].append((n, (i + 0.5) / len(blocks)))
+    rows = []
+    for (t, is_text), places in seen.items():
+        counts = collections.Counter(n for n, _ in places)
+        firsts = {}
+        for n, place in places:
+            firsts.setdefault(n, place)
+        if len(counts) >= max(3, len(contents) / 2):
+            rows.append((t, is_text, len(counts), len(contents), sum(firsts.values()) / len(firsts), tuple(sorted(counts.items()))))
+    import pandas as pd
+
+    table = pd.DataFrame(rows, columns=["token", "is_text", "pages", "host_pages", "place", "vector"])
+    want = set(html.nested_template(table))
+    assert {t for r in html.templates(df).collect() for t in r["template"]} == want and want
+
+
 # --- vectors ----------------------------------------------------------------------------------------------------------
 
 
