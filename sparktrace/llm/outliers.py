@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -42,7 +43,8 @@ FEWEST = 12
 #: Rows within this quantile count in the reweighting step.
 REWEIGHT = 0.975
 CUTOFF = 0.9999
-STEPS = 12
+#: A group whose log determinant falls by less than this part of it stands still.
+LEAST_FALL = 1e-6
 _SPACE = ASCII_SPACE.encode()
 _DIM = len(STATISTICS)
 
@@ -142,8 +144,12 @@ def consistency_of(share: float) -> float:
     return share / chi_square_share(chi_square_quantile(share, _DIM), _DIM + 2) if share < 1 else 1.0
 
 
-def estimates(points: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(judged, centre, factor, volume) by concentration steps. ``points``: judged, x0, x1, ..."""
+def estimates(points: DataFrame) -> DataFrame:
+    """(judged, centre, factor, volume) by concentration steps. ``points``: judged, x0, x1, ...
+
+    Each group steps until its own determinant falls no more and then leaves; there is no limit of steps, since determinants
+    are bounded from below by the floors.
+    """
     xs = [f"x{i}" for i in range(_DIM)]
     floors = [f * f for f in FLOORS]
     # Hundredths of a group that are its nearest h rows: from 50 for large groups to 100.
@@ -184,16 +190,20 @@ def estimates(points: DataFrame, steps: int = STEPS) -> DataFrame:
             F.array(*(factor * F.col(f"c{max(i, j)}_{min(i, j)}") + (floors[i] if i == j else 0.0) for i in range(_DIM) for j in range(_DIM))).alias("covariance"),
         ))
 
-    now, before = with_factor(start), None
-    for _ in range(steps):
+    now, settled, first = with_factor(start), [], True
+    while True:
         placed = distances(now)
         borders = placed.groupBy("judged").agg(F.percentile_approx("d", shares, 10_000).alias("borders"))
         borders = borders.join(sizes, "judged").select("judged", "h", F.element_at("borders", F.col("h") + 1).alias("border"))
-        now = shape_of(placed.join(borders, "judged").filter("d <= border"), consistency)
-        volume = now.agg(F.sum("volume")).first()[0]
-        if before is not None and volume >= before - 1e-6 * abs(before):
+        after = shape_of(placed.join(borders, "judged").filter("d <= border"), consistency)
+        # The start is no estimate of the same kind, so every group makes a second step.
+        falls = F.lit(True) if first else F.col("volume") < F.col("old") - LEAST_FALL * F.abs("old")
+        after = cut(after.join(now.select("judged", F.col("volume").alias("old")), "judged").withColumn("falls", falls))
+        settled.append(after.filter("NOT falls").drop("old", "falls"))
+        now, first = after.filter("falls").drop("old", "falls"), False
+        if now.isEmpty():
             break
-        before = volume
+    now = reduce(DataFrame.unionByName, settled)
     within = chi_square_quantile(REWEIGHT, _DIM)
     return shape_of(distances(now).filter(F.col("d") <= within).withColumn("h", F.lit(0)), F.lit(consistency_of(REWEIGHT)))
 
