@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktrace.llm.common import Remembered, pairs
+from sparktrace.llm.common import Remembered, fresh, pairs
 
 STATES = 30_000
 REMEMBERED = 400_000
@@ -298,6 +298,7 @@ def _machine(path: str) -> Utf8Machine:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """The rows with their token ids (array of int) in place of the text column; no special tokens."""
     name = _ship(docs, ranks_path)
+    (ids,) = fresh(docs.drop(text), ids)
     kept = [f for f in docs.schema.fields if f.name != text]
     schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
 
@@ -317,6 +318,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """The rows with the decoded text added; a null list decodes to the empty text."""
     name = _ship(encoded, ranks_path)
+    (text,) = fresh(encoded, text)
     schema = T.StructType([*encoded.schema.fields, T.StructField(text, T.StringType(), False)])
 
     def run(batches):

@@ -33,6 +33,8 @@ LONGEST = 5
 UNKNOWN = "und"
 SMOOTHING = 0.5
 REMEMBERED = 150_000
+#: Unknown words of more letters are scored each time.
+LONG = 64
 
 words_of = regex.compile(r"\p{L}+").findall
 
@@ -99,6 +101,12 @@ class Scorer:
         total = np.zeros(len(self.model.langs))
         for at in range(0, len(words), 50_000):
             some = words[at : at + 50_000]
+            if max(map(len, some)) > LONG:  # a script without blanks gives words of any length: they are not remembered
+                for word in some:
+                    if len(word) > LONG:
+                        known = self.rows.get(word)
+                        total += self.backed_off(word) if known is None else self.scores[known]
+                some = [word for word in some if len(word) <= LONG]
             for _ in range(2):
                 try:
                     rows = list(map(self.rows.__getitem__, some))

@@ -212,6 +212,15 @@ def test_quality_on_labels(spark, sf_dir, none):
     assert sorted((r["doc_id"], r["kept"], r["perplexity"]) for r in quality.judge(odd, ids).collect()) == [(0, True, None), (1, True, None)]
 
 
+def test_quality_keeps_columns_with_its_own_names(spark):
+    texts = ["the cat sat on the mat"] * 3 + ["xq zz kk"]
+    docs = spark.createDataFrame([(i, t, "en", i, "l", "t", 7, 8) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, _log int, _lang string, trusted string, kept int, perplexity int")
+    made = quality.judge(docs, docs.filter("doc_id < 2").select("doc_id"))
+    assert made.columns == ["doc_id", "lang", "_log", "_lang", "trusted", "kept", "perplexity", "_trusted", "_perplexity", "_kept"]
+    row = made.filter("doc_id = 1").first()
+    assert (row["_log"], row["_lang"], row["trusted"], row["kept"], row["perplexity"], row["_trusted"]) == (1, "l", "t", 7, 8, True)
+
+
 # --- outliers ---------------------------------------------------------------------------------------------------------
 
 

@@ -193,6 +193,14 @@ def test_language_of_odd_rows(spark, odd, none):
     assert langid.identify(none, model).count() == 0
 
 
+def test_long_words_are_scored_but_not_remembered():
+    model = langid.Model(["a", "b"], [("x" * 80, 9, 1), ("no", 1, 9)], [("xx", 5, 1), ("yy", 1, 5), ("x", 2, 1), ("y", 1, 2)])
+    scorer = langid.Scorer(model)
+    known = len(scorer.rows)
+    assert scorer.predict("y" * 300_000)[0] == "b" and scorer.predict("x" * 100 + " " + "x" * 80)[0] == "a"
+    assert len(scorer.rows) == known
+
+
 def test_language_memory_starts_anew(monkeypatch):
     monkeypatch.setattr(langid, "REMEMBERED", 40)
     model = langid.Model(["en", "fr"], [("the", 5, 0), ("le", 0, 5)], [("c", 3, 1), ("a", 1, 3)])
@@ -234,6 +242,13 @@ def test_bpe_of_a_mark_and_every_word(ranks, mark):
         assert np.frombuffer(mine.encode(text), dtype="<i4").tolist() == theirs.encode_ordinary(text), text
 
 
+def test_bpe_names_that_are_taken(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = spark.createDataFrame([(1, "a b", 5, "d")], "doc_id bigint, text string, ids int, decoded string")
+    made = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path, ids="_ids")
+    assert made.columns == ["doc_id", "ids", "decoded", "_ids", "_decoded"] and made.first()["_decoded"] == "a b"
+
+
 def test_decoding_in_any_cuts(ranks):
     machine = bpe.Utf8Machine({r: t for t, r in ranks.items()})
     ids = [ranks[bytes([b])] for b in "é日😀x".encode()]
