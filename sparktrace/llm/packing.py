@@ -33,12 +33,14 @@ CAPACITY = 4096
 END = 1
 #: A bin that lacks less than this part of the capacity is nearly full.
 NEARLY = 1 / 256
-REMEMBERED = 150_000
+REMEMBERED = 200_000
 MARKS = {".", ",", ";", ":", "!", "?"}
 
 #: A mark that ends a part, after a letter (but the one whose lower case ends with a combining sign) or number.
 _LAST_MARK = re.compile(r"(?<=[^\W_\u0130])([.,;:!?])(?= |$)")
 
+#: Letters of the first 256 characters in lower case.
+_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A or 0xC0 <= b <= 0xDE and b != 0xD7 else b for b in range(256))
 #: Words of letters that no normalisation changes, which are one piece.
 _WORD = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 #: The byte-level alphabet: printable bytes stand for themselves, the others for the characters from U+0100 on, in order.
@@ -78,9 +80,14 @@ class WordIds(Remembered):
         return super().__missing__(part)
 
     def encode(self, text: str) -> bytes:
-        lowered = text.encode().lower().decode()
         # Letters may be lower-cased early where the vocabulary's composition of characters has nothing to do before and after.
-        if is_normalized("NFC", text) and is_normalized("NFC", lowered):
+        try:
+            lowered = text.encode("latin-1").translate(_LOWER).decode("latin-1")  # characters up to U+00FF are never composed
+        except UnicodeEncodeError:
+            lowered = text.encode().lower().decode()
+            if not (is_normalized("NFC", text) and is_normalized("NFC", lowered)):
+                lowered = None
+        if lowered is not None:
             text = _LAST_MARK.sub(r" \1", lowered.replace("\n", " "))
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 

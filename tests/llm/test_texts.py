@@ -160,7 +160,7 @@ def test_best_fit_of_counts_is_best_fit(capacity):
         assert sorted(fill.values()) == sorted(packing.best_fit(lengths, capacity)[2].tolist())
 
 
-@pytest.mark.parametrize("text", ["ADANA\u0130.", "\u0130. \u0130, \u0130!", "H\u0331 H\u0331. x", "\u0391\u03a3. \u03a3", "A\u0301B. E\u0301", "It's, A.B. c?! d", "\u2167. \ufb01; \u212a.", "x\n.\ty.", "..."])
+@pytest.mark.parametrize("text", ["ADANA\u0130.", "\u0130. \u0130, \u0130!", "H\u0331 H\u0331. x", "\u0391\u03a3. \u03a3", "A\u0301B. E\u0301", "It's, A.B. c?! d", "\u2167. \ufb01; \u212a.", "x\n.\ty.", "...", "".join(map(chr, range(1, 0x250))), " ".join(map(chr, range(0xA0, 0x100))) + " A\u00c9\u00d7\u00de. \u00df\u00aa\u00ba\u00b5,"])
 def test_word_ids_equal_library(text):
     path = public_tokenizers.path("word_bpe_49k.json")
     assert np.frombuffer(packing.WordIds(path).encode(text), dtype="<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
