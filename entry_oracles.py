@@ -515,7 +515,7 @@ FROM degree_c d JOIN paths p ON p.node = d.node JOIN pagerank r ON r.node = d.no
         pagerank_ctes(), path_ctes(),
     ),
     "run_communities": on_runs(
-        "SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS moves, CAST(0 AS BIGINT) AS mergers, true AS same, true AS good FROM nodes"
+        "SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS moves, CAST(0 AS BIGINT) AS mergers, true AS same FROM nodes"
     ),
     "betweenness": on_graph(f"SELECT node, {rounded('cent_betweenness', 6)} AS cent_betweenness FROM paths", path_ctes()),
     "closeness": on_graph(f"SELECT node, {rounded('cent_closeness', 6)} AS cent_closeness FROM paths", path_ctes()),

@@ -432,7 +432,7 @@ def run_communities(spark, sf_dir):
         found.groupBy("run").agg(F.count("*").alias("nodes"), F.min("community").alias("first"))
         .join(gains.groupBy("run").agg(F.count_if(F.col("gain") > 1e-6).alias("moves")), "run")
         .join(mergers.groupBy("run").agg(F.count_if(F.col("gain") > 1e-6).alias("mergers")), "run")
-        .join(quality.select("run", (F.abs(F.col("again") - F.col("modularity")) < 1e-9).alias("same"), (F.col("modularity") > 0.5).alias("good")), "run")
+        .join(quality.select("run", (F.abs(F.col("again") - F.col("modularity")) < 1e-9).alias("same")), "run")
     )
 
 
