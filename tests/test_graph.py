@@ -180,3 +180,35 @@ def test_bad_graphs_carry_their_reason(spark, triangles):
     assert list(found) == ["good"] and set(skipped) == set(graphs) - {"good"}
     assert skipped["empty"] == "the graph has no edges" and "lack a node" in skipped["unnamed"]
     assert detect_all({"empty": triangles.limit(0)}) == ({}, {"empty": "the graph has no edges"})
+
+
+@pytest.mark.parametrize("measure", ["path_centralities", "closeness"])
+def test_rounds_do_not_follow_the_diameter(spark, measure):
+    """A chain of 200 nodes has 199 levels; the number of Spark jobs does not depend on them."""
+    chain = spark.range(199).selectExpr("id AS src", "id + 1 AS dst")
+    context = spark.sparkContext
+    context.setJobGroup(f"chain {measure}", "")
+    try:
+        found = {r["node"]: r for r in getattr(graph, measure)(chain).collect()}
+        jobs = len(context.statusTracker().getJobIdsForGroup(f"chain {measure}"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 60
+    for i in (0, 1, 70, 199):
+        steps = i * (i + 1) / 2 + (199 - i) * (200 - i) / 2
+        assert found[i]["cent_closeness"] == pytest.approx(199 / steps)
+        if measure == "path_centralities":
+            assert found[i]["cent_betweenness"] == pytest.approx(2 * i * (199 - i) / (199 * 198))
+
+
+def test_searches_in_tasks_equal_searches_by_joins(spark):
+    """Two runs, repeated and reversed edges (paths of their own), a loop, parts that do not meet, a node without edges."""
+    pairs = [("x", f"n{i}", f"n{(i * i + 3) % 90}") for i in range(90)] + [("y", f"n{i}", f"n{(i + 7) % 30}") for i in range(30)]
+    pairs += [("x", "n5", "n6"), ("x", "n6", "n5"), ("x", "n5", "n6"), ("y", "n3", "n3")]
+    edges = spark.createDataFrame(pairs, "run string, src string, dst string")
+    nodes = spark.createDataFrame([("x", "alone"), ("y", "n1")], "run string, node string")
+    for measure in (graph.path_centralities, graph.closeness):
+        one, two = ({(r["run"], r["node"]): r[2:] for r in measure(edges, nodes=nodes, batches=b).collect()} for b in (None, 2))
+        assert one.keys() == two.keys()
+        for key in one:
+            assert one[key] == pytest.approx(two[key], abs=1e-12)
