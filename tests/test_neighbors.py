@@ -117,3 +117,21 @@ def test_thresholded_distance_equals_distance(points):
     )
     assert both.filter("dist <= limit AND NOT (within <=> dist)").count() == 0
     assert both.filter("dist > limit + 0.001 AND within IS NOT NULL").count() == 0
+
+
+def test_vectors_are_compared_block_with_block(spark, monkeypatch):
+    """Without structure rings exclude nothing, so vectors are not dealt to them; ties, copies, other lengths and missing numbers."""
+    def dealt(*_):
+        raise AssertionError("vectors were dealt to rings")
+
+    monkeypatch.setattr(neighbors, "_cells", dealt)
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 9)
+    rows = [(i, [float(i * 7 % 13 % 5), float(i * i % 4), float(i % 3)]) for i in range(120)] + [(i, [float(i), 1.0]) for i in range(120, 130)]
+    points = neighbors.vector_points(spark.createDataFrame(rows, "id bigint, v array<double>"), "id", "v")
+    metric = neighbors.euclidean_metric()
+    lengths = [points.filter(F.size("vec") == n) for n in (2, 3)]
+    odd = neighbors.vector_points(spark.createDataFrame([(900, None), (901, [1.0, None, 0.0]), (902, [float("nan"), 1.0, 1.0])], "id bigint, v array<double>"), "id", "v")
+    found = neighbors.knn(points.unionByName(odd), metric, 4)
+    same(found, brute(lengths[0], metric, 4).unionByName(brute(lengths[1], metric, 4)))
+    pairs = neighbors.all_pairs(neighbors.radius_join(points.unionByName(odd), metric, 1.5)).collect()
+    assert sorted(map(tuple, pairs)) == sorted(x for part in lengths for x in brute_pairs(part, metric, 1.5))
