@@ -135,3 +135,18 @@ def test_vectors_are_compared_block_with_block(spark, monkeypatch):
     same(found, brute(lengths[0], metric, 4).unionByName(brute(lengths[1], metric, 4)))
     pairs = neighbors.all_pairs(neighbors.radius_join(points.unionByName(odd), metric, 1.5)).collect()
     assert sorted(map(tuple, pairs)) == sorted(x for part in lengths for x in brute_pairs(part, metric, 1.5))
+
+
+def test_coordinates_alone_exclude(spark, points, monkeypatch):
+    """Where seconds outweigh edits, pivots are not measured by edit distance; ties, copies, split cells, a case without times."""
+    def dealt(*_):
+        raise AssertionError("edit distances to pivots")
+
+    monkeypatch.setattr(neighbors, "_cells", dealt)
+    monkeypatch.setattr(neighbors, "UNIT", 6)
+    metric = neighbors.mixed_metric(1, 2, 0.5)
+    untimed = points.limit(1).withColumns({"id": F.lit("untimed"), "time": F.transform("time", lambda x: F.lit(None).cast("double"))})
+    found = neighbors.knn(points.unionByName(untimed), metric, 4, pivots=5)
+    same(found, brute(points, metric, 4))
+    near = neighbors.radius_join(points.unionByName(untimed), metric, 90.0, pivots=5)
+    assert sorted(map(tuple, neighbors.all_pairs(near).collect())) == brute_pairs(points, metric, 90.0)
