@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.minhash import PERMUTATIONS, minhash, token
+from ..functions.mixed import Batch, Centers, nearest
 from ..functions.numbers import cell_edit_distance, euclid, round_half_even
 from ..functions.timefeatures import TIME_FEATURES
-from ..session import cut
+from ..session import cut, spread
 from .neighbors import scale_time
 
 DIGITS = 6
@@ -119,54 +123,102 @@ class Sweep:
     moving: list[int]  # numbers of clusters whose centroids still moved when the rounds ended
 
 
-def assign_all(points: DataFrame, centroids: dict[int, list[Centroid]]) -> DataFrame:
-    """Add ``picks``: for every number of clusters k the nearest of its centroids, as (dist, cluster, k); the lowest number wins ties."""
-    listed = [(k, [(c.cluster, c.cells, c.num) for c in some]) for k, some in sorted(centroids.items())]
-    table = points.sparkSession.createDataFrame(listed, f"k int, centroids array<struct<{_CENTROID}>>")
-    here = F.struct("cells", "num")
-
-    def pick(of: Column) -> Column:
-        return F.array_min(F.transform(of["centroids"], lambda c: F.struct(mixed_distance(here, c).alias("dist"), c["cluster"].alias("cluster"), of["k"].alias("k"))))
+def _assign(batch: pa.RecordBatch, centroids: dict[int, list[Centroid]], centers: Centers) -> Iterator[tuple[int, Batch, np.ndarray, np.ndarray, np.ndarray]]:
+    """For every k the points of a batch with the place of their nearest centroid, its distance, and where that is missing."""
+    points = Batch.of(batch.column("cells"), batch.column("num"), len(TIME_FEATURES))
+    dist, none = centers.distances(points, DIGITS)
+    at, rows = 0, np.arange(len(dist))
+    for k, some in sorted(centroids.items()):
+        best = nearest(dist[:, at : at + len(some)], none[:, at : at + len(some)])
+        yield k, points, best, dist[rows, at + best], none[rows, at + best]
+        at += len(some)
 
-    open_ = table.agg(F.collect_list(F.struct("k", "centroids"))).scalar()
-    return points.withColumn("open", open_).withColumn("picks", F.transform("open", pick)).drop("open")
 
+def _centers(centroids: dict[int, list[Centroid]]) -> Centers:
+    listed = [c for _, some in sorted(centroids.items()) for c in some]
+    return Centers([c.cells for c in listed], [c.num for c in listed], len(TIME_FEATURES))
 
-def update_all(picked: DataFrame, sizes: list[int]) -> dict[int, list[Centroid | None]]:
-    """New centroids of every k in ``sizes`` from an assignment of them all, ``None`` where a cluster has no member.
 
-    One aggregation is keyed by k, cluster, cell and value, with the numbers' sums as a cell of their own (-1); the next ones
-    take the most common value of a cell and gather a cluster's cells. Only the centroids are collected.
+def assign_all(points: DataFrame, centroids: dict[int, list[Centroid]]) -> DataFrame:
+    """(k, case_id, cluster, dist): for every number of clusters k the nearest of its centroids; the lowest number wins ties."""
+    schema = T.StructType([T.StructField("k", T.IntegerType()), points.schema["case_id"], T.StructField("cluster", T.IntegerType()), T.StructField("dist", T.DoubleType())])
+
+    def run(batches):
+        centers = _centers(centroids)
+        for batch in batches:
+            for k, _, best, dist, none in _assign(batch, centroids, centers):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(best), k, dtype=np.int32)), batch.column("case_id"), pa.array(best.astype(np.int32)), pa.array(dist, mask=none)], names=schema.names
+                )
+
+    return points.select("case_id", "cells", "num").mapInArrow(run, schema)
+
+
+_TALLY = "k int, cluster int, pos bigint, n int, count bigint, total double"
+
+
+def _tallies(points: DataFrame, centroids: dict[int, list[Centroid]]) -> DataFrame:
+    """Each point is assigned for every k; of every batch come the counts by k, cluster, cell and value. The sums of the numbers are
+    the totals of cells of their own (-1, -2, ...)."""
+    dims = len(TIME_FEATURES)
+
+    def run(batches):
+        centers = _centers(centroids)
+        for batch in batches:
+            for k, points, best, _, _ in _assign(batch, centroids, centers):
+                codes, size = max(1, len(points.pos)), len(centroids[k])
+                table = np.bincount(np.repeat(best, np.diff(points.begin)) * codes + points.code, minlength=size * codes)
+                filled = np.flatnonzero(table)
+                members = np.bincount(best[~points.unknown], minlength=size)
+                found = np.flatnonzero(members)
+                have = ~points.lacks & ~points.unknown[:, None]
+                sums = [np.bincount(best, np.where(have[:, i], points.num[:, i], 0.0), minlength=size)[found] for i in range(dims)]
+                none = [np.bincount(best[have[:, i]], minlength=size)[found] == 0 for i in range(dims)]
+                columns = (
+                    np.full(len(filled) + dims * len(found), k),
+                    np.concatenate([filled // codes, np.tile(found, dims)]),
+                    np.concatenate([points.pos[filled % codes], -1 - np.repeat(np.arange(dims), len(found))]),
+                    np.concatenate([points.n[filled % codes], np.zeros(dims * len(found), dtype=np.int64)]),
+                    np.concatenate([table[filled], np.tile(members[found], dims)]),
+                )
+                totals = pa.array(np.concatenate([np.zeros(len(filled)), *sums]), mask=np.concatenate([np.ones(len(filled), dtype=bool), *none]))
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c).cast(t) for c, t in zip(columns, kinds)), totals], names=["k", "cluster", "pos", "n", "count", "total"])
+
+    return points.select("cells", "num").mapInArrow(run, _TALLY)
+
+
+def update_all(tallies: DataFrame, sizes: list[int]) -> dict[int, list[Centroid | None]]:
+    """New centroids of every k in ``sizes`` from the tallies of an assignment of them all, ``None`` where a cluster has no member.
+
+    Tallies are added up by k, cluster, cell and value, of each cell the most common value is taken, and a cluster's cells are
+    gathered. Only the centroids are collected.
     """
-    dims = range(len(TIME_FEATURES))
-    number = F.named_struct(F.lit("pos"), F.lit(-1).cast("bigint"), F.lit("n"), F.lit(0))
-    cells = F.transform(F.map_entries("cells"), lambda e: F.named_struct(F.lit("pos"), e["key"].cast("bigint"), F.lit("n"), e["value"]))
-    rows = picked.select("num", F.explode("picks").alias("pick"), F.concat(cells, F.array(number)).alias("cells"))
-    rows = rows.select("num", "pick.k", "pick.cluster", F.explode("cells").alias("cell")).select("num", "k", "cluster", "cell.pos", "cell.n")
-    numbers = F.col("pos") == -1
-    counted = rows.groupBy("k", "cluster", "pos", "n").agg(
-        F.count("*").alias("count"), F.array(*[F.sum(F.when(numbers, F.col("num")[i])) for i in dims]).alias("sums")
-    )
+    dims = len(TIME_FEATURES)
+    counted = tallies.repartition("k", "cluster", "pos").groupBy("k", "cluster", "pos", "n").agg(F.sum("count").alias("count"), F.sum("total").alias("total"))
     topped = counted.groupBy("k", "cluster", "pos").agg(
-        F.min(F.struct((-F.col("count")).alias("order"), "n")).alias("top"), F.sum("count").alias("filled"), F.first("sums").alias("sums")
+        F.min(F.struct((-F.col("count")).alias("order"), "n")).alias("top"), F.sum("count").alias("filled"), F.first("total").alias("total")
     )
-    mode = F.struct("pos", F.col("top.n").alias("n"), (-F.col("top.order")).alias("most"), "filled")
     gathered = topped.groupBy("k", "cluster").agg(
-        F.max(F.when(numbers, F.col("filled"))).alias("members"), F.max(F.when(numbers, F.col("sums"))).alias("sums"),
-        F.collect_list(F.when(~numbers, mode)).alias("modes"),
+        F.max(F.when(F.col("pos") == -1, F.col("filled"))).alias("members"), F.collect_list(F.struct("pos", "top.n", (-F.col("top.order")).alias("most"), "filled", "total")).alias("modes")
     )
     # A cell that is zero for as many members is zero in the centroid.
-    stay = F.filter("modes", lambda m: m["most"] > F.col("members") - m["filled"])
-    means = F.array(*[round_half_even(F.col("sums")[i] / F.col("members"), 9) for i in dims])
+    stay = F.filter("modes", lambda m: (m["pos"] < 0) | (m["most"] > F.col("members") - m["filled"]))
     found: dict[int, list[Centroid | None]] = {k: [None] * k for k in sizes}
-    for row in gathered.select("k", "cluster", stay.alias("cells"), means.alias("num")).collect():
-        found[row["k"]][row["cluster"]] = Centroid(row["cluster"], {m["pos"]: m["n"] for m in row["cells"]}, list(row["num"]))
+    for row in gathered.select("k", "cluster", "members", stay.alias("modes")).collect():
+        totals = {-1 - m["pos"]: m["total"] for m in row["modes"] if m["pos"] < 0}
+        means = [None if totals[i] is None else float(np.rint(totals[i] / row["members"] * 1e9) / 1e9 + 0.0) for i in range(dims)]
+        found[row["k"]][row["cluster"]] = Centroid(row["cluster"], {m["pos"]: m["n"] for m in row["modes"] if m["pos"] >= 0}, means)
     return found
 
 
 def update_centroids(assigned: DataFrame, k: int) -> list[Centroid | None]:
     """New centroids from an assignment to ``k`` clusters; ``None`` where a cluster has no member."""
-    return update_all(assigned.withColumn("picks", F.array(F.struct(F.lit(k).alias("k"), "cluster"))), [k])[k]
+    missing = F.lit(None).cast("double")
+    cells = F.transform(F.map_entries("cells"), lambda e: F.struct(e["key"].cast("bigint").alias("pos"), e["value"].alias("n"), missing.alias("total")))
+    numbers = [F.struct(F.lit(-1 - i).cast("bigint").alias("pos"), F.lit(0).alias("n"), F.col("num")[i].alias("total")) for i in range(len(TIME_FEATURES))]
+    rows = assigned.select("cluster", F.explode(F.concat(cells, F.array(*numbers))).alias("cell"))
+    return update_all(rows.select(F.lit(k).alias("k"), "cluster", "cell.*", F.lit(1).alias("count")), [k])[k]
 
 
 def _redrawn(points: DataFrame, draws: dict[tuple[int, int], int], seed: int) -> dict[tuple[int, int], Centroid]:
@@ -179,18 +231,18 @@ def _redrawn(points: DataFrame, draws: dict[tuple[int, int], int], seed: int) ->
 def sweep_kprototypes(points: DataFrame, sizes: list[int], seed: int = 0, max_rounds: int = MAX_ROUNDS) -> Sweep:
     """Cluster mixed points into every number of clusters in ``sizes`` at once.
 
-    All advance in one loop: a round assigns the points to the centroids of every open k in one pass and updates them in one
-    aggregation; a k whose centroids stand still leaves. Each k goes the way it would go alone. Only centroids pass from
+    All advance in one loop: a round assigns the points to the centroids of every open k in one pass, in numpy, and updates them in
+    one aggregation of the batches' counts and sums; a k whose centroids stand still leaves. Each k goes the way it would go alone. Only centroids pass from
     round to round, so plans do not grow. What still moves after ``max_rounds`` is reported.
     """
-    points = cut(points)
+    points = cut(spread(points))
     first = sample_centroids(points, max(sizes), seed)
     if len(first) < max(sizes):
         raise ValueError(f"{max(sizes)} clusters need at least {max(sizes)} cases")
     open_ = {k: first[:k] for k in sizes}
     done, rounds = {}, dict.fromkeys(sizes, 0)
     for number in range(1, max_rounds + 1):
-        fresh = update_all(assign_all(points, open_), list(open_))
+        fresh = update_all(_tallies(points, open_), list(open_))
         empty = {(k, i): number * k + i for k, some in fresh.items() for i, c in enumerate(some) if c is None}
         if empty:
             for (k, i), centroid in _redrawn(points, empty, seed).items():
@@ -203,8 +255,7 @@ def sweep_kprototypes(points: DataFrame, sizes: list[int], seed: int = 0, max_ro
     if open_:
         warnings.warn(f"centroids of {sorted(open_)} clusters still moved after {max_rounds} rounds", stacklevel=2)
     centroids = {k: (done | open_)[k] for k in sizes}
-    clustered = assign_all(points, centroids).select("case_id", F.explode("picks").alias("pick"))
-    return Sweep(cut(clustered.select("pick.k", "case_id", "pick.cluster", "pick.dist")), centroids, rounds, sorted(open_))
+    return Sweep(cut(assign_all(points, centroids)), centroids, rounds, sorted(open_))
 
 
 def kprototypes(

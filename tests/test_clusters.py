@@ -117,3 +117,16 @@ def test_empty_cluster_is_reseeded(spark):
     assert clustered.count() == 10
     far = {r["case_id"]: r["cluster"] for r in clustered.collect()}
     assert far["9"] != far["0"]
+
+
+def test_rounds_in_numpy_give_the_numbers_of_the_expressions(spark):
+    """Values of several digits, cells that no centroid has, points without cells or numbers, equal distances."""
+    rows = [(str(i), {j: (i * 7 + j * 13) % 120 for j in range(i % 5, 9)}, [((i * 31 + d * 17) % 23) / 7.0 - 1.5 for d in range(10)]) for i in range(60)]
+    rows += [("none", {}, [0.0] * 10), ("far", {9_000_000_000: 12}, [1e6] * 10), ("unknown", {1: 1}, [None] + [0.0] * 9), (None, {1: 1}, [0.0] * 10), ("gone", None, [0.0] * 10)]
+    points = spark.createDataFrame(rows, "case_id string, cells map<bigint,int>, num array<double>")
+    centroids = [clustering.Centroid(i, rows[at][1], rows[at][2]) for i, at in enumerate((0, 7, 7, 33))]
+    expected = clustering.assign_clusters(points, centroids).select("case_id", "cluster", "dist")
+    found = clustering.assign_all(points, {4: centroids}).drop("k")
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, expected.collect()))
+    made = clustering.update_all(clustering._tallies(points, {4: centroids}), [4])[4]
+    assert made == clustering.update_centroids(expected.join(points, expected["case_id"].eqNullSafe(points["case_id"])).drop("case_id"), 4)
