@@ -1,7 +1,9 @@
-"""MinHash signatures as array expressions."""
+"""MinHash signatures."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,15 +30,30 @@ def token(pos: Column, value: Column) -> Column:
 
 
 def minhash(tokens: Column, permutations: int = PERMUTATIONS, seed: int = 1) -> Column:
-    """Array with the minimum of every permutation over the token set."""
-    family = F.array(
-        *[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b"))
-          for a, b in coefficients(permutations, seed)]
-    )
-    return F.transform(
-        family,
-        lambda h: F.array_min(F.transform(tokens, lambda t: F.pmod(h["a"] * t + h["b"], F.lit(PRIME)))),
-    )
+    """Array with the minimum of every permutation over the token set; missing numbers where there is no token.
+
+    Numpy hashes the different tokens of a batch, then takes the least of every row.
+    """
+    a, b = np.array(coefficients(permutations, seed), dtype=np.int64).reshape(permutations, 2).T
+
+    def signed(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten()
+        present = ~flat.is_null().to_numpy(zero_copy_only=False)
+        sizes = np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(lists)), sizes)[present]
+        some, at = np.unique(flat.drop_null().to_numpy(zero_copy_only=False).astype(np.int64), return_inverse=True)
+        counts = np.bincount(row, minlength=len(lists))
+        full, ends = np.flatnonzero(counts), np.cumsum(counts)
+        made = np.zeros((len(lists), permutations), dtype=np.int64)
+        for i in range(permutations):
+            # Products stay below 2**62.
+            hashed = (a[i] * (some % PRIME) + b[i]) % PRIME
+            if len(full):
+                made[full, i] = np.minimum.reduceat(hashed[at], (ends - counts)[full])
+        values = pa.array(made.ravel(), mask=np.repeat(counts == 0, permutations))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * permutations), values)
+
+    return F.arrow_udf(signed, "array<bigint>")(tokens)
 
 
 def signature_similarity(left: Column, right: Column) -> Column:

@@ -23,6 +23,11 @@ DIGITS = 6
 MAX_ROUNDS = 200
 # Candidates whose exact distance sums are computed per round and cluster.
 MEDOID_BATCH = 32
+# Members of a cluster around which its members are gathered to bound distance sums, and of all clusters together.
+MEDOID_PLACES = 1000
+ALL_PLACES = 20_000
+# Counts of signature values that go to every task; more are joined.
+SHIPPED_VALUES = 1_000_000
 
 _CENTROID = "cluster: int, cells: map<bigint,int>, num: array<double>"
 
@@ -286,13 +291,145 @@ def signatures(points: DataFrame, size: int, tokens: str = "cell", permutations:
 def similarity_sums(signed: DataFrame) -> DataFrame:
     """(case_id, matches): per case the number of equal signature positions, summed over its cluster, itself included.
 
-    Counting the values of each position replaces comparing the members with each other.
+    Counting the values of each position replaces comparing the members with each other. Values are counted in each batch first; at
+    most ``SHIPPED_VALUES`` counts go to every task, more are joined.
     """
-    rows = signed.select("case_id", "cluster", F.posexplode("sig").alias("at", "value"))
-    counts = rows.groupBy("cluster", "at", "value").agg(F.count("*").alias("count"))
-    return (
-        rows.join(counts, ["cluster", "at", "value"]).groupBy("case_id").agg(F.sum("count").alias("matches"))
-    )
+    schema = f"cluster {dict(signed.dtypes)['cluster']}, at int, value bigint, count bigint"
+    own = signed.filter(F.col("cluster").isNotNull())
+
+    def count(batches):
+        for batch in batches:
+            found = [(cluster, at, value, some) for cluster, at, value, some, _, _ in _by_position(batch)]
+            if found:
+                clusters, places, values, counts = zip(*found)
+                sizes = [len(v) for v in values]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(clusters, sizes)).cast(batch.schema.field("cluster").type), pa.array(np.repeat(places, sizes).astype(np.int32)),
+                        pa.array(np.concatenate(values)), pa.array(np.concatenate(counts)),
+                    ],
+                    names=["cluster", "at", "value", "count"],
+                )
+
+    counts = cut(own.select("cluster", "sig").mapInArrow(count, schema).groupBy("cluster", "at", "value").agg(F.sum("count").alias("count")))
+    if counts.count() > SHIPPED_VALUES:
+        rows = own.select("case_id", "cluster", F.posexplode("sig").alias("at", "value"))
+        return rows.join(counts, ["cluster", "at", "value"]).groupBy("case_id").agg(F.sum("count").alias("matches"))
+    known = counts.orderBy("cluster", "at", "value").toArrow()
+    places = [known.column(c).to_pylist() for c in ("cluster", "at")]
+    values, numbers = (known.column(c).to_numpy() for c in ("value", "count"))
+    begins = [i for i in range(len(values)) if not i or any(p[i] != p[i - 1] for p in places)]
+    slices = {(places[0][i], places[1][i]): slice(i, j) for i, j in zip(begins, [*begins[1:], len(values)])}
+    shipped = signed.sparkSession.sparkContext.broadcast((slices, values, numbers))
+
+    def add_up(batches):
+        slices, values, numbers = shipped.value
+        for batch in batches:
+            total = np.zeros(batch.num_rows, dtype=np.int64)
+            for cluster, at, value, _, back, rows in _by_position(batch):
+                here = slices[cluster, at]
+                total[rows] += numbers[here][np.searchsorted(values[here], value)][back]
+            some = pa.array(total > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("case_id").filter(some), pa.array(total).filter(some)], names=["case_id", "matches"])
+
+    schema = T.StructType([signed.schema["case_id"], T.StructField("matches", T.LongType())])
+    return own.select("cluster", "sig", "case_id").mapInArrow(add_up, schema).groupBy("case_id").agg(F.sum("matches").alias("matches"))
+
+
+def _by_position(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """For every cluster and signature position of a batch: the different values, their counts, the place of each row's value, and the rows."""
+    clusters, sigs = batch.column("cluster").to_numpy(zero_copy_only=False), batch.column("sig")
+    for cluster in np.unique(clusters).tolist():
+        rows = np.flatnonzero(clusters == cluster)
+        found = sigs.take(pa.array(rows))
+        flat = found.flatten()
+        table = flat.fill_null(-1).to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        full = table[:, 0] >= 0 if table.shape[1] else np.zeros(len(rows), dtype=bool)
+        if full.any():
+            for at in range(table.shape[1]):
+                value, back, some = np.unique(table[full, at], return_inverse=True, return_counts=True)
+                yield cluster, at, value, some, back, rows[full]
+
+
+def _raised_by_places(members: DataFrame, options: DataFrame, caps: dict[int, float]) -> DataFrame:
+    """The options (cluster, case_id, num, m, apart, low) with their lower bounds raised.
+
+    Some members of each cluster are places, and every member belongs to the nearest. The summed distance of a point to the members of
+    a place is at least their number times the distance to their mean (distance is convex), so these add up to a bound, the closer the
+    narrower the places are. Points times places are compared, inside the rows' batches.
+    """
+    dims = len(TIME_FEATURES)
+    each = max(1, min(MEDOID_PLACES, ALL_PLACES // max(1, len(caps))))
+    drawn = F.row_number().over(Window.partitionBy("cluster").orderBy(*hash_order(0)))
+    listed = members.select("cluster", "case_id", "num").withColumn("rank", drawn).filter(F.col("rank") <= each).collect()
+    places: dict[int, np.ndarray] = {}
+    for cluster in caps:
+        places[cluster] = np.array([r["num"][:dims] for r in listed if r["cluster"] == cluster and _whole(r["num"])], dtype=np.float64).reshape(-1, dims)
+
+    def gather(batches):
+        for batch in batches:
+            for cluster, rows, table in _numbers(batch, dims):
+                if len(places[cluster]):
+                    at = np.concatenate([_apart(part, places[cluster]).argmin(axis=1) for part in _parts(table, len(places[cluster]))])
+                    count = np.bincount(at, minlength=len(places[cluster]))
+                    found = np.flatnonzero(count)
+                    sums = np.stack([np.bincount(at, table[:, i], minlength=len(count))[found] for i in range(dims)], axis=1)
+                    yield pa.RecordBatch.from_pydict(
+                        {"cluster": [cluster] * len(found), "place": found, "count": count[found], "sums": list(sums)}, schema=pa.schema(
+                            [("cluster", batch.schema.field("cluster").type), ("place", pa.int64()), ("count", pa.int64()), ("sums", pa.list_(pa.float64()))]
+                        )
+                    )
+
+    kind = dict(members.dtypes)["cluster"]
+    gathered = members.select("cluster", "num").mapInArrow(gather, f"cluster {kind}, place bigint, count bigint, sums array<double>")
+    total = gathered.groupBy("cluster", "place").agg(F.sum("count").alias("count"), F.array(*[F.sum(F.col("sums")[i]) for i in range(dims)]).alias("sums"))
+    groups: dict[int, list] = {}
+    for row in total.collect():  # at most ALL_PLACES rows
+        groups.setdefault(row["cluster"], []).append((row["count"], [x / row["count"] for x in row["sums"]]))
+    bounds = {c: (np.array([n for n, _ in some], dtype=np.float64), np.array([mean for _, mean in some])) for c, some in groups.items()}
+
+    def raise_(batches):
+        for batch in batches:
+            low = batch.column("low").to_numpy(zero_copy_only=False).copy()
+            apart = batch.column("apart").to_numpy(zero_copy_only=False)
+            for cluster, rows, table in _numbers(batch, dims):
+                if cluster in bounds:
+                    counts, means = bounds[cluster]
+                    far = np.concatenate([np.sqrt(_apart(part, means)) @ counts for part in _parts(table, len(means))])
+                    low[rows] = np.fmax(low[rows], apart[rows] + far)
+            yield batch.set_column(batch.schema.get_field_index("low"), "low", pa.array(low, mask=batch.column("low").is_null().to_numpy(zero_copy_only=False)))
+
+    limits = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])
+    return spread(options.filter(F.col("low") <= limits[F.col("cluster")] + F.col("m") * 1e-5)).mapInArrow(raise_, options.schema)
+
+
+def _whole(num: list[float | None]) -> bool:
+    return all(x is not None and np.isfinite(x) for x in num)
+
+
+def _numbers(batch: pa.RecordBatch, dims: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For every cluster of a batch its rows that have all numbers, with these."""
+    points = Batch.numbers(batch.column("num"), dims)
+    clusters = batch.column("cluster").to_numpy(zero_copy_only=False)
+    for cluster in np.unique(clusters).tolist():
+        rows = np.flatnonzero((clusters == cluster) & np.isfinite(points).all(axis=1))
+        if len(rows):
+            yield cluster, rows, points[rows]
+
+
+def _parts(table: np.ndarray, others: int) -> list[np.ndarray]:
+    """Rows in parts that meet so many others in a bounded table."""
+    step = max(1, 500_000 // others)
+    return [table[i : i + step] for i in range(0, len(table), step)]
+
+
+def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Squared distances, from the differences: no digits are lost among large numbers."""
+    squares = np.zeros((len(left), len(right)))
+    for i in range(left.shape[1]):
+        step = left[:, i, None] - right[None, :, i]
+        squares += step * step
+    return squares
 
 
 def medoids(
@@ -301,9 +438,10 @@ def medoids(
     """Per cluster the case with the smallest summed distance to its members: (cluster, case_id, total).
 
     Distance is one minus the signature similarity plus the Euclidean distance of the (unscaled) numbers. The first
-    part of every sum comes from value counts. For the second, only some candidates are summed over all members, best
-    lower bound first; the triangle inequality turns each exact sum into bounds for the others, and candidates whose
-    bound exceeds the best sum are out. The search ends when none is left, so the result is exact.
+    part of every sum comes from value counts. For the second, members are gathered around some of them, and every candidate has a
+    lower bound from the means and sizes of these groups. Only some candidates are summed over all members, best lower
+    bound first; the triangle inequality turns each exact sum into bounds for the others, and candidates whose bound exceeds the
+    best sum are out. The search ends when none is left, so the result is exact.
     """
     signed = cut(signatures(clustered, size, tokens, permutations))
     stats = signed.groupBy("cluster").agg(
@@ -324,7 +462,7 @@ def medoids(
         .agg(F.min(least + F.col("spread")).alias("cap")).collect()
     }
     best: dict[int, tuple[float, str]] = {}
-    open_ = members.select("cluster", "case_id", "num", "m", "apart", least.alias("low"))
+    open_ = _raised_by_places(members, members.select("cluster", "case_id", "num", "m", "apart", least.alias("low")), caps)
     spark = clustered.sparkSession
     while True:
         limits = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])

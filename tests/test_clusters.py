@@ -130,3 +130,26 @@ def test_rounds_in_numpy_give_the_numbers_of_the_expressions(spark):
     assert sorted(map(repr, found.collect())) == sorted(map(repr, expected.collect()))
     made = clustering.update_all(clustering._tallies(points, {4: centroids}), [4])[4]
     assert made == clustering.update_centroids(expected.join(points, expected["case_id"].eqNullSafe(points["case_id"])).drop("case_id"), 4)
+
+
+def test_few_candidates_of_medoids_are_summed(spark, monkeypatch):
+    """Points spread over a square: without groups around places hundreds of sums come close enough to the best to be worked out."""
+    rows = [(str(i), {0: 1}, [(i * 7919 % 1999) * 10.0, (i * 104729 % 2003) * 10.0] + [0.0] * 8, 0) for i in range(1000)]
+    points = spark.createDataFrame(rows, "case_id string, cells map<bigint,int>, num array<double>, cluster int")
+    written = []
+    cut = clustering.cut
+    monkeypatch.setattr(clustering, "cut", lambda df: written.append(1) or cut(df))
+    monkeypatch.setattr(clustering, "MEDOID_BATCH", 4)
+    totals = [(round(sum(math.dist(a[2], b[2]) for b in rows), 2), a[0]) for a in rows]
+    found = clustering.medoids(points, 1).first()
+    assert found["case_id"] == min(totals)[1]
+    assert len(written) < 16
+
+
+def test_matches_are_the_same_by_join_and_by_shipped_counts(profiled, monkeypatch):
+    size = profiled.alphabet.size
+    clustered = profiled.profiles.withColumn("cluster", (F.col("case_id").cast("int") % 3).cast("int"))
+    signed = clustering.signatures(clustering.cluster_points(clustered, size, scaled=False), size).persist()
+    shipped = sorted(map(tuple, clustering.similarity_sums(signed).collect()))
+    monkeypatch.setattr(clustering, "SHIPPED_VALUES", 0)
+    assert shipped == sorted(map(tuple, clustering.similarity_sums(signed).collect()))
