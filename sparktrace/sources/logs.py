@@ -76,15 +76,18 @@ def write_xes(log: DataFrame, path: str, part_events: int = PART_EVENTS) -> None
     ).write.format("xml").options(rootTag="log", rowTag="trace").save(path)
 
 
-def write_ocel2_json(log: ObjectLog, path: str) -> None:
-    """An object-centric log as OCEL 2.0 JSON, one document per line: an event with its objects, so that lines stay small."""
-    related = log.relations.join(log.objects, "oid").groupBy("eid").agg(
-        F.collect_list(F.struct(F.col("oid").alias("objectId"), "qualifier")).alias("relationships"),
-        F.collect_set(F.struct(F.col("oid").alias("id"), "type")).alias("objects"),
-    )
+def write_ocel2_json(log: ObjectLog, path: str, compression: str = "gzip") -> None:
+    """An object-centric log as OCEL 2.0 JSON, one document per line: an event with its objects, so that lines stay small.
+
+    Parts are compressed (``compression="none"`` for plain text); readers of one document take either. Every relation travels to its
+    event once, with its object's type.
+    """
+    related = log.relations.join(log.objects, "oid").groupBy("eid").agg(F.collect_list(F.struct("oid", "qualifier", "type")).alias("related"))
     time = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-    event = F.struct(F.col("eid").cast("string").alias("id"), F.col("activity").alias("type"), time.alias("time"), F.coalesce("relationships", F.array()).alias("relationships"))
-    log.events.join(related, "eid", "left").select(F.coalesce("objects", F.array()).alias("objects"), F.array(event).alias("events")).write.json(path)
+    relationships = F.transform("related", lambda r: F.struct(r["oid"].alias("objectId"), r["qualifier"].alias("qualifier")))
+    objects = F.array_distinct(F.transform("related", lambda r: F.struct(r["oid"].alias("id"), r["type"].alias("type"))))
+    event = F.struct(F.col("eid").cast("string").alias("id"), F.col("activity").alias("type"), time.alias("time"), F.coalesce(relationships, F.array()).alias("relationships"))
+    log.events.join(related, "eid", "left").select(F.coalesce(objects, F.array()).alias("objects"), F.array(event).alias("events")).write.json(path, compression=compression)
 
 
 def read_ocel2_json(spark: SparkSession, path: str, lines: bool = True) -> ObjectLog:

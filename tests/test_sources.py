@@ -163,3 +163,18 @@ def test_result_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "nodes")).first()["cent_degree"] == "0.1235"
     tables.write_medoids(spark.createDataFrame([(0, "a", 1.0)], "cluster int, case_id string, total double"), str(tmp_path / "m"))
     assert spark.read.option("header", True).csv(str(tmp_path / "m")).columns == ["case", "community"]
+
+
+def test_ocel_json_parts_are_compressed_and_name_an_object_once(spark, tmp_path):
+    events = spark.createDataFrame([("e1", "a", "2024-01-01 00:00:00"), ("e2", "b", "2024-01-02 00:00:00")], "eid string, activity string, at string")
+    events = events.selectExpr("eid", "activity", "CAST(at AS timestamp_ntz) AS ts")
+    objects = spark.createDataFrame([("o1", "x"), ("o2", None)], "oid string, type string")
+    relations = spark.createDataFrame([("e1", "o1", "p"), ("e1", "o1", "q"), ("e1", "o2", None), ("e1", "o1", "p")], "eid string, oid string, qualifier string")
+    logs.write_ocel2_json(logs.ObjectLog(events, objects, relations), str(tmp_path / "log.json"))
+    assert list((tmp_path / "log.json").glob("part-*")) == list((tmp_path / "log.json").glob("part-*.json.gz")) != []
+    found = logs.read_ocel2_json(spark, str(tmp_path / "log.json"))
+    assert sorted(map(repr, found.relations.collect())) == sorted(map(repr, relations.collect()))
+    assert sorted(map(repr, found.objects.collect())) == sorted(map(repr, objects.collect()))
+    assert sorted(r["eid"] for r in found.events.collect()) == ["e1", "e2"]
+    listed = spark.read.json(str(tmp_path / "log.json")).selectExpr("events[0].id AS id", "size(objects) AS n").collect()
+    assert {r["id"]: r["n"] for r in listed} == {"e1": 2, "e2": 0}
