@@ -200,6 +200,53 @@ def test_quality_equals_the_definition(spark):
     assert np.allclose(np.exp(some[[0, 5, 100, 2000]].astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
+def plain_points(texts):
+    """Log probability of an n-gram of characters under the model of the texts, by the definition."""
+    grams = collections.Counter()
+    for t in texts:
+        s = [-1] * (quality.ORDER - 1) + [ord(c) for c in t]
+        grams.update(tuple(s[i : i + quality.ORDER]) for i in range(len(s) - quality.ORDER + 1))
+    levels = [grams]
+    for _ in range(quality.ORDER - 1):
+        levels.insert(0, collections.Counter(g[1:] for g in levels[0]))
+    discounts = []
+    for level in levels:
+        n = [sum(c == k for c in level.values()) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+        discounts.append([min(max((k + 1) - (k + 2) * y * (n[k + 1] / n[k] if n[k] else 0), 0.1), k + 0.9) for k in range(3)])
+
+    def p(gram):
+        if not gram:
+            return 1 / quality.POINTS
+        level, d = levels[len(gram) - 1], discounts[len(gram) - 1]
+        context = [n for g, n in level.items() if g[:-1] == gram[:-1]]
+        if not context:
+            return p(gram[1:])
+        weight = sum(d[min(n, 3) - 1] for n in context) / sum(context)
+        own = max(level[gram] - d[min(level[gram], 3) - 1], 0) / sum(context) if level[gram] else 0
+        return own + weight * p(gram[1:])
+
+    return p
+
+
+@pytest.mark.parametrize("group_bytes", [1, 100, 8_000_000])
+def test_quality_tells_characters_apart(spark, monkeypatch, group_bytes):
+    monkeypatch.setattr(quality, "GROUP_BYTES", group_bytes)
+    texts = ["THE CAT SAT on the mat.", "The hat, the cat!", "a mat and a hat\nthe end", "été là", "été là"]
+    # Capitals, digits and letters four code points apart were one class each.
+    others = ["THE CAT SAT", "QZX KWJ VYV", "été", "íxí", "2024", "1999", "日本\x00😀", "x" * 300]
+    rows = [(i, t, i < len(texts)) for i, t in enumerate([*texts, *others, None, ""])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, sure boolean").repartition(3)
+    found = {r["doc_id"]: r["perplexity"] for r in quality.perplexities(docs, "sure").collect()}
+    p = plain_points(texts)
+    for i, t in enumerate([*texts, *others]):
+        s = [-1] * 3 + [ord(c) for c in t]
+        want = math.exp(-sum(math.log(p(tuple(s[j : j + 4]))) for j in range(len(s) - 3)) / len(t))
+        assert found[i] == pytest.approx(want, rel=1e-9)
+    assert found[len(rows) - 2] is None and found[len(rows) - 1] is None and len(found) == len(rows)
+    assert found[6] > 2 * found[5]
+
+
 def test_quality_on_labels(spark, sf_dir, none):
     rows = {r["doc_id"]: r for r in quality.op1_quality(spark, sf_dir).collect()}
     labels = {r["doc_id"]: r["quality"] for r in table(spark, sf_dir, "labels").collect()}
