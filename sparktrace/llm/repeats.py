@@ -137,29 +137,45 @@ def shard_transform(strings: list[bytes], length: int = LENGTH) -> tuple[np.ndar
     rank[marks] = np.arange(len(marks))
     width = 1
     while width < length:
-        after = np.zeros_like(rank)
-        after[:-width] = rank[width:]
-        rank = np.unique(rank * (int(rank.max()) + 1) + after, return_inverse=True)[1]
-        width *= 2
+        size = int(rank.max()) + 1
+        code, ways = rank, min(62 // size.bit_length(), -(-length // width))  # as many ranks in a row as fit into a number
+        for i in range(1, ways):
+            after = np.zeros_like(rank)
+            after[: -i * width] = rank[i * width :]
+            code = code * size + after
+        rank = np.unique(code, return_inverse=True)[1]
+        width *= ways
     order = np.argsort(rank, kind="stable")
     return order, letters[order - 1]  # the letter before position 0 is the last end mark
 
 
 def repeated_intervals(transforms: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Merge transforms by interleave refinement: for each suffix of the merged order its shard and its block of equal prefixes."""
+    """Merge transforms by interleave refinement: for each suffix of the merged order its shard and its block of equal prefixes.
+
+    A step sorts by the two letters before each suffix at once, so it refines by two bytes; an odd length takes one alone first.
+    """
     sizes = [len(t) for t in transforms]
     letters = np.concatenate(transforms)
+    before = np.empty_like(letters)  # the letter before the letter: the transform at the place that the letter's suffix has
+    for end, size, t in zip(np.cumsum(sizes), sizes, transforms, strict=True):
+        before[end - size : end][np.argsort(t, kind="stable")] = t
+    both = before.astype(np.uint16) << np.uint16(8) | letters
     source = np.repeat(np.arange(len(sizes), dtype=np.uint8), sizes)
     block = np.zeros(len(source), dtype=np.int32)
-    blocks = 1
-    for _ in range(length):
-        here = np.empty_like(letters)
-        here[np.argsort(source, kind="stable")] = letters
+    blocks, known = 1, None
+    for given in [letters] * (length % 2) + [both] * (length // 2):
+        if known is not given:
+            known, placed = given, np.sort(given, kind="stable")
+            # The letters in order are the same in every step; what holds an end mark is a block of its own.
+            borders = (placed[1:] != placed[:-1]) | ((placed[1:] & 255) == 0) | ((placed[1:] < 256) if given is both else False)
+        here = np.empty_like(given)
+        here[np.argsort(source, kind="stable")] = given
         order = np.argsort(here, kind="stable")
-        here, block, source = here[order], block[order], source[order]
-        opens = np.ones(len(order), dtype=bool)
-        opens[1:] = (here[1:] != here[:-1]) | (block[1:] != block[:-1]) | (here[1:] == 0)
-        block = np.cumsum(opens, dtype=np.int32) - 1
+        block, source = block[order], source[order]
+        opens = np.zeros(len(order), dtype=bool)
+        np.not_equal(block[1:], block[:-1], out=opens[1:])
+        opens[1:] |= borders
+        block = np.cumsum(opens, dtype=np.int32)
         if block[-1] + 1 == blocks:  # no block was split, so none will be
             break
         blocks = block[-1] + 1

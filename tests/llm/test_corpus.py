@@ -149,6 +149,23 @@ def test_merged_transforms_equal_sorting():
     assert plain == sorted(plain)
 
 
+@pytest.mark.parametrize("length", [1, 2, 7, 50])
+def test_merging_takes_two_letters_a_step(monkeypatch, length):
+    draw, sort, calls = random.Random(length), np.argsort, []
+    strings = ["".join(draw.choice("ab") for _ in range(draw.randrange(length, length + 60))).encode() for _ in range(60)]
+    documents = np.array([draw.randrange(30) for _ in strings])
+    least = {}
+    for s, d in zip(strings, documents.tolist()):
+        for i in range(len(s) - length + 1):
+            least[s[i : i + length]] = min(d, least.get(s[i : i + length], d))
+    made = repeats.smallest_documents(strings, documents, length, 300)
+    assert [m.tolist() for m in made] == [[least[s[i : i + length]] for i in range(len(s) - length + 1)] for s in strings]
+    transforms = [repeats.shard_transform(strings[i::3], length)[1] for i in range(3)]
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: calls.append(1) or sort(*a, **k))
+    repeats.repeated_intervals(transforms, length)
+    assert len(calls) <= 3 + 2 * -(-length // 2)
+
+
 # --- quality ------------------------------------------------------------------------------------------------------------
 
 
