@@ -295,6 +295,12 @@ def _machine(path: str) -> Utf8Machine:
     return Utf8Machine({rank: token for token, rank in _ranks(path).items()})
 
 
+def lists_of(column: pa.ListArray) -> list[list[int]]:
+    """The numbers of each list, of a null one none; Arrow's own ``to_pylist`` makes an object for each number first."""
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.tolist()
+    return [values[a:b].tolist() if valid else [] for a, b, valid in zip(ends, ends[1:], column.is_valid().to_pylist(), strict=False)]
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """The rows with their token ids (array of int) in place of the text column; no special tokens."""
     name = _ship(docs, ranks_path)
@@ -324,7 +330,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", text: str = "d
     def run(batches):
         machine = _machine(SparkFiles.get(name))
         for batch in pairs(batches, chars=2_000_000):
-            made = [machine.decode(tokens or []) for tokens in batch.column(ids).to_pylist()]
+            made = [machine.decode(tokens) for tokens in lists_of(batch.column(ids))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[f.name for f in schema.fields])
 
     return encoded.mapInArrow(run, schema)

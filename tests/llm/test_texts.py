@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -258,6 +259,14 @@ def test_decoding_in_any_cuts(ranks):
         assert "".join(first + rest) == "é日😀x" and end == b""
 
 
+def test_lists_of_a_slice():
+    lists = pa.array([[1], None, [], [2, 3], [4, 5, 6], None, [7]], pa.list_(pa.int32()))
+    for at in range(8):
+        assert bpe.lists_of(lists.slice(at, 4)) == [x or [] for x in lists.slice(at, 4).to_pylist()]
+    hidden = pa.ListArray.from_arrays(pa.array([0, 2, 3], pa.int32()), pa.array([8, 9, 1], pa.int32()), mask=pa.array([True, False]))
+    assert bpe.lists_of(hidden) == [[], [1]]
+
+
 def test_bpe_of_odd_rows(odd, none):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     back = bpe.decode(bpe.encode(odd, path, public_tokenizers.PATTERN), path)
