@@ -10,6 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ WORD = 64
 TASK_LINKS = 4_000_000
 # (source, node) cells of the searches that a task carries on at once.
 TASK_CELLS = 4_000_000
+# Nodes and links whose moves a task works out at once in a sweep of Louvain.
+SWEEP_LINKS = 32_000
 
 
 def _keyed(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, bool]:
@@ -453,8 +456,14 @@ def _move_nodes(adjacency: DataFrame, resolution: float, start: DataFrame | None
     First the nodes of one hash half move at once, halves alternating, as long as each sweep raises the modularity. From the best
     partition on, only moves that share no community with one of smaller hash go through: their gains are exact, so every
     sweep raises it, and the end is a local optimum. All runs sweep together, each in its own state; one row per run is collected.
+    Graphs within ``TASK_LINKS`` are swept by ``_swept``, with the same moves.
     """
     nodes = with_strength(adjacency).filter("m2 > 0")
+    links = adjacency.count()
+    if links <= TASK_LINKS:  # no node without a link
+        every = cut(dense_index(nodes.filter("run IS NOT NULL AND node IS NOT NULL"), ["run", "node"], "number"))
+        if (rows := every.count()) + links <= TASK_LINKS:
+            return _swept(adjacency, every, rows, resolution, start)
     current = cut(nodes.withColumn("community", F.col("node")) if start is None else nodes.join(start, ["run", "node"]))
     runs = [r["run"] for r in current.select("run").distinct().collect()]
     sweep, exact, quality_of, moved, ended = dict.fromkeys(runs, 0), dict.fromkeys(runs, False), {}, [], []
@@ -505,3 +514,111 @@ def _move_nodes(adjacency: DataFrame, resolution: float, start: DataFrame | None
             previous, current = current, cut(_union(steps))
             adjacency = adjacency if len(runs) == len(rows) else cut(adjacency.filter(F.col("run").isin(runs)))
     return (cut(_union(ended)) if ended else current), moved
+
+
+def _swept(adjacency: DataFrame, every: DataFrame, rows: int, resolution: float, start: DataFrame | None) -> tuple[DataFrame, list]:
+    """``_move_nodes`` of a graph of at most ``TASK_LINKS``: links go to every task once, the communities in every sweep; each task
+    works out the best moves of its own nodes, and only the moves come back. ``every``: nodes numbered from 0 in order of run and node."""
+    context = every.sparkSession.sparkContext
+    numbers = every.select("run", "node", "number")
+    table = every.select("number", "k", "m2", F.xxhash64("node").alias("hash")).toArrow().sort_by("number")
+    k, m2, hashes = (table.column(c).to_numpy() for c in ("k", "m2", "hash"))
+    community = np.arange(rows)
+    if start is not None:
+        own = numbers.withColumnsRenamed({"node": "community", "number": "at"})
+        begun = start.join(numbers, ["run", "node"]).join(own, ["run", "community"]).select("number", "at").toArrow()
+        community[begun.column("number").to_numpy()] = begun.column("at").to_numpy()
+    spans = sorted(_per_run(every, F.min("number").alias("low"), F.count("*").alias("n")).collect(), key=lambda r: r["low"])
+    of = np.repeat(np.arange(len(spans)), [r["n"] for r in spans])  # the run of each node
+    origin = numbers.select("run", F.col("node").alias("src"), F.col("number").alias("from"))
+    target = numbers.select("run", F.col("node").alias("dst"), F.col("number").alias("to"))
+    table = adjacency.filter(F.col("src") != F.col("dst")).join(origin, ["run", "src"]).join(target, ["run", "dst"]).select("from", "to", "weight").toArrow()
+    sources = table.column("from").to_numpy()
+    order = np.argsort(sources, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(sources, minlength=rows))])
+    shipped = context.broadcast((starts, table.column("to").to_numpy()[order], table.column("weight").to_numpy()[order], k, m2, of))
+    parts = max(1, min(int(every.sparkSession.conf.get("spark.sql.shuffle.partitions")), (rows + len(order)) // SWEEP_LINKS))
+    borders = np.searchsorted(starts + np.arange(rows + 1), np.linspace(0, rows + len(order), parts + 1)).tolist()
+
+    n = len(spans)
+    sweep, exact, open_, quality_of, moved = np.zeros(n, dtype=int), np.zeros(n, dtype=bool), np.ones(n, dtype=bool), {}, []
+    previous = community
+    while open_.any():
+        state = context.broadcast((community, open_))
+
+        def moves(part: int) -> tuple:
+            return _moves_of(*shipped.value, *state.value, borders[part], borders[part + 1], resolution)
+
+        found = context.parallelize(range(parts), parts).map(moves).collect()
+        state.destroy()
+        movers, to = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        inside, squares = (np.sum([f[i] for f in found], axis=0) for i in (2, 3))
+        wants = np.bincount(of[movers], minlength=n)
+        after, going = community.copy(), np.zeros(n, dtype=bool)
+        for run in np.flatnonzero(open_).tolist():
+            here = slice(spans[run]["low"], spans[run]["low"] + spans[run]["n"])
+            total = m2[spans[run]["low"]]
+            quality = inside[run] / total - resolution * squares[run] / (total * total)
+            if not exact[run] and run in quality_of and quality <= quality_of[run] + 1e-12:
+                exact[run] = True  # the last sweep did not pay: back, and on with exact moves
+                after[here] = previous[here]
+                continue
+            quality_of[run] = quality
+            if wants[run]:
+                going[run] = True
+                moved += [run] if run not in moved else []
+            else:
+                open_[run] = False
+        some = going[of[movers]]
+        movers, to = movers[some], to[some]
+        turn = sweep[of[movers]]
+        steps = [int(x).to_bytes(4, "little") for x in range(int(turn.max(initial=0)) // 2 + 1)]
+        # What xxhash64(node, sweep div 2) is.
+        drawn = [xxhash.xxh64_intdigest(steps[t // 2], h & 0xFFFFFFFFFFFFFFFF) for t, h in zip(turn.tolist(), hashes[movers].tolist(), strict=True)]
+        drawn = np.array(drawn, dtype=np.uint64).view(np.int64)
+        own = community[movers]
+        first = np.full(rows, np.iinfo(np.int64).max)
+        np.minimum.at(first, own, drawn)
+        np.minimum.at(first, to, drawn)
+        free = np.where(exact[of[movers]], (first[own] == drawn) & (first[to] == drawn), (drawn & 1) == turn % 2)
+        after[movers[free]] = to[free]
+        previous, community = community, after
+        sweep += 1
+    shipped.destroy()
+    ended = every.sparkSession.createDataFrame(pa.table({"number": pa.array(np.arange(rows)), "at": pa.array(community)}))
+    names = numbers.select("run", F.col("number").alias("at"), F.col("node").alias("community"))
+    partition = every.join(ended, "number").join(names, ["run", "at"]).select("run", "node", "k", "m2", "community")
+    return cut(partition), [spans[run]["run"] for run in moved]
+
+
+def _moves_of(
+    starts: np.ndarray, targets: np.ndarray, weights: np.ndarray, k: np.ndarray, m2: np.ndarray, of: np.ndarray, community: np.ndarray, open_: np.ndarray, low: int, high: int, resolution: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes from ``low`` to ``high`` of open runs that have a move that pays, and their best communities; for each run the weight inside
+    communities and the strengths times those of the communities. The rules are those of ``best_moves``."""
+    none = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(len(open_)), np.zeros(len(open_))
+    if low == high or not open_[of[low] : of[high - 1] + 1].any():
+        return none
+    totals = np.bincount(community, k, len(k))
+    own, size = community[low:high], high - low
+    node = np.concatenate([np.repeat(np.arange(size), np.diff(starts[low : high + 1])), np.arange(size)])
+    to = np.concatenate([community[targets[starts[low] : starts[high]]], own])
+    w = np.concatenate([weights[starts[low] : starts[high]], np.zeros(size)])
+    order = np.argsort(node * len(k) + to, kind="stable")
+    node, to = node[order], to[order]
+    first = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (to[1:] != to[:-1])]))
+    node, to, w = node[first], to[first], np.add.reduceat(w[order], first)
+    mine, strength = to == own[node], k[low:high][node]
+    gain = w - resolution / m2[low:high][node] * (totals[to] - np.where(mine, strength, 0.0)) * strength
+    now = gain[mine]  # each node once, in order
+    inside = np.bincount(of[low:high], w[mine], len(open_))
+    squares = np.bincount(of[low:high], k[low:high] * totals[own], len(open_))
+    node, to, gain = node[~mine], to[~mine], gain[~mine]
+    if not len(node):
+        return *none[:2], inside, squares
+    order = np.lexsort((to, -np.round(gain, 9), node))  # largest gain; among equal gains the smallest community
+    node, to, gain = node[order], to[order], gain[order]
+    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    better = np.maximum.reduceat(gain, first) - now[node[first]]
+    wants = (better > 1e-9 * m2[low:high][node[first]]) & open_[of[low:high][node[first]]]
+    return node[first][wants] + low, to[first][wants], inside, squares

@@ -159,6 +159,25 @@ def test_runs_together_equal_single_runs(several, measure):
             assert got == pytest.approx(expected, abs=1e-9) if measure == "best" else got[0] == expected[0] and got[1:] == pytest.approx(expected[1:], abs=1e-9)
 
 
+@pytest.mark.parametrize("resolution, links", [(1.0, 32_000), (0.6, 7), (1.7, 50)])
+def test_louvain_in_tasks_moves_as_by_joins(spark, several, monkeypatch, resolution, links):
+    """The same partition of several runs, weighted and with loops, whichever way the sweeps are worked out."""
+    rows = [("w", f"n{i}", f"n{(i * i + 7 * j) % 60}", 1.0 + (i + j) % 3) for i in range(60) for j in range(3)]
+    rows += [("z", "a", "a", 1.0), ("z", "a", "b", 0.0), ("none", "a", "b", 0.0)]
+    edges = spark.createDataFrame(rows, "run string, src string, dst string, weight double")
+    for run, plain in several.items():
+        edges = edges.unionByName(plain.select(F.lit(run).alias("run"), "src", "dst", F.lit(1.0).alias("weight")))
+    if resolution == 1.0:
+        edges = edges.withColumns({c: F.xxhash64(c) for c in ("src", "dst")})
+    edges = graph.cut(edges)
+    monkeypatch.setattr(graph, "TASK_LINKS", -1)
+    expected = sorted(map(tuple, graph.louvain(edges, resolution).collect()))
+    monkeypatch.undo()
+    monkeypatch.setattr(graph, "SWEEP_LINKS", links)
+    monkeypatch.setattr(graph, "best_moves", None)  # no sweep by joins
+    assert sorted(map(tuple, graph.louvain(edges, resolution).collect())) == expected
+
+
 def test_closeness_of_bits_equals_paths(spark, monkeypatch):
     """More sources than bits, in one batch and in several, with parts that don't reach each other and a node without edges."""
     edges = spark.range(150).selectExpr("concat('n', id) AS src", "concat('n', (id * id + 3) % 150) AS dst").filter("src <> dst")
