@@ -318,31 +318,31 @@ def remove_repeats(
 
     def send_runs(rows: pa.Table, told: pa.Table) -> pa.Table:
         names = ["h", "s", "_group", "least", "most", "n", "places"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
         is_copies = pc.equal(told.column("bucket"), -1)
         answers, gone = told.filter(pc.invert(is_copies)), told.filter(is_copies)
-        found: dict[tuple[int, int], list] = {}
+        found = []
         if rows.num_rows and answers.num_rows:
             known = np.sort(np.concatenate([np.frombuffer(b, dtype="<u4").astype(np.int64) * anchor_buckets + k for k, b in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True)]))
             numbers, documents, data = originals(rows, gone)
-            digest = xxhash.xxh3_64_intdigest
+            numbers, documents, digest = np.array(numbers, dtype=np.int64), np.array(documents, dtype=np.int64), xxhash.xxh3_64_intdigest
             for number, h, start, n, joined, first in scanned(data, length):
                 code = (h >> np.uint64(32)).astype(np.int64) * anchor_buckets + ((h & np.uint64(0xFFFFFFFF)) % np.uint64(anchor_buckets)).astype(np.int64)
                 hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code)
-                columns = (h[hit].view(np.int64).tolist(), number[hit].tolist(), start[hit].tolist(), n[hit].tolist(), first[hit].tolist())
-                for anchor, row, at, size, place in zip(*columns, strict=True):
-                    key = (anchor, digest(joined[place : place + size + length - 1]))
-                    document, where = documents[row], numbers[row] << PLACE_BITS | at
-                    held = found.get(key)
-                    if held is None:
-                        found[key] = [document, document, size, [where]]
-                    else:
-                        held[0], held[1] = min(held[0], document), max(held[1], document)
-                        held[3].append(where)
+                number, begin, n = number[hit], first[hit], n[hit]
+                strings = zip(begin.tolist(), (begin + n + (length - 1)).tolist(), strict=True)
+                s = np.fromiter((digest(joined[i:j]) for i, j in strings), dtype=np.uint64, count=len(hit))
+                found.append((h[hit].view(np.int64), (s ^ np.uint64(1 << 63)).view(np.int64), documents[number], n, numbers[number] << PLACE_BITS | start[hit]))
         group = rows.column("_group")[0].as_py() if rows.num_rows else 0
-        values = list(found.values())
-        columns = [[k[0] for k in found], [k[1] - (1 << 63) for k in found], [group] * len(found), *([v[i] for v in values] for i in range(4))]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        h, s, document, n, place = (np.concatenate(c) for c in zip(*found)) if found else [np.zeros(0, dtype=np.int64)] * 5
+        order = np.lexsort((s, h))
+        h, s, document = h[order], s[order], document[order]
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])[: len(h)])
+        least, most = (f.reduceat(document, first) if len(first) else document for f in (np.minimum, np.maximum))
+        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)), pa.int32()), pa.array(place[order]))
+        seen = np.argsort(order[first])  # as they come in the texts, which packs better
+        columns = [c[seen] for c in (h[first], s[first], np.full(len(first), group), least, most, n[order][first])]
+        return pa.table([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), places.take(pa.array(seen))], names=names)
 
     runs = cut(
         texts.groupBy("_group").cogroup(told.groupBy("_group")).applyInArrow(
