@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import entry_queries
 from sparktrace.operators import communities, graph
 from sparktrace.plans.variants import detect_all
 
@@ -178,6 +179,14 @@ def test_louvain_in_tasks_moves_as_by_joins(spark, several, monkeypatch, resolut
     assert sorted(map(tuple, graph.louvain(edges, resolution).collect())) == expected
 
 
+def test_run_communities_of_parts_without_links(spark, monkeypatch):
+    rows = [(r, a + x, a + y) for r in ("apart", "linked") for a in "ab" for x, y in ("12", "23", "13")] + [("linked", "a1", "b1")]
+    edges = spark.createDataFrame(rows, "run string, src string, dst string")
+    monkeypatch.setattr(entry_queries, "_run_edges", lambda spark, sf_dir: edges)
+    found = sorted(map(tuple, entry_queries.run_communities(spark, "").collect()))
+    assert found == [("apart", 6, 0, 0, 0, True), ("linked", 6, 0, 0, 0, True)]
+
+
 def test_closeness_of_bits_equals_paths(spark, monkeypatch):
     """More sources than bits, in one batch and in several, with parts that don't reach each other and a node without edges."""
     edges = spark.range(150).selectExpr("concat('n', id) AS src", "concat('n', (id * id + 3) % 150) AS dst").filter("src <> dst")
