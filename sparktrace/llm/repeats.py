@@ -45,12 +45,14 @@ GRAM = 32
 LAST = (1 << 63) - 1
 #: Rows of a group, bytes of a piece of text that is scanned at once, bytes of text for each anchor bucket.
 GROUP_ROWS = 1024
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 BUCKET_BYTES = 8_000_000
 #: Bytes of strings in a bucket and in a shard.
 STRINGS_BYTES = 1_000_000
 SHARD_BYTES = 250_000
 CROWDED = 20_000
+#: Distinct pairs of letters up to which a step of the merge may take four letters (a table of its square).
+FOUR_LETTERS = 4096
 #: A place is a row's number in its group and a start.
 PLACE_BITS = 44
 
@@ -149,25 +151,42 @@ def shard_transform(strings: list[bytes], length: int = LENGTH) -> tuple[np.ndar
     return order, letters[order - 1]  # the letter before position 0 is the last end mark
 
 
+def _ranked(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of numbers below ``size`` among the distinct ones, and those."""
+    there = np.zeros(size, dtype=bool)
+    there[codes] = True
+    distinct = np.flatnonzero(there)
+    ranks = np.zeros(size, dtype=np.uint16 if len(distinct) <= 1 << 16 else np.int32)
+    ranks[distinct] = np.arange(len(distinct))
+    return ranks[codes], distinct
+
+
 def repeated_intervals(transforms: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Merge transforms by interleave refinement: for each suffix of the merged order its shard and its block of equal prefixes.
 
-    A step sorts by the two letters before each suffix at once, so it refines by two bytes; an odd length takes one alone first.
+    A step sorts by the four letters before each suffix at once, so it refines by four bytes, as long as their ranks fit into 16 bits
+    (by two otherwise); the rest of the length takes a step of one letter and of two first.
     """
     sizes = [len(t) for t in transforms]
     letters = np.concatenate(transforms)
-    before = np.empty_like(letters)  # the letter before the letter: the transform at the place that the letter's suffix has
+    after = np.empty(len(letters), dtype=np.int64)  # where each letter's suffix stands
     for end, size, t in zip(np.cumsum(sizes), sizes, transforms, strict=True):
-        before[end - size : end][np.argsort(t, kind="stable")] = t
-    both = before.astype(np.uint16) << np.uint16(8) | letters
+        after[end - size : end][np.argsort(t, kind="stable")] = np.arange(end - size, end)
+    pair, pairs = _ranked(letters[after].astype(np.uint16) << np.uint16(8) | letters, 1 << 16)
+    marked = (pairs < 256) | ((pairs & 255) == 0)  # which pairs hold an end mark
+    steps = [(letters, np.arange(256) == 0)] * (length % 2) + [(pair, marked)] * (length // 2)
+    if len(pairs) <= FOUR_LETTERS:
+        four, fours = _ranked(pair[after[after]].astype(np.int64) * len(pairs) + pair, len(pairs) ** 2)
+        if len(fours) <= 1 << 16:
+            steps[length % 2 + length // 2 % 2 :] = [(four, marked[fours // len(pairs)] | marked[fours % len(pairs)])] * (length // 4)
     source = np.repeat(np.arange(len(sizes), dtype=np.uint8), sizes)
     block = np.zeros(len(source), dtype=np.int32)
     blocks, known = 1, None
-    for given in [letters] * (length % 2) + [both] * (length // 2):
+    for given, holds_mark in steps:
         if known is not given:
             known, placed = given, np.sort(given, kind="stable")
             # The letters in order are the same in every step; what holds an end mark is a block of its own.
-            borders = (placed[1:] != placed[:-1]) | ((placed[1:] & 255) == 0) | ((placed[1:] < 256) if given is both else False)
+            borders = (placed[1:] != placed[:-1]) | holds_mark[placed[1:]]
         here = np.empty_like(given)
         here[np.argsort(source, kind="stable")] = given
         order = np.argsort(here, kind="stable")
@@ -213,6 +232,17 @@ def smallest_documents(strings: list[bytes], documents: np.ndarray, length: int
     return np.split(flat, np.cumsum(starts)[:-1])
 
 
+def one_if_equal(found: list[np.ndarray]) -> pa.ListArray:
+    """The lists, none of them empty; those of equal numbers have one of them."""
+    sizes, every = np.array([len(f) for f in found]), np.concatenate(found)
+    begin = np.cumsum(sizes) - sizes
+    equal = np.minimum.reduceat(every, begin) == np.maximum.reduceat(every, begin)
+    stay = np.repeat(~equal, sizes)
+    stay[begin] = True
+    borders = np.append(0, np.cumsum(np.where(equal, 1, sizes))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(borders), pa.array(every[stay]))
+
+
 def losing_spans(lost: pa.Table, documents: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row number, begin, end) of the bytes that go, in order. ``lost``: runs with their places and the smallest documents of their
     starts (one number if it holds for all); ``documents``: the id of each row number."""
@@ -271,6 +301,10 @@ def remove_repeats(
     first = same.groupBy("key").agg(F.min("document").alias("least"), F.count("*").alias("n")).filter("n > 1")
     copies = cut(same.join(first, "key").filter("document > least").groupBy("_group").agg(F.collect_list(F.col("_row") % GROUP_ROWS).alias("copies")))
 
+    # Lists that a row has not are empty, not null: Spark measures a batch after every row that it sends to Python, and for that
+    # Arrow writes the borders of all null lists since the last one that is not null again.
+    no_list = F.array().cast("array<bigint>")
+
     def bytes_of(column) -> list[bytes]:
         return [(t or "").encode() for t in column.to_pylist()]
 
@@ -313,7 +347,7 @@ def remove_repeats(
 
     packed = "bucket bigint, _group bigint, bits binary"
     shared = texts.groupBy("_group").cogroup(copies.groupBy("_group")).applyInArrow(send_anchors, packed).groupBy("bucket").applyInArrow(find_shared, packed)
-    answers_of = shared.select("_group", "bucket", "bits", F.lit(None).cast("array<bigint>").alias("copies"))
+    answers_of = shared.select("_group", "bucket", "bits", no_list.alias("copies"))
     told = answers_of.unionByName(copies.select("_group", F.lit(-1).cast("bigint").alias("bucket"), F.lit(None).cast("binary").alias("bits"), "copies"))
 
     def send_runs(rows: pa.Table, told: pa.Table) -> pa.Table:
@@ -371,8 +405,7 @@ def remove_repeats(
 
     def merge(group: pa.Table) -> pa.Table:
         found = smallest_documents(group.column("string").to_pylist(), group.column("least").to_numpy(), length)
-        offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-        return pa.table({"h": group.column("h"), "s": group.column("s"), "leasts": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))})
+        return pa.table({"h": group.column("h"), "s": group.column("s"), "leasts": one_if_equal(found)})
 
     several = sized.filter(F.col("strings").between(2, CROWDED))
     buckets = tasks_for(several, F.col("at.n") + (length - 1), STRINGS_BYTES)
@@ -386,8 +419,8 @@ def remove_repeats(
         placed = single.join(least, "string").groupBy("h", "s").agg(F.array_sort(F.collect_list(F.struct("place", "smallest"))).alias("found"))
         answers = answers.unionByName(placed.select("h", "s", F.transform("found", lambda x: x["smallest"]).alias("leasts")))
     lost = runs.select("h", "s", "_group", "n", "most", "places").join(answers, ["h", "s"])
-    lost = lost.filter(F.array_min("leasts") < F.col("most")).select("_group", "n", "places", "leasts", F.lit(None).cast("array<bigint>").alias("copies"))
-    lost = lost.unionByName(copies.select("_group", F.lit(0).alias("n"), *(F.lit(None).cast("array<bigint>").alias(c) for c in ("places", "leasts")), "copies"))
+    lost = lost.filter(F.array_min("leasts") < F.col("most")).select("_group", "n", "places", "leasts", no_list.alias("copies"))
+    lost = lost.unionByName(copies.select("_group", F.lit(0).alias("n"), *(no_list.alias(c) for c in ("places", "leasts")), "copies"))
     out = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType(), False) for c in (n_bytes, n_removed, n_spans)), T.StructField(kept, T.StringType() if as_text else T.BinaryType(), False)])
     names = docs.columns
 
@@ -396,8 +429,8 @@ def remove_repeats(
         numbers = rows.column(row_name).to_numpy() % GROUP_ROWS
         documents = np.zeros(GROUP_ROWS, dtype=np.int64)
         documents[numbers] = [LAST if d is None else int(d) for d in rows.column(doc_id).to_pylist()]
-        copies = {i for c in lost.column("copies").to_pylist() if c for i in c}
-        lost = lost.filter(pc.is_valid(lost.column("places")))
+        copies = set(pc.list_flatten(lost.column("copies")).to_pylist())
+        lost = lost.filter(pc.greater(pc.list_value_length(lost.column("places")), 0))
         owner, low, high = losing_spans(lost, documents, length)
         result = []
         for number, whole in zip(numbers.tolist(), data, strict=True):

@@ -166,6 +166,31 @@ def test_merging_takes_two_letters_a_step(monkeypatch, length):
     assert len(calls) <= 3 + 2 * -(-length // 2)
 
 
+def test_merging_takes_four_letters_a_step(monkeypatch):
+    draw, sort, calls = random.Random(9), np.argsort, []
+    passage = "".join(draw.choice("abcé ") for _ in range(120))
+    strings = [passage[draw.randrange(30) :].encode() + draw.choice(["", "x", "yz"]).encode() for _ in range(40)]
+    documents = np.arange(40)[::-1].copy()
+    transforms = [repeats.shard_transform(strings[i::3])[1] for i in range(3)]
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: calls.append(1) or sort(*a, **k))
+    repeats.repeated_intervals(transforms)
+    assert len(calls) <= 3 + 2 * 13  # two letters, then twelve times four
+    by_four = [m.tolist() for m in repeats.smallest_documents(strings, documents, 50, 700)]
+    monkeypatch.setattr(repeats, "FOUR_LETTERS", 0)
+    assert by_four == [m.tolist() for m in repeats.smallest_documents(strings, documents, 50, 700)]
+
+
+def test_repeats_send_no_null_lists(spark):
+    docs = spark.createDataFrame(doc_rows(["a" * 60, "a" * 60, "b" * 70]), DOCS)
+    plan = repeats.remove_repeats(docs)._jdf.queryExecution().analyzed().toString()
+    assert "copies" in plan and "null as array" not in plan
+
+
+def test_lists_of_equal_numbers_become_one_number():
+    found = [np.array(x) for x in ([5], [4, 4, 4], [4, 3, 4], [9, 9], [1, 2])]
+    assert repeats.one_if_equal(found).to_pylist() == [[5], [4], [4, 3, 4], [9], [1, 2]]
+
+
 # --- quality ------------------------------------------------------------------------------------------------------------
 
 
