@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,3 +241,49 @@ def test_searches_in_tasks_equal_searches_by_joins(spark):
         assert one.keys() == two.keys()
         for key in one:
             assert one[key] == pytest.approx(two[key], abs=1e-12)
+
+
+def test_near_sources_search_together(spark, monkeypatch):
+    """Components of all sizes, runs, repeated links and lone nodes: bits and batches give what joins give, and a batch holds its components only."""
+    rows = [("a", i, (i + s) % 150) for i in range(150) for s in (1, 12)] + [("a", 3, 4), ("b", 0, 1)]
+    rows += [("b", 200 + i, 200 + (i + s) % 91) for i in range(91) for s in (1, 9)] + [("b", 1000 + 4 * i + j, 1000 + 4 * i + j + 1) for i in range(30) for j in range(3)]
+    edges = spark.createDataFrame([(r, f"n{x}", f"n{y}") for r, x, y in rows], "run string, src string, dst string")
+    nodes = spark.createDataFrame([("a", "lone"), ("b", "n200")], "run string, node string")
+    sizes, real = [], graph._search
+
+    def noted(starts, *rest):
+        sizes.append(len(starts) - 1)
+        return real(starts, *rest)
+
+    order, borders = graph._near_order(*np.array([(x, y) for i in range(99) for x, y in ((i, i + 1), (i + 1, i))] + [(101, 102), (102, 101)]).T, 103)
+    assert sorted(order.tolist()) == list(range(103)) and np.diff(borders).tolist() == [1, 2, 100]
+    assert graph._batches(borders).tolist() == [[0, 3, 0], [3, 103, 3], [3, 103, 67]]
+    # The inner blocks hang together: a chain's halves.
+    assert max(order[3:67]) - min(order[3:67]) == 63 or max(order[67:]) - min(order[67:]) == 35
+    numbers = np.array([0, 2, 4]), np.array([1, 0, 1, 0])
+    total, reached, between = np.zeros(2, dtype=np.int64), np.zeros(2, dtype=np.int64), np.zeros(2)
+    monkeypatch.setattr(graph, "_search", noted)
+    graph._search(*numbers, np.array([0, 2]), 0, total, reached, between)
+    assert (total.tolist(), reached.tolist(), between.tolist(), sizes) == ([1, 1], [1, 1], [0.0, 0.0], [2])
+    monkeypatch.setattr(graph, "_search", real)
+    one, two = (sorted(map(tuple, graph.path_centralities(edges, batches=b, nodes=nodes).collect())) for b in (None, 1))
+    assert [r[:2] for r in one] == [r[:2] for r in two] and len(one) == 150 + 1 + 2 + 91 + 120
+    for i in (2, 3):
+        assert [r[i] for r in one] == pytest.approx([r[i] for r in two], abs=1e-12)
+    near = sorted(map(tuple, graph.closeness(edges, nodes).collect()))
+    assert [r[2] for r in near] == pytest.approx([r[3] for r in one], abs=1e-12)
+
+
+def test_bounded_ranks_need_no_joins(spark, monkeypatch):
+    """The rounds of PageRank on numbers give what the joins give, in every run; lone nodes and those beside a missing one too."""
+    rows = [("a", f"n{i}", f"n{(i * i + 3) % 40}", 1.0 + i % 3) for i in range(40)] + [("b", f"n{i}", f"n{i + 1}", 1.0) for i in range(9)]
+    edges = spark.createDataFrame(rows, "run string, src string, dst string, weight double")
+    nodes = spark.createDataFrame([("a", "lone"), ("b", "n0"), ("c", "only")], "run string, node string")
+    called, real = [], graph._ranked
+    monkeypatch.setattr(graph, "_ranked", lambda *a: called.append(1) or real(*a))
+    one = sorted(map(tuple, graph.pagerank(edges, tol=1e-4, nodes=nodes).collect()))
+    assert called
+    monkeypatch.setattr(graph, "TASK_LINKS", 0)
+    two = sorted(map(tuple, graph.pagerank(edges, tol=1e-4, nodes=nodes).collect()))
+    assert len(called) == 1 and [r[:2] for r in one] == [r[:2] for r in two]
+    assert [r[2] for r in one] == pytest.approx([r[2] for r in two], abs=1e-11)
