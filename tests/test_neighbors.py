@@ -150,3 +150,19 @@ def test_coordinates_alone_exclude(spark, points, monkeypatch):
     same(found, brute(points, metric, 4))
     near = neighbors.radius_join(points.unionByName(untimed), metric, 90.0, pivots=5)
     assert sorted(map(tuple, neighbors.all_pairs(near).collect())) == brute_pairs(points, metric, 90.0)
+
+
+@pytest.mark.parametrize("radius", [0.0, 40.0, 300.0, 1500.0, 1e9])
+def test_neighbours_are_counted_without_pairs(spark, points, radius, monkeypatch):
+    """Counts within a radius are those of the pairs, also where whole blocks are settled by their boxes, and no pair is listed for them."""
+    metric = neighbors.mixed_metric(1, 2, 0.5)
+    untimed = points.limit(1).withColumns({"id": F.lit("untimed"), "time": F.transform("time", lambda x: F.lit(None).cast("double"))})
+    monkeypatch.setattr(neighbors, "COUNT_BLOCK", 4)
+    near = neighbors.radius_join(points.unionByName(untimed), metric, radius, pivots=5)
+    found = {r["representative"]: r["near"] for r in near.degrees().collect()}
+    first = {r["id"]: r["representative"] for r in near.members.collect()}
+    listed = {(first[a], first[b]) for a, b, _ in brute_pairs(points, metric, radius)}
+    expected = {}
+    for a, b in {(min(p), max(p)) for p in listed if p[0] != p[1]}:
+        expected[a], expected[b] = expected.get(a, 0) + 1, expected.get(b, 0) + 1
+    assert {k: v for k, v in found.items() if v} == expected
