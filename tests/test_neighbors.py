@@ -166,3 +166,8 @@ def test_neighbours_are_counted_without_pairs(spark, points, radius, monkeypatch
     for a, b in {(min(p), max(p)) for p in listed if p[0] != p[1]}:
         expected[a], expected[b] = expected.get(a, 0) + 1, expected.get(b, 0) + 1
     assert {k: v for k, v in found.items() if v} == expected
+    if radius == 300.0:  # a case without a name: both ends of its pairs are the other one
+        last = points.groupBy().agg(F.max("id")).first()[0]
+        near = neighbors.radius_join(points.withColumn("id", F.when(F.col("id") != last, F.col("id"))), metric, radius, pivots=5)
+        ends = near.pairs.select(F.col("src").alias("r")).unionAll(near.pairs.select("dst")).groupBy("r").count().collect()
+        assert {r["representative"]: r["near"] for r in near.degrees().collect() if r["representative"]} == {r["r"]: r["count"] for r in ends if r["r"]}
